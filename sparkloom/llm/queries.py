@@ -1,11 +1,13 @@
 """Registered queries of this subpackage and the SQL that gives the same rows where there is such SQL."""
 
-from . import langid, licenses, mixing, sharding
+from . import bpe, langid, licenses, mixing, pii, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_shard_documents": sharding.op3_shard_documents,
+    "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
+    "op9_pii_surrogates": pii.op9_pii_surrogates,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
