@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL that gives the same rows where there is such SQL."""
 
-from . import bpe, jaccard, langid, licenses, mixing, pii, sharding, vectors
+from . import bpe, jaccard, langid, licenses, mixing, pii, repeats, sharding, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_embedding_near_dups": vectors.op6_embedding_near_dups,
     "op7_nearest_neighbours": vectors.op7_nearest_neighbours,
+    "op8_repeat_removal": repeats.op8_repeat_removal,
     "op9_pii_surrogates": pii.op9_pii_surrogates,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
