@@ -1,8 +1,72 @@
-"""Corpus pipeline: language ID, near-duplicates, private data, mixing, encoding."""
+"""Corpus pipeline: language ID, near-duplicate removal, private data, mixing, encoding.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
+the next stage's docs. All but the last return the columns of documents, as they came in.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sparkloom.llm import bpe, jaccard, langid, mixing, pii
+from sparkloom.llm.common import documents, shared_dir
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language; those without a letter (null and empty texts too) go. The label
+    becomes the prediction. The model is trained on this stage's labelled input."""
+    found = langid.detect(docs.withColumn("_text", F.col("text")).drop("lang_pred"), langid.trained(docs), "_text").where("lang_pred <> 'und'")
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of every class of linked documents."""
+    classes = jaccard.similarity_classes(docs.select("doc_id", "text"))
+    gone = classes.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Private data become surrogates; every document stays. n_chars is the new text's length."""
+    out = pii.replace(docs)
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, so some twice and some not at all; rows that share a
+    doc_id are taken as often as the one taken most. Wordless texts are never taken."""
+    m = mixing.mix(docs.select("doc_id", "source", mixing.token_count(F.col("text")).alias("size")))
+    taken = m.where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("_n"))
+    out = docs.join(taken, "doc_id").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return out.select(*docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix."""
+    return bpe.digest(docs, bpe.default_path())
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", private_data),
+    ("mixing sources to target weights", mixing_weights),
+    ("BPE encoding and decoding", bpe_encoding),
+]
+
+#: Language models, surrogates and token ids are beyond SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; stages meet in tables in the shared folder."""
+    docs = documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/stage-{i}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
