@@ -13,18 +13,20 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .bytestext import runs
 from .common import documents
 
 #: The split of byte-level BPE vocabularies of this family. Fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pre-tokens kept between slices of a worker, and characters in a slice. The store is emptied when full.
-STORE, SLICE = 400_000, 1_000_000
+#: Pre-tokens kept between slices of a worker, and bytes in a slice. The store is emptied when full.
+STORE, SLICE = 150_000, 1_000_000
 #: Leaves of all trees handled at once.
-FOREST = 1 << 21
+FOREST = 1 << 19
 NONE = np.iinfo(np.int64).max
 
 
@@ -216,59 +218,87 @@ def spread(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.n
     return flat[shift + np.arange(total)], count
 
 
-def slices(texts: list, size: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Runs of items of about `size` length together."""
-    at = 0
-    while at < len(texts):
-        end, n = at, 0
-        while end < len(texts) and (end == at or n + len(texts[end]) <= size):
-            n += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
+class Decoder:
+    """Bytes of ids, by whole arrays."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.size = v, np.append(np.diff(v.byte_start), 0)
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        if not ids:
+            return []
+        known = [np.minimum(x, len(self.size) - 1) for x in ids]
+        all_ = np.concatenate(known)
+        raw, n = spread(self.v.flat, self.v.byte_start[np.minimum(all_, len(self.size) - 2)], self.size[all_])
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(x) for x in known])]
+        return [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _added(df: DataFrame, source: str, new: dict[str, tuple[T.DataType, pa.DataType]], make) -> DataFrame:
+    """df with the columns that make() computes from slices of column `source`; out come the slices, so
+    a task holds one incoming batch and one slice of results."""
+    keep = [c for c in df.columns if c not in new]
+    if source not in keep:
+        keep.append(source)
+    frame = df.select(*keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            column = batch.column(keep.index(source))
+            for a, b in runs(pc.fill_null(pc.binary_length(column), 0).to_pylist(), SLICE):
+                part = batch.slice(a, b - a)
+                made = fn(part.column(keep.index(source)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, (_, t) in zip(made, new.values(), strict=True))], names=[*keep, *new])
+
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *(T.StructField(n, t) for n, (t, _) in new.items())]))
+
+
+IDS, TEXT = (T.BinaryType(), pa.binary()), (T.StringType(), pa.string())
 
 
 def encode(df: DataFrame, path: str, text: str = "text", to: str = "token_ids") -> DataFrame:
     """df with the ids of each text as little-endian unsigned 32-bit integers in a binary column.
 
     A null text counts as empty: no ids. Strings of special tokens become their ids. Rows stand alone;
-    a text is one value, so its size is bounded by the row.
+    a text is one value, so its size is bounded by the row. A column named like the result is replaced.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         e = Encoder(vocabulary(path))
-        for s in batches:
-            texts = ["" if t is None else t for t in s]
-            yield pd.Series([x.astype("<u4").tobytes() for a, b in slices(texts) for x in e.encode(texts[a:b])], dtype=object)
+        return lambda texts: [[x.astype("<u4").tobytes() for x in e.encode([t or "" for t in texts])]]
 
-    return df.withColumn(to, F.pandas_udf(run, T.BinaryType())(F.col(text)))
+    return _added(df, text, {to: IDS}, make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
-    """df with the text of packed ids; bytes that are no UTF-8 become U+FFFD, ids out of the vocabulary nothing."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = vocabulary(path)
-        size = np.append(np.diff(v.byte_start), 0)
-        for s in batches:
-            out, packed = [], [b"" if x is None else x for x in s]
-            for a, b in slices(packed):
-                each = [np.minimum(np.frombuffer(x, "<u4"), len(size) - 1) for x in packed[a:b]]
-                all_ = np.concatenate(each)
-                raw, n = spread(v.flat, v.byte_start[np.minimum(all_, len(size) - 2)], size[all_])
-                ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(x) for x in each])]
-                begin = 0
-                for end in ends:
-                    out.append(raw[begin:end].tobytes().decode("utf-8", "replace"))
-                    begin = end
-            yield pd.Series(out, dtype=object)
-
-    return df.withColumn(to, F.pandas_udf(run, T.StringType())(F.col(ids)))
+    """df with the text of packed ids (null: empty); bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
+
+    def make():
+        d = Decoder(vocabulary(path))
+        return lambda packed: [d.decode([np.frombuffer(x or b"", "<u4") for x in packed])]
+
+    return _added(df, ids, {to: TEXT}, make)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """encode() and decode() of its ids in one pass: df with token_ids and decoded."""
+
+    def make():
+        e, d = Encoder(vocabulary(path)), Decoder(vocabulary(path))
+
+        def both(texts: list) -> list[list]:
+            packed = [x.astype("<u4").tobytes() for x in e.encode([t or "" for t in texts])]
+            return [packed, d.decode([np.frombuffer(x, "<u4") for x in packed])]
+
+        return both
+
+    return _added(df, text, {"token_ids": IDS, "decoded": TEXT}, make)
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded again."""
-    d = decode(encode(df.select("doc_id", "text"), path), path)
+    d = round_trip(df.select("doc_id", "text"), path)
     return d.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

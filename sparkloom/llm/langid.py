@@ -17,14 +17,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from .bytestext import runs
 from .common import documents
 
-#: Labelled rows used for training, of each language, in the order of a hash of the text.
+#: Labelled texts used for training, of each language, chosen by a hash of the text.
 SAMPLE_ROWS = 1000
 #: Words and n-grams kept per language; the model's size follows from these and the number of languages.
 TOP_WORDS, TOP_GRAMS = 20_000, 20_000
 #: Log-probability lost when the language changes between two words, and for another script than a language's.
 SWITCH, WRONG_SCRIPT = 8.0, 50.0
+#: Share of a language's words from which on it writes a script.
+LEAST_SHARE = 0.001
 #: First code points of script ranges, each up to the next. Fixed values.
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -37,38 +40,65 @@ _FROM = np.array([a for a, _ in SCRIPTS])
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Entries of the word cache in a worker; it is emptied when full, which changes no result.
 CACHE = 200_000
+#: Characters labelled at once; texts advance together, so long slices mean few steps.
+SLICE = 4_000_000
 
 
-def script(word: str) -> str:
-    return SCRIPTS[int(np.searchsorted(_FROM, ord(word[0]), "right")) - 1][1]
+SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
+_SCRIPT_ID = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
 
 
-def grams(word: str) -> list[str]:
-    """Character n-grams of 1 to 3 of a word with its ends marked."""
-    w = f"<{word}>"
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] not in "<>"]
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Number of the script (in SCRIPT_NAMES) that a word's first letter is in."""
+    first = np.frombuffer("".join(w[0] for w in words).encode("utf-32-le"), np.uint32)
+    return _SCRIPT_ID[np.searchsorted(_FROM, first, "right") - 1]
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Character n-grams of 1 to 3 of words with their ends marked, as numbers: (gram, word it is in).
+
+    Ends are U+0001 and U+0002; alone they are no gram."""
+    text = "".join(f"\1{w}\2" for w in words)
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    found, of = [c[c > 2]], [owner[c > 2]]
+    for n in (2, 3):
+        key = np.zeros(len(c) - n + 1, np.int64)
+        for k in range(n):
+            key = key << 21 | c[k : len(c) - n + 1 + k]
+        whole = owner[: len(key)] == owner[n - 1 :]
+        found.append(key[whole])
+        of.append(owner[: len(key)][whole])
+    return np.concatenate(found), np.concatenate(of)
 
 
 @dataclass
 class Model:
-    """Log-probabilities per language of words and n-grams, and the scripts each language writes."""
+    """Log-probabilities per language of words and n-grams (sorted; the last row is for unseen ones), and
+    which languages write each script (all, where none does)."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    unseen: np.ndarray
-    scripts: dict[str, np.ndarray]
-
-    def score(self, word: str) -> np.ndarray:
-        """A score for each language: of the word where it is known, else the mean of its n-grams, each
-        against the mean over languages, so that long words do not outweigh all others."""
-        s = self.words.get(word)
-        if s is None:
-            g = [self.grams.get(x, self.unseen) for x in grams(word[:64])]
-            s = np.sum(g, axis=0) / len(g) * min(len(g), 6) / 2
-        s = s - s.mean()
-        allowed = self.scripts.get(script(word))
-        return s if allowed is None else np.where(allowed, s, s - WRONG_SCRIPT)
+    words: dict[str, int]
+    word_logs: np.ndarray
+    grams: np.ndarray
+    gram_logs: np.ndarray
+    scripts: np.ndarray
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """words x languages: the word's log-probability where it is known, else the mean of its n-grams,
+        scaled for up to 6 of them; both against the mean over languages, so that no word outweighs all others."""
+        known = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out = self.word_logs[known] if len(self.words) else np.zeros((len(words), len(self.langs)))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            g, of = grams([words[i] for i in new])
+            at = np.minimum(np.searchsorted(self.grams, g), max(0, len(self.grams) - 1))
+            at = np.where(self.grams[at] == g, at, len(self.grams)) if len(self.grams) else np.zeros(len(g), np.int64)
+            n = np.bincount(of, minlength=len(new))
+            total = np.stack([np.bincount(of, weights=self.gram_logs[at, k], minlength=len(new)) for k in range(len(self.langs))], axis=1)
+            out[new] = total / n[:, None] * (np.minimum(n, 6) / 2)[:, None]
+        out = out - out.mean(1, keepdims=True)
+        return np.where(self.scripts[scripts_of(words)], out, out - WRONG_SCRIPT).astype(np.float32)
 
 
 def labelled_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
@@ -77,23 +107,17 @@ def labelled_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit a model on the rows with a text and a language. The sample is the sample_rows of each
-    language that come first by a hash of the text, so it depends on the rows alone."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang), F.xxhash64(text).alias("_h"))
-    first = Window.partitionBy(lang).orderBy("_h")
-    # the languages are few and hot: the first rows of each of 64 parts, then of the language
-    part = Window.partitionBy(lang, F.pmod("_h", F.lit(64))).orderBy("_h")
-    # only (lang, hash) is ranked; the cut is a hash per language
-    keys = rows.select(lang, "_h").withColumn("_i", F.row_number().over(part)).where(F.col("_i") <= sample_rows)
-    keys = keys.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= sample_rows)
-    last = {r[0]: r[1] for r in keys.groupBy(lang).agg(F.max("_h")).collect()}
-    langs = sorted(last)
+    """Fit a model on rows with a text and a language. The sample is the distinct texts whose hash is in the
+    first part of the hash range, the part set for each language so that about sample_rows are in it."""
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang, F.shiftrightunsigned(F.xxhash64(text), 1).alias("_h"))
+    many = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.approx_count_distinct("_h")).collect()}
+    langs = sorted(many)
     if not langs:
-        return Model([], {}, {}, np.zeros(0), {})
+        return fit([], pd.DataFrame({"lang": [], "word": [], "n": []}))
     keep = F.lit(False)
     for x in langs:
-        keep = keep | ((F.col(lang) == x) & (F.col("_h") <= last[x]))
-    words = labelled_words(rows.where(keep), text, lang)
+        keep = keep | ((F.col(lang) == x) & (F.col("_h") <= min((1 << 63) - 1, int(sample_rows / max(1, many[x]) * (1 << 63)))))
+    words = labelled_words(rows.where(keep).dropDuplicates([lang, "_h"]), text, lang)
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = words.withColumn("i", F.row_number().over(rank)).where(F.col("i") <= TOP_WORDS).select("lang", "word", "n").toPandas()
     return fit(langs, top)
@@ -101,23 +125,32 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_ro
 
 def fit(langs: list[str], counts: pd.DataFrame) -> Model:
     """counts: lang, word, n; at most TOP_WORDS rows for each language."""
-    at = {x: i for i, x in enumerate(langs)}
-    by_word: dict[str, np.ndarray] = {}
-    by_gram: dict[str, np.ndarray] = {}
-    by_script: dict[str, np.ndarray] = {}
-    for lang, word, n in zip(counts["lang"], counts["word"], counts["n"], strict=True):
-        for key, table in [(word, by_word), (script(word), by_script), *((g, by_gram) for g in grams(word[:64]))]:
-            table.setdefault(key, np.zeros(len(langs)))[at[lang]] += n
-
-    def logs(table: dict[str, np.ndarray], most: int, least: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        kept = set().union(*(sorted((k for k in table if table[k][i] >= least), key=lambda k: (-table[k][i], k))[:most] for i in range(len(langs))))
-        total = sum(table.values()) + len(kept)
-        return {k: np.log((table[k] + 0.5) / total) for k in kept}, np.log(0.5 / total)
-
-    words, _ = logs(by_word, TOP_WORDS, 5)
-    gram_logs, unseen = logs(by_gram, TOP_GRAMS, 2)
-    share = {k: v / sum(by_script.values()) for k, v in by_script.items()}
-    return Model(langs, words, gram_logs, unseen, {k: v >= 0.001 for k, v in share.items() if (v >= 0.001).any()})
+    words = counts["word"].to_list()
+    lang = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)
+    n = counts["n"].to_numpy(dtype=float)
+
+    def table(keys: np.ndarray, by: np.ndarray, weight: np.ndarray, most: int, least: float):
+        """Keys that are among the `most` frequent of a language, with their logs; logs of unseen ones last."""
+        names, at = np.unique(keys, return_inverse=True)
+        count = np.zeros((len(names), len(langs)))
+        np.add.at(count, (at, by), weight)
+        kept = np.zeros(len(names), bool)
+        for k in range(len(langs)):
+            top = np.lexsort((np.arange(len(names)), -count[:, k]))[:most]
+            kept[top[count[top, k] >= least]] = True
+        total = count.sum(0) + kept.sum() + 1
+        return names[kept], np.log((np.vstack([count[kept], np.zeros((1, len(langs)))]) + 0.5) / total)
+
+    names, word_logs = table(np.array(words, dtype=object), lang, n, TOP_WORDS, 5) if words else ([], np.zeros((1, len(langs))))
+    g, of = grams(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    keys, gram_logs = table(g, lang[of], n[of], TOP_GRAMS, 2)
+    written = np.zeros((len(SCRIPT_NAMES), len(langs)))
+    if words:
+        np.add.at(written, (scripts_of(words), lang), n)
+        written = written / written.sum(0)
+    writes = written >= LEAST_SHARE
+    writes[~writes.any(1)] = True
+    return Model(langs, {w: i for i, w in enumerate(names)}, word_logs, keys, gram_logs, writes)
 
 
 def viterbi(scores: np.ndarray, ends: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -153,33 +186,37 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, switch: float = SWITCH) -> np.
     return labels
 
 
-def label_words(model: Model, texts: list[str], cache: dict[str, int], rows: list[np.ndarray]):
-    """Words of the texts with their labels: (matches per text, ends, label per word)."""
-    words = [LETTERS.findall(t) for t in texts]
-    lower = [list(map(str.lower, w)) for w in words]
-    if len(rows) > CACHE:
-        cache.clear()
-        rows.clear()
-    for w in set(itertools.chain.from_iterable(lower)) - cache.keys():
-        cache[w] = len(rows)
-        rows.append(model.score(w).astype(np.float32))
-    ids = np.fromiter(map(cache.__getitem__, itertools.chain.from_iterable(lower)), np.int64)
-    ends = np.cumsum([len(w) for w in words])
-    if not len(ids):
-        return words, ends, np.zeros(0, np.int16)
-    return words, ends, viterbi(np.asarray(rows)[ids], ends)
-
-
-def _slices(texts: list[str], most: int = 1_000_000):
-    """Runs of texts of about `most` characters together."""
-    at = 0
-    while at < len(texts):
-        end, n = at, 0
-        while end < len(texts) and (n == 0 or n + len(texts[end]) <= most):
-            n += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
+class Labeller:
+    """Labels the words of texts, keeping the scores of words that it has met."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.langs)), np.float32)
+
+    def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end of each text, letters of each word, label of each word)."""
+        words = [lower_words(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(words))
+        if len(self.place) > CACHE:
+            self.clear()
+        new = list(set(flat) - self.place.keys())
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.model.score(new)])
+        ids = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        ends = np.cumsum([len(w) for w in words])
+        size = np.fromiter(map(len, flat), np.int64, len(flat))
+        return ends, size, viterbi(self.scores[ids], ends) if len(ids) else np.zeros(0, np.int16)
+
+
+def lower_words(text: str) -> list[str]:
+    """Lower-cased words, as many as there are in the text itself."""
+    low = text.lower()
+    return LETTERS.findall(low) if len(low) == len(text) else [w.lower() for w in LETTERS.findall(text)]
 
 
 def detect(df: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
@@ -196,22 +233,21 @@ def detect(df: DataFrame, model: Model, text: str = "text", spans: bool = False)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by TOP_WORDS, TOP_GRAMS and the languages
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, cache, rows = shared.value, {}, []
-        names = np.array(m.langs, dtype=object)
+        labeller = Labeller(shared.value)
+        names = np.array(shared.value.langs, dtype=object)
         for s in batches:
             whole = ["" if t is None else t for t in s]
             out = []
-            for a, b in _slices(whole):
-                texts = whole[a:b]
-                words, ends, labels = label_words(m, texts, cache, rows) if len(names) else ([[] for _ in texts], np.zeros(len(texts), int), np.zeros(0, int))
-                sizes = np.fromiter(map(len, itertools.chain.from_iterable(words)), np.int64)
+            for a, b in runs(list(map(len, whole)), SLICE):
+                texts = whole[a:b] if len(names) else [""] * (b - a)
+                ends, sizes, labels = labeller.label(texts)
                 begin = 0
                 for text_, end in zip(texts, ends, strict=True):
-                    if begin == end or not any(map(str.isalpha, text_)):
-                        begin = end
+                    lab, size = labels[begin:end], sizes[begin:end]
+                    begin = end
+                    if not len(lab) or not any(map(str.isalpha, text_)):
                         out.append(("und", 0.0, 0, []) if spans else ("und", 0.0, 0))
                         continue
-                    lab, size = labels[begin:end], sizes[begin:end]
                     letters = np.bincount(lab, weights=size, minlength=len(names))
                     top = int(letters.argmax())
                     turn = np.flatnonzero(np.diff(lab)) + 1
@@ -221,7 +257,6 @@ def detect(df: DataFrame, model: Model, text: str = "text", spans: bool = False)
                         cuts = [0, *turn.tolist(), len(lab)]
                         row += ([(at[i][0], at[j - 1][1], names[lab[i]]) for i, j in itertools.pairwise(cuts)],)
                     out.append(row)
-                    begin = end
             yield pd.DataFrame(out, columns=[f.name for f in fields])
 
     udf = F.pandas_udf(run, T.StructType(fields))
