@@ -27,11 +27,11 @@ from .common import components, documents, stash
 #: Words in a shingle and the least similarity, as a percentage.
 WORDS, PERCENT = 5, 80
 #: Ratio between the ends of a size band, bits of a block, and the blocks above D as a share of D.
-BAND, BLOCK_BITS, SPARE = 1.25, 64, 0.09
-#: 64-bit words of the whole-document sketch.
-SKETCH = 8
+BAND, BLOCK_BITS, SPARE = 1.15, 64, 0.3
 #: Keys gathered in a task before they are sent on, and parts of the key space for each shuffle partition.
 FLUSH, PARTS = 2_000_000, 2
+#: Documents that are compared with one lead in a group.
+GROUP = 256
 
 
 def bands(percent: int = PERCENT, up_to: int = 1 << 40) -> list[tuple[int, int]]:
@@ -58,18 +58,17 @@ class Sketcher:
     def keys(self, s: np.ndarray) -> np.ndarray:
         """A 64-bit key for each block that the set shares its content with candidates by.
 
-        The larger document of a pair names the band, so a set goes into its own band and into the next
-        one, if a set there can be similar. Sets in bands with D = 0 are similar only if equal: one key.
+        The larger document of a pair names the band, so a set goes into its own band and into those after
+        it that have sets similar to it. The lowest bit of a key is 1 in the set's own band: a block without
+        such a set has no pair to test. Sets in bands with D = 0 are similar only if equal: one key.
         """
-        own = int(np.searchsorted(self.first, len(s), "right")) - 1
+        band = own = int(np.searchsorted(self.first, len(s), "right")) - 1
         out = []
-        for band in (own, own + 1):
-            low, d = self.bands[band]
-            if band > own and 100 * len(s) < self.percent * low:
-                continue
-            tag = B.FACTORS[40 + band % 2] + np.uint64(band)
+        while not out or 100 * len(s) >= self.percent * self.bands[band][0]:
+            d, tag = self.bands[band][1], B.mix(B.FACTORS[40:41] + np.uint64(band))[0]
+            mine, band = np.uint64(band == own), band + 1
             if d == 0:
-                out.append(B.mix(np.bitwise_xor.reduce(B.mix(s + tag), keepdims=True)))
+                out.append(B.mix(np.bitwise_xor.reduce(B.mix(s + tag), keepdims=True)) << np.uint64(1) | mine)
                 continue
             spare = max(2, int(SPARE * d) + 1)
             m = d + 1 + spare
@@ -77,20 +76,21 @@ class Sketcher:
             block = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             word = np.zeros(m, np.uint64)
             np.bitwise_xor.at(word, block, np.uint64(1) << (h & np.uint64(BLOCK_BITS - 1)))
-            full = np.flatnonzero(word)
-            out.append(B.mix(word[full] + B.mix(tag + full.astype(np.uint64) * B.FACTORS[41])))
-            # sketches agree in more than `spare` blocks; if all of those may be empty, empty blocks count too
-            if m - len(full) > spare:
-                empty = np.flatnonzero(word == 0).astype(np.uint64)
-                out.append(B.mix(B.mix(tag + empty * B.FACTORS[41]) ^ B.FACTORS[42]))
+            # sketches agree in more than `spare` blocks. Both documents order these alike by their bits set, so
+            # each may leave out its `spare` emptiest blocks: the fullest of those that agree is left out by neither
+            full = np.argsort(np.bitwise_count(word), kind="stable")[spare:]
+            out.append(B.mix(word[full] + B.mix(tag + full.astype(np.uint64) * B.FACTORS[41])) << np.uint64(1) | mine)
         return np.concatenate(out)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Whole-document parity sketch of SKETCH words."""
-    h = B.mix(s ^ B.FACTORS[43])
-    word = np.zeros(SKETCH, np.uint64)
-    np.bitwise_xor.at(word, ((h >> np.uint64(40)) % np.uint64(SKETCH)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    """Whole-document parity sketch: a power of two of bits, as many as the set has elements or more.
+
+    A sketch of twice the bits becomes one of half by XOR of its halves."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    at = (B.mix(s ^ B.FACTORS[43]) & np.uint64(bits - 1)).astype(np.int64)
+    word = np.zeros(bits // 64, np.uint64)
+    np.bitwise_xor.at(word, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     return word
 
 
@@ -100,22 +100,19 @@ def _raw(texts: pa.Array) -> Iterator[bytes]:
 
 
 def describe(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, n, h1, h2, x0 ..): set size, 128-bit hash of the set and whole-document sketch; no text: n = 0."""
-    names = [f"x{i}" for i in range(SKETCH)]
+    """(doc, n, h1, h2, x): set size, 128-bit hash of the set and whole-document sketch; no text: n = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.zeros((len(batch), 3 + SKETCH), np.uint64)
+            rows, sketches = np.zeros((3, len(batch)), np.uint64), []
             for i, t in enumerate(_raw(batch.column(1))):
                 s = B.shingles(t, WORDS)
-                rows[i, 0] = len(s)
                 if len(s):
-                    rows[i, 1], rows[i, 2] = B.mix(s).sum(dtype=np.uint64), B.mix(s ^ B.FACTORS[44]).sum(dtype=np.uint64)
-                    rows[i, 3:] = sketch(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.view(np.int64).T)], names=["doc", "n", "h1", "h2", *names])
+                    rows[:, i] = len(s), B.mix(s).sum(dtype=np.uint64), B.mix(s ^ B.FACTORS[44]).sum(dtype=np.uint64)
+                sketches.append(sketch(s).view(np.int64) if len(s) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.view(np.int64)), pa.array(sketches, pa.list_(pa.int64()))], names=["doc", "n", "h1", "h2", "x"])
 
-    schema = "doc long, n long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names)
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, schema)
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "doc long, n long, h1 long, h2 long, x array<long>")
 
 
 def deal_keys(df: DataFrame, key: str, text: str, parts: int, percent: int) -> DataFrame:
@@ -126,7 +123,7 @@ def deal_keys(df: DataFrame, key: str, text: str, parts: int, percent: int) -> D
 
         def flush() -> pa.RecordBatch:
             k, d = np.concatenate(keys), np.repeat([x for x, _ in docs], [n for _, n in docs])
-            part = (k % np.uint64(parts)).astype(np.int64)
+            part = ((k >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             k, d, cut = k[order], d[order].astype(np.int64), np.searchsorted(part[order], np.arange(parts + 1))
             rows = [(p, k[a:b].tobytes(), d[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
@@ -150,14 +147,16 @@ def deal_keys(df: DataFrame, key: str, text: str, parts: int, percent: int) -> D
 
 
 def star_candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """(lead, doc): every document of a block with the smallest one, each pair once."""
+    """(lead, doc): every document of a block with the smallest one that is in its own band there, each pair once."""
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
     doc = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
     order = np.argsort(key)
     key, doc = key[order], doc[order]
+    own, key = key & np.uint64(1) > 0, key >> np.uint64(1)
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    lead = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-    pair = np.stack([lead, doc])[:, lead != doc]
+    none = np.iinfo(np.int64).max
+    lead = np.minimum.reduceat(np.where(own, doc, none), np.flatnonzero(new))[np.cumsum(new) - 1]
+    pair = np.stack([lead, doc])[:, (lead != doc) & (lead != none)]
     order = np.lexsort(pair)
     pair = pair[:, order]
     first = np.ones(pair.shape[1], bool)
@@ -167,34 +166,39 @@ def star_candidates(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _allowed(a: str, b: str, percent: int):
     """Sizes and sketches of a and b do not rule out a link."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.x{i}").bitwiseXOR(F.col(f"{b}.x{i}"))) for i in range(SKETCH)), F.lit(0))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+    na, nb, x, y = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.x"), F.col(f"{b}.x")
+    half = lambda v: (F.size(v) / 2).cast("int")
+    folded = lambda v: F.zip_with(F.slice(v, F.lit(1), half(v)), F.slice(v, half(v) + 1, half(v)), lambda p, q: p.bitwiseXOR(q))
+    to = lambda v, other: F.when(F.size(v) > F.size(other), folded(v)).otherwise(v)
+    differ = F.aggregate(F.zip_with(to(x, y), to(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m)
+    near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return F.when(near, (100 + percent) * differ <= (100 - percent) * (na + nb)).otherwise(False)
+
+
+def compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b) of the documents of a group that are linked to its lead, whose own row has doc = a."""
+    un, lead = zstandard.ZstdDecompressor(), int(rows["a"].iloc[0])
+    sets = {d: B.shingles(un.decompress(z), WORDS) for d, z in zip(rows["doc"], rows["z"], strict=True)}
+    first, out = sets.pop(lead), []
+    for d, s in sets.items():
+        both = int((first[np.minimum(np.searchsorted(first, s), len(first) - 1)] == s).sum())
+        if 100 * both >= percent * (len(first) + len(s) - both):
+            out.append(d)
+    return pd.DataFrame({"a": np.full(len(out), lead, np.int64), "b": np.array(out, np.int64)})
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs that are linked, on the whole sets. texts: (doc, z), texts compressed."""
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        un = zstandard.ZstdDecompressor()
-        for batch in batches:
-            z = [B.shingles(un.decompress(x.as_py()), WORDS).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["doc", "s"])
+    """(a, b) of the distinct pairs that are linked, on the whole sets. texts: (doc, z), texts compressed.
 
-    s = stash(texts.join(ids, "doc", "left_semi").mapInArrow(sets, "doc long, s binary"))
-
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= percent * (len(p) + len(q) - both))
-        return pd.Series(out)
-
-    a, b = s.select(F.col("doc").alias("a"), F.col("s").alias("sa")), s.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").where(linked("sa", "sb")).select("a", "b")
+    A lead `a` meets its partners in groups of about GROUP, each with a copy of its text, so that a lead with
+    very many partners is spread over tasks.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("g"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).alias("salt"))
+    text = lambda name: texts.select(F.col("doc").alias(name), "z")
+    partners = dealt.join(text("b"), "b").select("a", "salt", F.col("b").alias("doc"), "z")
+    leads = dealt.select("a", "salt").distinct().join(text("a"), "a").select("a", "salt", F.col("a").alias("doc"), "z")
+    return partners.unionByName(leads).groupBy("a", "salt").applyInPandas(lambda rows: compare(rows, percent), "a long, b long")
 
 
 def compress(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -218,7 +222,7 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     told = stash(describe(df, key, text))
     some = told.where("n > 0 and doc is not null")
     # equal sets are one class from here on, named by its smallest document
-    same = some.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), *[F.first(f"x{i}").alias(f"x{i}") for i in range(SKETCH)])
+    same = some.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.first("x").alias("x"))
     reps = stash(same)
     class_of = stash(some.select("doc", "h1", "h2", "n").join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("doc", "rep"))
     parts = PARTS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -230,7 +234,9 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     x, y = reps.alias("x"), reps.alias("y")
     stars = stars.join(x, F.col("lead") == F.col("x.rep")).join(y, F.col("doc") == F.col("y.rep"))
     stars = stash(stars.select("lead", "doc", _allowed("x", "y", percent).alias("may")))
-    texts = compress(df, key, text)
+    # all later comparisons are among these documents: their texts are sent once
+    met = stars.select("lead").union(stars.select("doc")).distinct().withColumnRenamed("lead", "doc")
+    texts = stash(compress(df, key, text).join(met, "doc", "left_semi"))
     linked = stash(verify(stars.where("may").select(F.col("lead").alias("a"), F.col("doc").alias("b")), texts, percent))
     # documents that met in a block, one of them not linked to its lead: pairs across components are left to test
     group = stash(components(linked))
