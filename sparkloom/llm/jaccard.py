@@ -29,7 +29,7 @@ WORDS, PERCENT = 5, 80
 #: Ratio between the ends of a size band, bits of a block, and the blocks above D as a share of D.
 BAND, BLOCK_BITS, SPARE = 1.15, 64, 0.3
 #: Keys gathered in a task before they are sent on, and parts of the key space for each shuffle partition.
-FLUSH, PARTS = 2_000_000, 2
+FLUSH, PARTS = 1_000_000, 2
 #: Documents that are compared with one lead in a group.
 GROUP = 256
 
