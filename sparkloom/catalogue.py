@@ -365,7 +365,7 @@ def overlap_sql(question: str, text: str, anchors: str) -> str:
 
 
 VERSION_SQL = "make_date(2024, (d.doc_id % 6 + 1)::int, 1)"
-HYBRID_SQL = f"""{NEAR_SQL}, h as (select n.qid, n.id, 0.65::double * c + 0.25::double * {overlap_sql('q.text', 'd.text', "['tion', 'an']")} + 0.1::double * {RECENCY_SQL(VERSION_SQL)} as s
+HYBRID_SQL = f"""{NEAR_SQL[:-1]} and b.vec_id in (select doc_id from documents)), h as (select n.qid, n.id, 0.65::double * c + 0.25::double * {overlap_sql('q.text', 'd.text', "['tion', 'an']")} + 0.1::double * {RECENCY_SQL(VERSION_SQL)} as s
   from n join documents d on d.doc_id = n.id join documents q on q.doc_id = n.qid where i <= 30),
 r as (select *, row_number() over (partition by qid order by s desc, id) as i from h)"""
 
@@ -454,7 +454,7 @@ def merge_rerank(spark, sf_dir):
 
 
 @query(f"""with {MERGE_SQL}, k as (select qid, max({overlap_sql('question', 'text', "['tion', 'an']")}) as fit from r where i <= 4 group by qid)
-select vec_id as qid, round(coalesce(fit, 0), 6) as fit, coalesce(fit, 0) < 0.06 as no_answer from embeddings left join k on qid = vec_id where vec_id % 25 = 0""")
+select vec_id as qid, round(coalesce(fit, 0), 6) as fit, coalesce(fit, 0) < 0.06 as no_answer from embeddings join documents on doc_id = vec_id left join k on qid = vec_id where vec_id % 25 = 0""")
 def fit_gate(spark, sf_dir):
     q, top = merged(spark, sf_dir)
     return rank.fit(top, q).select("qid", F.round("fit", 6).alias("fit"), (F.col("fit") < rules.RANKING.least_fit).alias("no_answer"))
