@@ -68,7 +68,7 @@ def shard(df: DataFrame, key: list[str], n_shards: int, seed: int = 11, block_ro
     ends = spark.createDataFrame([(b, np.cumsum(row).tolist()) for b, row in enumerate(matrix)], "_b int, _ends array<long>")
     # permute locally and cut; the matrix has one short row for each block_rows rows
     local = Window.partitionBy("_b").orderBy(draw(1), *key)
-    out = df.withColumn("_p", F.row_number().over(local)).join(F.broadcast(ends), "_b")
+    out = df.withColumn("_p", F.row_number().over(local)).join(ends, "_b")
     out = out.withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_p")))).drop("_ends", "_p", "_b")
     # permute each shard: ranges of a second draw in order, and a sort inside a range
     per_shard = max(1, -(-rows // (block_rows * n_shards)))
@@ -76,7 +76,7 @@ def shard(df: DataFrame, key: list[str], n_shards: int, seed: int = 11, block_ro
     sizes = out.groupBy("shard", "_q").count()
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inside = Window.partitionBy("shard", "_q").orderBy("_h", *key)
-    out = out.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(sizes), ["shard", "_q"])
+    out = out.withColumn("_i", F.row_number().over(inside)).join(sizes, ["shard", "_q"])
     return out.withColumn("slot", (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_h", "_q", "_i", "_before")
 
 
