@@ -50,24 +50,36 @@ def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64) * FACTORS[60])
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text, A-Z lower-cased, separated by space and 0x09 to 0x0D."""
-    b = _LOWER[np.frombuffer(text, np.uint8)]
-    gap = np.concatenate([[True], _SPACE[b], [True]])
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    return span_hashes(prefix_hashes(b), edge[::2], edge[1::2])
+def shingle_sets(texts: list[bytes], n: int = 5, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, sets, sizes) for runs of about `most` bytes: the sorted distinct hashes of each text's n-word
+    shingles, end to end, and their number. A text with fewer words has one, its whole sequence; without words none."""
+    sizes = [len(t) + 1 for t in texts]
+    for low, high in runs(sizes, most):
+        b = _LOWER[np.frombuffer(b" ".join(texts[low:high]), np.uint8)]
+        gap = np.concatenate([[True], _SPACE[b], [True]])
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        w = span_hashes(prefix_hashes(b), edge[::2], edge[1::2])
+        ends = np.searchsorted(edge[::2], np.cumsum(sizes[low:high]))
+        words = np.diff(ends, prepend=0)
+        take = np.minimum(n, words)
+        count = np.where(words > 0, words - take + 1, 0)
+        of = np.repeat(np.arange(high - low), count)
+        at = np.arange(len(of)) + np.repeat(ends - words - (np.cumsum(count) - count), count)
+        w, take = np.append(w, np.zeros(n, np.uint64)), take[of]
+        total = take.astype(np.uint64)
+        for k in range(n):
+            total += np.where(k < take, w[at + k] * FACTORS[k], np.uint64(0))
+        total, stop = mix(total), np.cumsum(count)
+        for x, y in zip((stop - count).tolist(), stop.tolist(), strict=True):
+            total[x:y].sort()
+        new = np.ones(len(total), bool)
+        new[1:] = (total[1:] != total[:-1]) | (of[1:] != of[:-1])
+        yield low, total[new], np.bincount(of[new], minlength=high - low)
 
 
 def shingles(text: bytes, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; of the whole sequence where there are fewer words."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    n = min(n, len(w))
-    total = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        total += w[k : len(w) - n + 1 + k] * FACTORS[k]
-    return np.unique(mix(total))
+    """Sorted distinct hashes of the n-word shingles of one text."""
+    return next(shingle_sets([text], n))[1]
 
 
 def windowed_least(x: np.ndarray, w: int) -> np.ndarray:

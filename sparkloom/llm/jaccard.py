@@ -2,8 +2,9 @@
 
 Every shingle flips one bit of a document's sketch, so two sketches differ in no more bits than the
 shingle sets differ in elements. Documents of a size band that reach the threshold differ in at most D
-elements, D by the band; cut into more than D blocks, their sketches agree in some block. Documents that
-agree in a block of a band are candidates and are verified on their whole sets.
+elements, D by the band; cut into more than D blocks, their sketches agree in some blocks. As they agree in
+several, each document leaves out its most crowded ones. Documents that agree in a block of a band are
+candidates and are verified on their whole sets.
 
 A block shared by many documents gives each of them one candidate, the smallest document of the block.
 Documents of a block that this does not connect are then compared among themselves, where their sketches
@@ -27,7 +28,9 @@ from .common import components, documents, stash
 #: Words in a shingle and the least similarity, as a percentage.
 WORDS, PERCENT = 5, 80
 #: Ratio between the ends of a size band, bits of a block, and the blocks above D as a share of D.
-BAND, BLOCK_BITS, SPARE = 1.15, 64, 0.3
+BAND, BLOCK_BITS, SPARE = 1.4, 64, 0.3
+#: Hash values by which the documents of a block are counted.
+SLOTS = 1 << 21
 #: Keys gathered in a task before they are sent on, and parts of the key space for each shuffle partition.
 FLUSH, PARTS = 1_000_000, 2
 #: Documents that are compared with one lead in a group.
@@ -48,102 +51,151 @@ def bands(percent: int = PERCENT, up_to: int = 1 << 40) -> list[tuple[int, int]]
     return out
 
 
-class Sketcher:
-    """Block keys of shingle sets."""
+class Blocks:
+    """Blocks of the parity sketches of shingle sets, many sets at once.
+
+    The larger document of a pair names the band, so a set goes into its own band and into those after it that
+    have sets similar to it. Bands with D = 0 are left out: their sets are similar only if equal.
+    """
 
     def __init__(self, percent: int = PERCENT):
-        self.percent, self.bands = percent, bands(percent)
-        self.first = np.array([b[0] for b in self.bands])
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each block that the set shares its content with candidates by.
-
-        The larger document of a pair names the band, so a set goes into its own band and into those after
-        it that have sets similar to it. The lowest bit of a key is 1 in the set's own band: a block without
-        such a set has no pair to test. Sets in bands with D = 0 are similar only if equal: one key.
-        """
-        band = own = int(np.searchsorted(self.first, len(s), "right")) - 1
-        out = []
-        while not out or 100 * len(s) >= self.percent * self.bands[band][0]:
-            d, tag = self.bands[band][1], B.mix(B.FACTORS[40:41] + np.uint64(band))[0]
-            mine, band = np.uint64(band == own), band + 1
-            if d == 0:
-                out.append(B.mix(np.bitwise_xor.reduce(B.mix(s + tag), keepdims=True)) << np.uint64(1) | mine)
-                continue
-            spare = max(2, int(SPARE * d) + 1)
-            m = d + 1 + spare
-            h = B.mix(s + tag)
-            block = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            word = np.zeros(m, np.uint64)
-            np.bitwise_xor.at(word, block, np.uint64(1) << (h & np.uint64(BLOCK_BITS - 1)))
-            # sketches agree in more than `spare` blocks. Both documents order these alike by their bits set, so
-            # each may leave out its `spare` emptiest blocks: the fullest of those that agree is left out by neither
-            full = np.argsort(np.bitwise_count(word), kind="stable")[spare:]
-            out.append(B.mix(word[full] + B.mix(tag + full.astype(np.uint64) * B.FACTORS[41])) << np.uint64(1) | mine)
-        return np.concatenate(out)
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Whole-document parity sketch: a power of two of bits, as many as the set has elements or more.
-
-    A sketch of twice the bits becomes one of half by XOR of its halves."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
-    at = (B.mix(s ^ B.FACTORS[43]) & np.uint64(bits - 1)).astype(np.int64)
-    word = np.zeros(bits // 64, np.uint64)
-    np.bitwise_xor.at(word, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    return word
-
-
-def _raw(texts: pa.Array) -> Iterator[bytes]:
-    for t in texts:
-        yield t.as_buffer().to_pybytes() if t.is_valid else b""
+        self.percent, table = percent, bands(percent)
+        self.first, self.most = (np.array(x) for x in zip(*table, strict=True))
+        self.last = np.append(self.first[1:], 1 << 40) - 1
+
+    def words(self, s: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(set, key, bits, blocks, drop, own) for the first band of every set, then for the second, and so on.
+
+        set, blocks, drop, own: one entry for a set. key, bits: one for a block, set by set. Documents that are
+        linked agree in more than `drop` blocks of either of them. own: the band is the set's own."""
+        own = band = np.searchsorted(self.first, n, "right") - 1
+        start, live = np.cumsum(n) - n, n > 0
+        while live.any():
+            use = np.flatnonzero(live & (self.most[band] > 0))
+            if len(use):
+                b, size = band[use], n[use]
+                d, tag = self.most[b], B.mix(B.FACTORS[40] + b.astype(np.uint64))
+                m = d + 1 + np.maximum(2, (SPARE * d).astype(np.int64) + 1)
+                # the partner is in the band or below it, and similar
+                partner = np.minimum(self.last[b], 100 * size // self.percent)
+                drop = m - 1 - (100 - self.percent) * (size + partner) // (100 + self.percent)
+                of, to = np.repeat(np.arange(len(use)), size), np.cumsum(m) - m
+                h = B.mix(s[np.arange(len(of)) + np.repeat(start[use] - (np.cumsum(size) - size), size)] + tag[of])
+                block = ((h >> np.uint64(32)) * m.astype(np.uint64)[of] >> np.uint64(32)).astype(np.int64) + to[of]
+                word = np.zeros(int(m.sum()), np.uint64)
+                np.bitwise_xor.at(word, block, np.uint64(1) << (h & np.uint64(BLOCK_BITS - 1)))
+                place = (np.arange(len(word)) - np.repeat(to, m)).astype(np.uint64)
+                yield use, B.mix(word + B.mix(np.repeat(tag, m) + place * B.FACTORS[41])), np.bitwise_count(word), m, drop, b == own[use]
+            band = np.minimum(band + 1, len(self.first) - 1)
+            live &= 100 * n >= self.percent * self.first[band]
+
+    def keys(self, s: np.ndarray, n: np.ndarray, crowd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(set, key): the keys by which a set meets its candidates, without the `drop` most crowded of each band.
+
+        All documents order blocks that agree alike, so the least crowded one of those that two linked documents
+        agree in comes after more than `drop` others in both: neither of them leaves it out. Any crowd will do, by
+        hash of the key; it only decides how many documents meet in vain. The lowest bit of a key is 1 in the set's
+        own band: a block without such a set has no pair to test."""
+        for use, key, bits, m, drop, own in self.words(s, n):
+            of = np.repeat(np.arange(len(use)), m)
+            rank = of << 32 | (65535 - crowd[(key & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64)) << 8 | bits
+            order = np.argsort(rank, kind="stable")
+            order = order[np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) >= drop[of]]
+            of = of[order]
+            yield use[of], key[order] & ~np.uint64(1) | own[of].astype(np.uint64)
+
+
+def sketches(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, number of words of each set): parity sketches of sets, each of a power of two of bits, as many as the
+    set has elements or more. A sketch of twice the bits becomes one of half by XOR of its halves."""
+    long = np.where(n > 0, 1 << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 6), 0)
+    of = np.repeat(np.arange(len(n)), n)
+    at = (B.mix(s ^ B.FACTORS[43]) & (64 * long - 1).astype(np.uint64)[of]).astype(np.int64)
+    word = np.zeros(int(long.sum()), np.uint64)
+    np.bitwise_xor.at(word, (at >> 6) + (np.cumsum(long) - long)[of], np.uint64(1) << (at & 63).astype(np.uint64))
+    return word, long
+
+
+def _raw(texts: pa.Array) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
 
 
 def describe(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, n, h1, h2, x): set size, 128-bit hash of the set and whole-document sketch; no text: n = 0."""
+    """(doc, n, h1, h2, x, z): set size, 128-bit hash of the set, its sketch and the text as a zstandard frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            rows, sketches = np.zeros((3, len(batch)), np.uint64), []
-            for i, t in enumerate(_raw(batch.column(1))):
-                s = B.shingles(t, WORDS)
-                if len(s):
-                    rows[:, i] = len(s), B.mix(s).sum(dtype=np.uint64), B.mix(s ^ B.FACTORS[44]).sum(dtype=np.uint64)
-                sketches.append(sketch(s).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.view(np.int64)), pa.array(sketches, pa.list_(pa.int64()))], names=["doc", "n", "h1", "h2", "x"])
+            raw = _raw(batch.column(1))
+            for low, s, n in B.shingle_sets(raw, WORDS):
+                start = np.cumsum(n) - n
+                h = [np.add.reduceat(np.append(B.mix(v), np.uint64(0)), start) * (n > 0).astype(np.uint64) for v in (s, s ^ B.FACTORS[44])]
+                word, long = sketches(s, n)
+                x = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(long)), pa.int32()), pa.array(word.view(np.int64)))
+                z = pa.array([c.compress(t) for t in raw[low : low + len(n)]], pa.binary())
+                cols = [batch.column(0).slice(low, len(n)), pa.array(n, pa.int64()), *(pa.array(v.view(np.int64)) for v in h), x, z]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "n", "h1", "h2", "x", "z"])
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "doc long, n long, h1 long, h2 long, x array<long>")
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "doc long, n long, h1 long, h2 long, x array<long>, z binary")
 
 
-def deal_keys(df: DataFrame, key: str, text: str, parts: int, percent: int) -> DataFrame:
-    """(part, keys, docs): block keys of all documents, packed by part of the key space."""
+def count_keys(texts: DataFrame, percent: int) -> np.ndarray:
+    """How crowded the blocks of all documents are: the documents of each of SLOTS hash values of their keys, as a
+    logarithm in 16 bits. A table of this one size, however many the documents. texts: (doc, z)."""
+    slices = 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        un, blocks, counts = zstandard.ZstdDecompressor(), Blocks(percent), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, s, n in B.shingle_sets([un.decompress(z.as_py()) for z in batch.column(0)], WORDS):
+                for _, key, *_ in blocks.words(s, n):
+                    np.add.at(counts, (key & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        if counts.any():
+            c = zstandard.ZstdCompressor(level=1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([c.compress(x.tobytes()) for x in np.split(counts, slices)], pa.binary())], names=["slice", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        un, total = zstandard.ZstdDecompressor(), np.zeros(SLOTS // slices, np.int64)
+        for x in rows["counts"]:
+            total += np.frombuffer(un.decompress(x), np.int64)
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "level": [(np.log2(total + 1) * 1000).astype(np.uint16).tobytes()]})
+
+    crowd = np.zeros((slices, SLOTS // slices), np.uint16)
+    found = texts.select("z").mapInArrow(run, "slice int, counts binary")
+    for r in found.groupBy("slice").applyInPandas(add, "slice int, level binary").collect():
+        crowd[r["slice"]] = np.frombuffer(r["level"], np.uint16)
+    return crowd.reshape(-1)
+
+
+def deal_keys(texts: DataFrame, parts: int, percent: int, crowd: np.ndarray) -> DataFrame:
+    """(part, keys, docs): block keys of all documents, packed by part of the key space. texts: (doc, z)."""
+    shared = texts.sparkSession.sparkContext.broadcast(crowd)  # SLOTS entries of 16 bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher, keys, docs, held = Sketcher(percent), [], [], 0
+        un, blocks, keys, docs, held = zstandard.ZstdDecompressor(), Blocks(percent), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            k, d = np.concatenate(keys), np.repeat([x for x, _ in docs], [n for _, n in docs])
-            part = ((k >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+            k, d = np.concatenate(keys), np.concatenate(docs)
+            part = ((k >> np.uint64(1)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            k, d, cut = k[order], d[order].astype(np.int64), np.searchsorted(part[order], np.arange(parts + 1))
+            k, d, cut = k[order], d[order], np.searchsorted(part[order], np.arange(parts + 1))
             rows = [(p, k[a:b].tobytes(), d[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "docs"])
 
         for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), strict=True):
-                s = B.shingles(t, WORDS)
-                if doc is None or not len(s):
-                    continue
-                keys.append(sketcher.keys(s))
-                docs.append((doc, len(keys[-1])))
-                held += len(keys[-1])
+            doc = batch.column(0).to_numpy()
+            for low, s, n in B.shingle_sets([un.decompress(z.as_py()) for z in batch.column(1)], WORDS):
+                for of, key in blocks.keys(s, n, shared.value):
+                    keys.append(key)
+                    docs.append(doc[low + of])
+                    held += len(key)
                 if held > FLUSH:
                     yield flush()
                     keys, docs, held = [], [], 0
         if held:
             yield flush()
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "part int, keys binary, docs binary")
+    return texts.select("doc", "z").mapInArrow(run, "part int, keys binary, docs binary")
 
 
 def star_candidates(rows: pd.DataFrame) -> pd.DataFrame:
@@ -178,13 +230,15 @@ def _allowed(a: str, b: str, percent: int):
 def compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """(a, b) of the documents of a group that are linked to its lead, whose own row has doc = a."""
     un, lead = zstandard.ZstdDecompressor(), int(rows["a"].iloc[0])
-    sets = {d: B.shingles(un.decompress(z), WORDS) for d, z in zip(rows["doc"], rows["z"], strict=True)}
-    first, out = sets.pop(lead), []
-    for d, s in sets.items():
-        both = int((first[np.minimum(np.searchsorted(first, s), len(first) - 1)] == s).sum())
-        if 100 * both >= percent * (len(first) + len(s) - both):
-            out.append(d)
-    return pd.DataFrame({"a": np.full(len(out), lead, np.int64), "b": np.array(out, np.int64)})
+    texts, docs = [un.decompress(z) for z in rows["z"]], rows["doc"].to_numpy()
+    first, out = B.shingles(texts[int(np.flatnonzero(docs == lead)[0])], WORDS), []
+    for low, s, n in B.shingle_sets(texts, WORDS):
+        here = (first[np.minimum(np.searchsorted(first, s), len(first) - 1)] == s).astype(np.int64)
+        both = np.add.reduceat(np.append(here, 0), np.cumsum(n) - n)
+        out.append(docs[low : low + len(n)][100 * both >= percent * (len(first) + n - both)])
+    linked = np.unique(np.concatenate(out))
+    linked = linked[linked != lead]
+    return pd.DataFrame({"a": np.full(len(linked), lead, np.int64), "b": linked})
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -221,37 +275,34 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     """
     told = stash(describe(df, key, text))
     some = told.where("n > 0 and doc is not null")
-    # equal sets are one class from here on, named by its smallest document
-    same = some.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.first("x").alias("x"))
-    reps = stash(same)
-    class_of = stash(some.select("doc", "h1", "h2", "n").join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("doc", "rep"))
+    # equal sets are one class from here on, named by its smallest document; the text of that one stands for them
+    named = stash(some.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
+    texts = stash(some.join(named, (F.col("doc") == F.col("rep")), "left_semi").select("doc", "n", "x", "z"))
+    reps = texts.select("doc", "n", "x")
     parts = PARTS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = deal_keys(df, key, text, parts, percent)
-    stars = dealt.groupBy("part").applyInPandas(star_candidates, "lead long, doc long").distinct()
-    of = lambda name: class_of.select(F.col("doc").alias(name), F.col("rep").alias(f"{name}_rep"))
-    stars = stars.join(of("lead"), "lead").join(of("doc"), "doc").where("lead_rep != doc_rep")
-    stars = stash(stars.select(F.col("lead_rep").alias("lead"), F.col("doc_rep").alias("doc")).distinct())
+    dealt = deal_keys(texts, parts, percent, count_keys(texts, percent))
+    stars = stash(dealt.groupBy("part").applyInPandas(star_candidates, "lead long, doc long").distinct())
     x, y = reps.alias("x"), reps.alias("y")
-    stars = stars.join(x, F.col("lead") == F.col("x.rep")).join(y, F.col("doc") == F.col("y.rep"))
-    stars = stash(stars.select("lead", "doc", _allowed("x", "y", percent).alias("may")))
-    # all later comparisons are among these documents: their texts are sent once
-    met = stars.select("lead").union(stars.select("doc")).distinct().withColumnRenamed("lead", "doc")
-    texts = stash(compress(df, key, text).join(met, "doc", "left_semi"))
+    stars = stars.alias("s").join(x, F.col("s.lead") == F.col("x.doc")).join(y, F.col("s.doc") == F.col("y.doc"))
+    stars = stash(stars.select("s.lead", "s.doc", _allowed("x", "y", percent).alias("may")))
     linked = stash(verify(stars.where("may").select(F.col("lead").alias("a"), F.col("doc").alias("b")), texts, percent))
     # documents that met in a block, one of them not linked to its lead: pairs across components are left to test
     group = stash(components(linked))
-    failed = stars.join(linked, (F.col("lead") == F.col("a")) & (F.col("doc") == F.col("b")), "left_anti")
-    found = reps.join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    with_ = lambda d, name: d.join(found.withColumnRenamed("rep", "doc"), "doc").alias(name)
-    x, y = with_(failed.select("lead", "doc"), "x"), with_(stars.select("lead", "doc"), "y")
-    cross = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", percent))
+    known = stars.join(linked.withColumn("linked", F.lit(True)), (F.col("lead") == F.col("a")) & (F.col("doc") == F.col("b")), "left")
+    known = known.select("lead", "doc", F.col("linked").isNull().alias("failed"))
+    found = reps.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    known = stash(known.join(found, "doc"))
+    x, y = known.where("failed").alias("x"), known.alias("y")
+    once = ~F.col("y.failed") | (F.col("x.doc") < F.col("y.doc"))
+    cross = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.c") != F.col("y.c")) & once & _allowed("x", "y", percent))
     cross = stash(cross.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
     if not cross.isEmpty():
         linked = linked.unionByName(verify(cross, texts, percent))
         group = components(linked)
-    classes = class_of.join(group, F.col("rep") == F.col("id"), "left").select("doc", F.coalesce("component", "rep").alias("component_id"))
-    out = told.select("doc", F.col("n").alias("n_shingles")).join(classes.distinct(), "doc", "left")
-    return out.select(F.col("doc").alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+    classes = named.join(group, F.col("rep") == F.col("id"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = told.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    of_own = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id"))
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce(of_own, "doc").alias("component_id"))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
