@@ -199,21 +199,21 @@ def deal_keys(texts: DataFrame, parts: int, percent: int, crowd: np.ndarray) ->
 
 
 def star_candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """(lead, doc): every document of a block with the smallest one that is in its own band there, each pair once."""
+    """(key, lead, doc): every document of a block with the smallest one that is in its own band there. key is null
+    in a block of two documents, where no other pair is left to test; such pairs come once."""
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
     doc = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
     order = np.argsort(key)
     key, doc = key[order], doc[order]
     own, key = key & np.uint64(1) > 0, key >> np.uint64(1)
-    new = np.concatenate([[True], key[1:] != key[:-1]])
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.diff(np.append(head, len(key)))
     none = np.iinfo(np.int64).max
-    lead = np.minimum.reduceat(np.where(own, doc, none), np.flatnonzero(new))[np.cumsum(new) - 1]
-    pair = np.stack([lead, doc])[:, (lead != doc) & (lead != none)]
-    order = np.lexsort(pair)
-    pair = pair[:, order]
-    first = np.ones(pair.shape[1], bool)
-    first[1:] = (pair[:, 1:] != pair[:, :-1]).any(0)
-    return pd.DataFrame({"lead": pair[0, first], "doc": pair[1, first]})
+    lead, many = np.repeat(np.minimum.reduceat(np.where(own, doc, none), head), many), np.repeat(many, many)
+    met = (lead != doc) & (lead != none)
+    out = pd.DataFrame({"key": pd.array(key[met].view(np.int64), dtype="Int64"), "lead": lead[met], "doc": doc[met]})
+    out.loc[many[met] == 2, "key"] = pd.NA
+    return out.drop_duplicates()
 
 
 def _allowed(a: str, b: str, percent: int):
@@ -281,7 +281,8 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     reps = texts.select("doc", "n", "x")
     parts = PARTS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = deal_keys(texts, parts, percent, count_keys(texts, percent))
-    stars = stash(dealt.groupBy("part").applyInPandas(star_candidates, "lead long, doc long").distinct())
+    met = stash(dealt.groupBy("part").applyInPandas(star_candidates, "key long, lead long, doc long"))
+    stars = met.select("lead", "doc").distinct()
     x, y = reps.alias("x"), reps.alias("y")
     stars = stars.alias("s").join(x, F.col("s.lead") == F.col("x.doc")).join(y, F.col("s.doc") == F.col("y.doc"))
     stars = stash(stars.select("s.lead", "s.doc", _allowed("x", "y", percent).alias("may")))
@@ -289,12 +290,12 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     # documents that met in a block, one of them not linked to its lead: pairs across components are left to test
     group = stash(components(linked))
     known = stars.join(linked.withColumn("linked", F.lit(True)), (F.col("lead") == F.col("a")) & (F.col("doc") == F.col("b")), "left")
-    known = known.select("lead", "doc", F.col("linked").isNull().alias("failed"))
+    known = met.where("key is not null").join(known.select("lead", "doc", F.col("linked").isNull().alias("failed")), ["lead", "doc"])
     found = reps.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    known = stash(known.join(found, "doc"))
+    known = stash(known.select("key", "doc", "failed").join(found, "doc"))
     x, y = known.where("failed").alias("x"), known.alias("y")
     once = ~F.col("y.failed") | (F.col("x.doc") < F.col("y.doc"))
-    cross = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.c") != F.col("y.c")) & once & _allowed("x", "y", percent))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & _allowed("x", "y", percent))
     cross = stash(cross.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
     if not cross.isEmpty():
         linked = linked.unionByName(verify(cross, texts, percent))
