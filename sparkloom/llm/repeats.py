@@ -233,7 +233,8 @@ def contexts(marks: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, a, z): byte ranges, overlapping, of what occurs earlier in LENGTH bytes or more."""
-    found = find_anchors(df, key, text)
+    # one shuffle by anchor serves both windows
+    found = find_anchors(df, key, text).repartition("h")
     by = Window.partitionBy("h")
     of_context = F.row_number().over(Window.partitionBy("h", "c").orderBy("doc", "a"))
     marks = found.withColumn("i", of_context).withColumn("n", F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).over(by))
