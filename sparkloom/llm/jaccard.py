@@ -32,7 +32,7 @@ BAND, BLOCK_BITS, SPARE = 1.4, 64, 0.3
 #: Hash values by which the documents of a block are counted.
 SLOTS = 1 << 21
 #: Keys gathered in a task before they are sent on, and parts of the key space for each shuffle partition.
-FLUSH, PARTS = 1_000_000, 2
+FLUSH, PARTS = 250_000, 2
 #: Documents that are compared with one lead in a group.
 GROUP = 256
 
