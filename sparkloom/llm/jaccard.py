@@ -293,10 +293,11 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     known = met.where("key is not null").join(known.select("lead", "doc", F.col("linked").isNull().alias("failed")), ["lead", "doc"])
     found = reps.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     known = stash(known.select("key", "doc", "failed").join(found, "doc"))
-    x, y = known.where("failed").alias("x"), known.alias("y")
-    once = ~F.col("y.failed") | (F.col("x.doc") < F.col("y.doc"))
+    # both sides are the same rows, so that Spark sends them once
+    x, y = known.alias("x"), known.alias("y")
+    once = (F.col("x.failed") | F.col("y.failed")) & (F.col("x.doc") < F.col("y.doc"))
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & _allowed("x", "y", percent))
-    cross = stash(cross.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
+    cross = stash(cross.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
     if not cross.isEmpty():
         linked = linked.unionByName(verify(cross, texts, percent))
         group = components(linked)
