@@ -168,26 +168,27 @@ def count_keys(texts: DataFrame, percent: int) -> np.ndarray:
 
 
 def deal_keys(texts: DataFrame, parts: int, percent: int, crowd: np.ndarray) -> DataFrame:
-    """(part, keys, docs): block keys of all documents, packed by part of the key space. texts: (doc, z)."""
+    """(part, keys, docs, sizes): block keys of all documents, packed by part of the key space. texts: (doc, z)."""
     shared = texts.sparkSession.sparkContext.broadcast(crowd)  # SLOTS entries of 16 bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         un, blocks, keys, docs, held = zstandard.ZstdDecompressor(), Blocks(percent), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            k, d = np.concatenate(keys), np.concatenate(docs)
+            k, d = np.concatenate(keys), np.concatenate(docs, axis=1)
             part = ((k >> np.uint64(1)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            k, d, cut = k[order], d[order], np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, k[a:b].tobytes(), d[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "docs"])
+            k, d, size, cut = k[order], d[0, order], d[1, order].astype(np.int32), np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(p, *(v[a:b].tobytes() for v in (k, d, size))) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "keys", "docs", "sizes"])
 
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for low, s, n in B.shingle_sets([un.decompress(z.as_py()) for z in batch.column(1)], WORDS):
                 for of, key in blocks.keys(s, n, shared.value):
                     keys.append(key)
-                    docs.append(doc[low + of])
+                    docs.append(np.stack([doc[low + of], n[of]]))
                     held += len(key)
                 if held > FLUSH:
                     yield flush()
@@ -195,24 +196,27 @@ def deal_keys(texts: DataFrame, parts: int, percent: int, crowd: np.ndarray) ->
         if held:
             yield flush()
 
-    return texts.select("doc", "z").mapInArrow(run, "part int, keys binary, docs binary")
+    return texts.select("doc", "z").mapInArrow(run, "part int, keys binary, docs binary, sizes binary")
 
 
-def star_candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """(key, lead, doc): every document of a block with the smallest one that is in its own band there. key is null
-    in a block of two documents, where no other pair is left to test; such pairs come once."""
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
+def star_candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(key, lead, doc, near): every document of a block with the smallest one that is in its own band there. near:
+    their sizes allow a link. key is null in a block of two, where no other pair is left to test; these come once,
+    if near."""
+    key, doc, size = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("keys", np.uint64), ("docs", np.int64), ("sizes", np.int32)))
     order = np.argsort(key)
-    key, doc = key[order], doc[order]
+    key, doc, size = key[order], doc[order], size[order].astype(np.int64)
     own, key = key & np.uint64(1) > 0, key >> np.uint64(1)
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     many = np.diff(np.append(head, len(key)))
     none = np.iinfo(np.int64).max
-    lead, many = np.repeat(np.minimum.reduceat(np.where(own, doc, none), head), many), np.repeat(many, many)
-    met = (lead != doc) & (lead != none)
-    out = pd.DataFrame({"key": pd.array(key[met].view(np.int64), dtype="Int64"), "lead": lead[met], "doc": doc[met]})
-    out.loc[many[met] == 2, "key"] = pd.NA
+    lead = np.repeat(np.minimum.reduceat(np.where(own, doc, none), head), many)
+    of_lead = np.repeat(np.maximum.reduceat(np.where(doc == lead, size, 0), head), many)
+    near = 100 * np.minimum(size, of_lead) >= percent * np.maximum(size, of_lead)
+    two = np.repeat(many, many) == 2
+    met = (lead != doc) & (lead != none) & (near | ~two)
+    out = pd.DataFrame({"key": pd.array(key[met].view(np.int64), dtype="Int64"), "lead": lead[met], "doc": doc[met], "near": near[met]})
+    out.loc[two[met], "key"] = pd.NA
     return out.drop_duplicates()
 
 
@@ -281,18 +285,17 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     reps = texts.select("doc", "n", "x")
     parts = PARTS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = deal_keys(texts, parts, percent, count_keys(texts, percent))
-    met = stash(dealt.groupBy("part").applyInPandas(star_candidates, "key long, lead long, doc long"))
-    stars = met.select("lead", "doc").distinct()
+    met = stash(dealt.groupBy("part").applyInPandas(lambda rows: star_candidates(rows, percent), "key long, lead long, doc long, near boolean"))
+    stars = met.where("near").select("lead", "doc").distinct()
     x, y = reps.alias("x"), reps.alias("y")
     stars = stars.alias("s").join(x, F.col("s.lead") == F.col("x.doc")).join(y, F.col("s.doc") == F.col("y.doc"))
-    stars = stash(stars.select("s.lead", "s.doc", _allowed("x", "y", percent).alias("may")))
-    linked = stash(verify(stars.where("may").select(F.col("lead").alias("a"), F.col("doc").alias("b")), texts, percent))
+    stars = stash(stars.where(_allowed("x", "y", percent)).select(F.col("s.lead").alias("a"), F.col("s.doc").alias("b")))
+    linked = stash(verify(stars, texts, percent))
     # documents that met in a block, one of them not linked to its lead: pairs across components are left to test
     group = stash(components(linked))
-    known = stars.join(linked.withColumn("linked", F.lit(True)), (F.col("lead") == F.col("a")) & (F.col("doc") == F.col("b")), "left")
-    known = met.where("key is not null").join(known.select("lead", "doc", F.col("linked").isNull().alias("failed")), ["lead", "doc"])
     found = reps.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    known = stash(known.select("key", "doc", "failed").join(found, "doc"))
+    known = met.where("key is not null").join(linked, (F.col("lead") == F.col("a")) & (F.col("doc") == F.col("b")), "left")
+    known = known.select("key", "doc", F.col("a").isNull().alias("failed")).join(found, "doc")
     # both sides are the same rows, so that Spark sends them once
     x, y = known.alias("x"), known.alias("y")
     once = (F.col("x.failed") | F.col("y.failed")) & (F.col("x.doc") < F.col("y.doc"))
