@@ -7,6 +7,9 @@ left to right, each sentence used once.
 
 from __future__ import annotations
 
+import itertools
+import string
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import documents
@@ -57,6 +60,40 @@ RULES = [
     ("p", "proprietary-notice"),
 ]
 
+#: Creative Commons: licence, spellings of its name; version, words after the number. Country versions are not known.
+CC_NAMES = {
+    "by": ["attribution"],
+    "by sa": ["attribution sharealike", "attribution share alike"],
+    "by nc": ["attribution noncommercial", "attribution non commercial"],
+    "by nd": ["attribution noderivatives", "attribution no derivatives", "attribution noderivs", "attribution no derivs"],
+    "by nc sa": ["attribution noncommercial sharealike", "attribution non commercial share alike"],
+    "by nc nd": ["attribution noncommercial noderivatives", "attribution non commercial no derivatives", "attribution noncommercial noderivs", "attribution non commercial no derivs"],
+}
+CC_VERSIONS = {"4 0": "international", "3 0": "unported", "2 5": "generic", "2 0": "generic", "1 0": "generic"}
+CC_OPENINGS = [f"{x} under{a}" for x in ("licensed", "released", "this work is licensed", "this project is licensed") for a in ("", " a", " the")]
+
+
+def _creative_commons() -> None:
+    """Adds the family to SENTENCES and RULES, each licence under a letter of its own."""
+    letters = iter(string.ascii_uppercase + "qrstuvwxyz")
+    for short, version in itertools.product(CC_NAMES, CC_VERSIONS):
+        letter = "o" if (short, version) == ("by", "4 0") else next(letters)
+        word = CC_VERSIONS[version]
+        forms = [f"cc {short} {version}{end}" for end in ("", " license", f" {word} license")]
+        forms += [f"creative commons {name} {version}{end}" for name in CC_NAMES[short] for end in (" license", f" {word} license", f" {word}", f" {word} public license", "")]
+        SENTENCES.update({f"{opening} {form}": letter for opening in CC_OPENINGS for form in forms})
+        SENTENCES[f"spdx license identifier cc {short} {version}"] = letter
+        if letter != "o":
+            RULES.append((letter, f"CC-{short.upper().replace(' ', '-')}-{version.replace(' ', '.')}"))
+    letter = next(letters)
+    forms = ["cc0", "cc0 1 0", "cc0 1 0 universal", "cc0 1 0 universal license", "creative commons zero v1 0 universal", "creative commons cc0 1 0 universal license"]
+    SENTENCES.update({f"{opening} {form}": letter for opening in CC_OPENINGS for form in forms})
+    SENTENCES["spdx license identifier cc0 1 0"] = letter
+    RULES.append((letter, "CC0-1.0"))
+
+
+_creative_commons()
+
 
 def sentences(text: Column) -> Column:
     """Normalised sentences in order, empty ones left out; null for a null text."""
@@ -71,7 +108,7 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     Unknown sentences between known ones do not break a rule. Null and empty texts have no sentences.
     Columns with the names of results are replaced. Every row stands alone: no shuffle.
     """
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
+    known = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in SENTENCES.items())), F.lit("\n"), F.lit("\t"))
     names = F.create_map(*[F.lit(x) for kv in RULES for x in kv])
     rules = "|".join(ids for ids, _ in RULES)
     found = df.withColumn("_s", F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")))

@@ -272,3 +272,32 @@ def test_pipeline(spark, sf, rows):
     taken = {r.doc_id: r.taken // r.size for r in mixing.op10_mix_sources(spark, sf).collect() if r.taken}
     assert dict(collections.Counter(r.doc_id for r in four.collect())) == taken
     assert p.bpe_encoding(spark, docs, sf).count() == len(rows)
+
+
+#: Written down by hand, not taken from the operator's tables.
+LICENCE_LINES = [
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("This work is licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"),
+    ("Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("This work is licensed under the Creative Commons Attribution-NoDerivs 2.0 Generic License.", "CC-BY-ND-2.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Released under the MIT License.", "MIT"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"),
+    ("All rights reserved.", "proprietary-notice"),
+    ("Licensed under CC cake 4.0.", ""),
+]
+
+
+def licences_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    return [(",".join(got[i].licenses), got[i].unmatched) for i in range(len(texts))]
+
+
+def test_licence_lines(spark):
+    texts = [f"Some prose here.\n{line}\nMore prose." for line, _ in LICENCE_LINES]
+    assert licences_of(spark, texts) == [(name, 0) for _, name in LICENCE_LINES]
