@@ -1,6 +1,7 @@
 """Licence recognition from sentences. DataFrame functions only.
 
-Texts are cut into sentences, normalised and looked up among known licence sentences. What remains of a
+Texts are cut at line breaks and sentence ends, normalised, and known licence sentences are found among the
+pieces, also where a line break, a comment mark or one of ! ? ; : is inside a sentence. What remains of a
 document is the sequence of sentence identifiers; ordered rules are matched against it, longest first,
 left to right, each sentence used once.
 """
@@ -14,9 +15,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import documents
 
-#: A sentence ends at a line break, or at a full stop with white space after it.
+#: What n_sentences counts ends at a line break, or at a full stop with white space after it.
 SENTENCE_END = r"[\n\r]+|\.[^\p{L}\p{N}\s]*\s"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: No known sentence goes over a line without letters and digits, or a full stop with white space after it.
+PARAGRAPH_END = r"(?>\R)(?:[^\p{L}\p{N}\n\r]*(?>\R))+|\.[^\p{L}\p{N}\s]*\s"
+#: A known sentence may begin and end here, or go on.
+PIECE_END = r"[\n\r]+|[!?;:][^\p{L}\p{N}\s]*\s"
+#: Sentences with a holder's name in them, as normalised pieces, and the same without it.
+HOLDERS = [
+    (r"neither[ \n]the[ \n]names?[ \n]of[ \n][\p{L}\p{N} \n]{1,120}?[ \n]+nor[ \n]the[ \n]names[ \n]of[ \n](?:its|their|any)[ \n]contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"this[ \n]software[ \n]is[ \n]provided[ \n]by[ \n][\p{L}\p{N} \n]{1,120}?[ \n]+as[ \n]is", "this software is provided by the copyright holders and contributors as is"),
+]
 
 #: Known sentences as normalised (lower case, other characters than letters and digits one space): identifier. Fixed values.
 SENTENCES = {
@@ -34,14 +44,29 @@ SENTENCES = {
     "spdx license identifier gpl 3 0 only": "e",
     "this work is licensed under the gnu general public license version 2": "f",
     "spdx license identifier gpl 2 0 only": "f",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "e",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "3",
+    "spdx license identifier gpl 3 0 or later": "3",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "f",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "f",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "2",
+    "spdx license identifier gpl 2 0 or later": "2",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "d",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "d",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "g",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "g",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "h",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "h",
     "the software is provided as is without warranty of any kind": "i",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "i",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "j",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "k",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation": "l",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "l",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "m",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "m",
     "this software is provided by the copyright holders and contributors as is": "n",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "n",
     "this work is licensed under a creative commons attribution 4 0 international license": "o",
     "all rights reserved": "p",
 }
@@ -56,6 +81,8 @@ RULES = [
     ("a", "MIT"),
     ("e", "GPL-3.0-only"),
     ("f", "GPL-2.0-only"),
+    ("3", "GPL-3.0-or-later"),
+    ("2", "GPL-2.0-or-later"),
     ("o", "CC-BY-4.0"),
     ("p", "proprietary-notice"),
 ]
@@ -95,25 +122,57 @@ def _creative_commons() -> None:
 _creative_commons()
 
 
+def _plain(s: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " "))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences in order, empty ones left out; null for a null text."""
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " "))
-    return F.filter(F.transform(F.split(text, SENTENCE_END), plain), lambda s: s != "")
+    """Normalised pieces between line breaks and full stops in order, empty ones left out; null for a null text."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), _plain), lambda s: s != "")
+
+
+def pieces(text: Column) -> Column:
+    """The text as normalised pieces, a line break between two of a paragraph, two between paragraphs."""
+    cut = lambda t: F.array_join(F.filter(F.transform(F.split(t, PIECE_END), _plain), lambda s: s != ""), "\n")
+    out = F.array_join(F.transform(F.split(text, PARAGRAPH_END), cut), "\n\n")
+    for pattern, same in HOLDERS:
+        out = F.regexp_replace(out, pattern, same)
+    return out
+
+
+def _pattern(known: list[list[str]]) -> str:
+    """A regular expression of word sequences with common beginnings shared, the longer first."""
+    by: dict[str, list[list[str]]] = {}
+    for words in known:
+        if words:
+            by.setdefault(words[0], []).append(words[1:])
+    out = []
+    for word, rests in by.items():
+        while len(rests) == 1 and rests[0] or len(rests) > 1 and all(r and r[0] == rests[0][0] for r in rests):
+            word, rests = word + r"[ \n]" + rests[0][0], [r[1:] for r in rests]
+        more = [r for r in rests if r]
+        out.append(word + (rf"(?:[ \n]{_pattern(more)})" + ("" if len(more) == len(rests) else "?") if more else ""))
+    return f"(?:{'|'.join(out)})"
+
+
+#: A known sentence from one end of a piece to another, perhaps with the number of a list before it.
+KNOWN = rf"(?<![^\n])(?:\d{{1,2}} )?({_pattern([s.split(' ') for s in SENTENCES])})(?![^\n])"
 
 
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_sentences, `sentence_ids` (known sentences in order), `licenses` (one per matched rule, in
     order) and `unmatched` (known sentences that no rule used).
 
+    n_sentences counts pieces between line breaks and full stops, so a wrapped sentence as often as it has lines.
     Unknown sentences between known ones do not break a rule. Null and empty texts have no sentences.
     Columns with the names of results are replaced. Every row stands alone: no shuffle.
     """
     known = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in SENTENCES.items())), F.lit("\n"), F.lit("\t"))
     names = F.create_map(*[F.lit(x) for kv in RULES for x in kv])
     rules = "|".join(ids for ids, _ in RULES)
-    found = df.withColumn("_s", F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")))
-    found = found.withColumn("n_sentences", F.size("_s"))
-    found = found.withColumn("sentence_ids", F.array_join(F.transform("_s", lambda s: F.try_element_at(known, s)), "")).drop("_s")
+    found = df.withColumn("n_sentences", F.coalesce(F.size(sentences(F.col(text))), F.lit(0)))
+    hits = F.regexp_extract_all(pieces(F.coalesce(F.col(text), F.lit(""))), F.lit(KNOWN), F.lit(1))
+    found = found.withColumn("sentence_ids", F.array_join(F.transform(hits, lambda s: F.try_element_at(known, F.translate(s, "\n", " "))), ""))
     hits = F.regexp_extract_all("sentence_ids", F.lit(rules), F.lit(0))
     found = found.withColumn("licenses", F.transform(hits, lambda h: F.try_element_at(names, h)))
     return found.withColumn("unmatched", F.length(F.regexp_replace("sentence_ids", rules, "")))

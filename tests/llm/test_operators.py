@@ -301,3 +301,46 @@ def licences_of(spark, texts):
 def test_licence_lines(spark):
     texts = [f"Some prose here.\n{line}\nMore prose." for line, _ in LICENCE_LINES]
     assert licences_of(spark, texts) == [(name, 0) for _, name in LICENCE_LINES]
+
+
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD_BODY = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY %s "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+THIRD = "3. Neither the name of %s nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+GPL_BODY = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+APACHE_BODY = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+HOLDER = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+LICENCE_BODIES = [
+    (MIT_BODY, "MIT"),
+    (BSD_BODY % ("", HOLDER), "BSD-2-Clause"),
+    (BSD_BODY % (THIRD % "the copyright holder", HOLDER), "BSD-3-Clause"),
+    (BSD_BODY % (THIRD % "Example Inc.", "THE REGENTS AND CONTRIBUTORS"), "BSD-3-Clause"),
+    (GPL_BODY, "GPL-3.0-or-later"),
+    (GPL_BODY.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), "GPL-2.0-or-later"),
+    (APACHE_BODY, "Apache-2.0"),
+]
+
+
+@pytest.mark.parametrize("width, mark, end", [(10_000, "", "\n"), (70, "", "\n"), (78, "# ", "\n"), (72, " * ", "\r\n"), (60, "// ", "\n")])
+def test_whole_licences(spark, width, mark, end):
+    import textwrap
+
+    wrap = lambda t: end.join((mark + line).rstrip() for p in t.split("\n\n") for line in [*textwrap.wrap(p.strip(), width), ""])
+    texts = [f"{mark}Copyright (c) 2020 Somebody{end}{wrap(body)}" for body, _ in LICENCE_BODIES]
+    assert licences_of(spark, texts) == [(name, 0) for _, name in LICENCE_BODIES]
+
+
+def test_licence_sentences_between_others(spark):
+    texts = ["Wow! Released under the MIT License. More.", "Which one? Licensed under CC BY 4.0.", "Copyright 2020 Somebody\nReleased under the MIT License\nfor all", "Not quite released under the MIT License.", "License: released under\n# the MIT License."]
+    assert licences_of(spark, texts) == [("MIT", 0), ("CC-BY-4.0", 0), ("MIT", 0), ("", 0), ("MIT", 0)]
