@@ -562,13 +562,17 @@ def corrupt_log_quarantine(spark, sf_dir):
     return readers.parse_log(lines).groupBy(F.col("corrupt").isNotNull().alias("corrupt")).agg(F.count("*").alias("n"))
 
 
-@query()
-def hybrid_retrieval(spark, sf_dir):
-    """The whole path: chunks of documents, entities by language and source, all questions answered with context."""
+def knowledge(spark, sf_dir) -> ask.Store:
+    """Chunks of documents, every one linked to its language; languages are linked to sources."""
     chunks = tables.materialise(chunking.chunk_documents(raw_documents(spark, sf_dir)).withColumn("embedding", encoder()(F.col("text"))))
     entities = chunks.select(F.col("language").alias("id")).distinct().withColumn("name", F.col("id")).withColumn("embedding", encoder()(F.col("name")))
-    links = chunks.select(F.col("language").alias("node_id"), F.col("id").alias("chunk_id")).where(F.crc32(F.col("id").cast("binary")) % 50 == 0)
+    links = chunks.select(F.col("language").alias("node_id"), F.col("id").alias("chunk_id"))
     edges = chunks.select(F.col("language").alias("src_id"), F.lit("RELATED_TO").alias("rel_type"), F.split_part("source_file", F.lit("_"), F.lit(1)).alias("dst_id")).distinct()
     terms = entities.select("id", F.concat(F.lit(" "), F.element_at(F.create_map(*[F.lit(x) for kv in {"en": "the", "fr": "elle", "de": "und", "es": "los"}.items() for x in kv]), F.col("id")), F.lit(" ")).alias("term")).where("term is not null")
-    store = ask.Store(entities, edges, links, chunks, terms)
-    return ask.answer(asked(spark, sf_dir), store, F.lit(AS_OF).cast("date"), keywords=INTENTS, anchors=ANCHORS, types=TYPES)
+    return ask.Store(entities, edges, links, chunks, terms)
+
+
+@query()
+def hybrid_retrieval(spark, sf_dir):
+    """The whole path: chunks of documents, entities by language and source, all questions answered with context."""
+    return ask.answer(asked(spark, sf_dir), knowledge(spark, sf_dir), F.lit(AS_OF).cast("date"), keywords=INTENTS, anchors=ANCHORS, types=TYPES)

@@ -19,3 +19,8 @@ def test_entry_points():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.QUERIES) <= set(entry.queries())
+
+
+def test_every_chunk_is_linked(spark, sf):
+    store = catalogue.knowledge(spark, sf)
+    assert store.chunks.select("id", "language").exceptAll(store.links.select("chunk_id", "node_id")).isEmpty()
