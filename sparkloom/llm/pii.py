@@ -4,7 +4,8 @@ A surrogate is the image of the entity under a keyed permutation of all strings
 network over mixed alphabets), so equal entities always get the same surrogate and different ones of a
 type different ones. Given names are permuted within the list of their gender and script. What can still
 clash (a permuted surname that equals another's surrogate, or a surrogate that is somebody's real data in
-this corpus) is found by an aggregation over all entities, and drawn again.
+this corpus) is found by an aggregation over all entities, and drawn again until nothing clashes. Where the
+strings of a format may be used up, later draws are longer than it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .common import documents, stash
 
 KEY = "surrogate-key-1"
+#: Draws of an entity's own format; later ones are longer where the format may have few strings.
 ROUNDS, MOST_DRAWS = 8, 8
+WIDE_LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 #: Alphabets within which characters are exchanged; all other characters stay. Fixed values.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñßšžčćś", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"]
@@ -144,6 +147,8 @@ def canonical(kind: str, value: str) -> str:
 def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
     """The replacement of an entity as written. draw: 0, or more if smaller ones clash in the corpus."""
     tweak = kind if not draw else f"{kind}:{draw}"
+    if draw > MOST_DRAWS and (kind in ("email", "secret", "phone", "ssn") or kind.startswith("name_")):
+        return _wide(kind, value, key, draw)
     if kind.startswith("name_"):
         return " ".join(_name(w, kind, key, draw) for w in value.split(" "))
     if kind == "email":
@@ -178,6 +183,29 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
     return _hex(value, key, tweak) if re.fullmatch(r"[0-9a-f]+", value) else permute(value, key, tweak)
 
 
+def _wide(kind: str, value: str, key: str, draw: int) -> str:
+    """A surrogate longer than the format: characters of a keyed hash of the entity tell it from all others."""
+    name = kind.startswith("name_")
+    n = _mac(key, "wide", "name" if name else kind, draw, canonical(kind, value))
+
+    def told(letters: str, length: int) -> str:
+        return "".join(letters[n // len(letters) ** i % len(letters)] for i in range(length))
+
+    latin = WIDE_LETTERS["latin"]
+    if name:
+        *first, last = value.split(" ")
+        return " ".join([*(_name(w, kind, key, draw) for w in first), told(WIDE_LETTERS[script_of(last)], 24).capitalize()])
+    if kind == "email":
+        local, _, domain = value.partition("@")
+        new = told(latin, 24)
+        if not domain.lower().endswith(("example.com", "example.org", "example.net")):
+            domain = permute(domain.rpartition(".")[0].lower(), key, f"{kind}:{draw}") + "." + domain.rpartition(".")[2]
+        return f"{new.upper() if local.isupper() else new}@{domain}"
+    if kind == "secret":
+        return told(latin + ALPHABETS[0], 32)
+    return surrogate(kind, value, key, MOST_DRAWS) + told(ALPHABETS[0], 24)
+
+
 def _permute_bits(n: int, key: str, tweak: str) -> int:
     a, b = n >> 16, n & 0xFFFF
     for r in range(ROUNDS):
@@ -223,13 +251,13 @@ def find_entities(df: DataFrame, key: str = "doc_id", text: str = "text", secret
 def redraws(found: DataFrame, secret: str = KEY) -> DataFrame:
     """(entity, draw) of the entities whose surrogate clashes: another entity has it, or it is a real one here.
 
-    Clashes are settled in rounds over the distinct entities, each an aggregation; the smallest entity of
-    those that share a surrogate keeps it. Given names are left out: their lists are permuted as a whole.
+    Clashes are settled in rounds over the distinct entities, each an aggregation, until none is left; of those
+    that share a surrogate the one drawn least often, then the smallest, keeps it. Given names are left out: their lists are permuted as a whole.
     """
     given = [n for names in GIVEN.values() for n in names]
     e = stash(found.groupBy("entity").agg(F.min(F.struct("kind", "value", "surrogate")).alias("x")).select("entity", "x.*", F.lit(0).alias("draw")))
     again = F.udf(lambda k, v, d: _identity(k, surrogate(k, v, secret, d)), T.StringType())
-    for _ in range(MOST_DRAWS):
+    while True:
         rank = F.row_number().over(Window.partitionBy("surrogate").orderBy("draw", "entity"))
         real = e.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         bad = e.withColumn("i", rank).join(real, "surrogate", "left").withColumn("bad", (F.col("i") > 1) | (F.col("real") & ~F.col("value").isin(given)))

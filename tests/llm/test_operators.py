@@ -344,3 +344,19 @@ def test_whole_licences(spark, width, mark, end):
 def test_licence_sentences_between_others(spark):
     texts = ["Wow! Released under the MIT License. More.", "Which one? Licensed under CC BY 4.0.", "Copyright 2020 Somebody\nReleased under the MIT License\nfor all", "Not quite released under the MIT License.", "License: released under\n# the MIT License."]
     assert licences_of(spark, texts) == [("MIT", 0), ("CC-BY-4.0", 0), ("MIT", 0), ("", 0), ("MIT", 0)]
+
+
+@pytest.mark.parametrize("values", [["a@example.com", "e@example.com", "i@example.com", "o@example.com"], [f"{a}@example.com" for a in "aeiou"], ["田中@example.com", "محمد@example.com"], ["Mrs " + n for n in ("Ab", "Eb", "Ib", "Ob", "Ub")], ["password: --------", "password: ========"]])
+def test_surrogates_where_a_format_is_used_up(spark, values):
+    df = spark.createDataFrame(list(enumerate([*values, *values])), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.replace(df).collect()}
+    first = [new[i] for i in range(len(values))]
+    assert first == [new[i + len(values)] for i in range(len(values))]
+    assert len(set(first)) == len(values) and not set(first) & set(values)
+
+
+def test_all_short_local_parts(spark):
+    consonants = "bcdfghjklmnpqrstvwxyz"
+    values = [f"{a}{b}@example.com" for a in consonants for b in consonants]
+    new = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect()]
+    assert len(set(new)) == len(values) and not set(new) & set(values)
