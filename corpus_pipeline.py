@@ -36,10 +36,10 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, so some twice and some not at all; rows that share a
-    doc_id are taken as often as the one taken most. Wordless texts are never taken."""
+    doc_id, or have none, are taken as often as the one taken most. Wordless texts are never taken."""
     m = mixing.mix(docs.select("doc_id", "source", mixing.token_count(F.col("text")).alias("size")))
-    taken = m.where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("_n"))
-    out = docs.join(taken, "doc_id").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    taken = m.where("repeats > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_n"))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return out.select(*docs.columns)
 
 

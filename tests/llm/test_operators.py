@@ -360,3 +360,10 @@ def test_all_short_local_parts(spark):
     values = [f"{a}{b}@example.com" for a in consonants for b in consonants]
     new = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect()]
     assert len(set(new)) == len(values) and not set(new) & set(values)
+
+
+def test_mix_keeps_rows_without_doc_id(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(None if i == 3 else i, "some words here", "a") for i in range(6)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in p.mixing_weights(spark, docs, "").collect()} == {r.doc_id for r in mixing.mix(docs.withColumn("size", F.lit(3))).where("repeats > 0").collect()} >= {None}
