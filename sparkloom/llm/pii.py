@@ -6,6 +6,9 @@ type different ones. Given names are permuted within the list of their gender an
 clash (a permuted surname that equals another's surrogate, or a surrogate that is somebody's real data in
 this corpus) is found by an aggregation over all entities, and drawn again until nothing clashes. Where the
 strings of a format may be used up, later draws are longer than it.
+
+Not detected: names without a title whose first word is not in GIVEN, or that are a single word; phones of
+other national forms without + (seven digits, or ten without separators); postal addresses; dates of birth.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -53,9 +57,10 @@ PATTERNS = {
     "hexkey": r"(?<![0-9A-Za-z])(?P<hexkey>(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{32}))(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?!\d|\.\d)",
+    "ipv6": r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)",
     "card": r"(?<![\d-])(?P<card>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d|-\d)",
     "ssn": r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?!\d|-\d)",
-    "phone": r"(?<![\w+.-])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
+    "phone": r"(?<![\w+.-])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3} \d{3} \d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)",
 }
 
 
@@ -66,6 +71,8 @@ def _all(numbered: dict[str, str]) -> str:
 MARKED = re.compile(_all(PATTERNS))
 _TITLE = "|".join(sorted(_GENDER, key=lambda t: -len(t)))
 PERSON = re.compile(rf"\b(?P<title>{_TITLE})\b\.? +(?P<name>{_NAME}(?: {_NAME})?)")
+_FIRST = {n: g for (g, _), names in GIVEN.items() for n in names}
+UNTITLED = re.compile(rf"\b(?=[A-ZΑ-ΩΆ-ΏА-Я])(?P<name>(?P<first>{'|'.join(_FIRST)}) (?!(?:{_TITLE})\b){_NAME})")
 _MAYBE = re.compile(r"[0-9@=:]")
 
 
@@ -75,6 +82,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if _MAYBE.search(text):
         found = [(*m.span(m.lastgroup if m.lastgroup != "sep" else "card"), m.lastgroup if m.lastgroup != "sep" else "card") for m in MARKED.finditer(text)]
     people = [(*m.span("name"), "name_" + _GENDER[m["title"]]) for m in PERSON.finditer(text)]
+    titled = [e[:2] for e in people]
+    people += [(*m.span("name"), "name_" + _FIRST[m["first"]]) for m in UNTITLED.finditer(text) if not any(a < m.end() and m.start() < b for a, b in titled)]
     if not people:
         return found
     end, out = -1, []
@@ -141,9 +150,19 @@ def canonical(kind: str, value: str) -> str:
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ipv6":
+        return _ipv6(value)
     return value.lower() if kind == "email" else value
 
 
+def _ipv6(value: str) -> str:
+    """The 32 hexadecimal digits of an address; of what only looks like one, its digits."""
+    try:
+        return f"{int(ipaddress.IPv6Address(value)):032x}"
+    except ValueError:
+        return value.lower()
+
+
 def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
     """The replacement of an entity as written. draw: 0, or more if smaller ones clash in the corpus."""
     tweak = kind if not draw else f"{kind}:{draw}"
@@ -163,6 +182,11 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
             octets = n.to_bytes(4, "big")
             if all(0 < o < 255 for o in octets) or any(o in ("0", "255") for o in value.split(".")):
                 return ".".join(map(str, octets))
+    if kind == "ipv6":
+        digits = _ipv6(value)
+        if ":" not in digits:
+            return str(ipaddress.IPv6Address(int(_hex(digits, key, tweak), 16)))
+        return ":".join(_hex(x, key, f"{tweak}:{i}") for i, x in enumerate(digits.split(":")))
     if kind in ("phone", "card", "ssn"):
         digits = canonical(kind, value)
         keep = 1 if kind == "card" else (1 if digits[0] in "17" else 2) if value.startswith("+") else 0  # the country code

@@ -367,3 +367,9 @@ def test_mix_keeps_rows_without_doc_id(spark):
 
     docs = spark.createDataFrame([(None if i == 3 else i, "some words here", "a") for i in range(6)], "doc_id long, text string, source string")
     assert {r.doc_id for r in p.mixing_weights(spark, docs, "").collect()} == {r.doc_id for r in mixing.mix(docs.withColumn("size", F.lit(3))).where("repeats > 0").collect()} >= {None}
+
+
+def test_more_forms_of_private_data():
+    text = "Then Anna Smith and Dr John Brown rang 555 123 4567 or 555.123.4567 from 2001:db8::1 and fe80:0:0:0:1:2:3:4 at 12:34:56 in std::list."
+    assert [(text[a:b], k) for a, b, k in pii.entities(text)] == [("Anna Smith", "name_f"), ("John Brown", "name_"), ("555 123 4567", "phone"), ("555.123.4567", "phone"), ("2001:db8::1", "ipv6"), ("fe80:0:0:0:1:2:3:4", "ipv6")]
+    assert pii.surrogate("ipv6", "2001:db8::1") == pii.surrogate("ipv6", "2001:0DB8:0::1") != pii.surrogate("ipv6", "2001:db8::2")
