@@ -2,9 +2,11 @@
 
 Every shingle flips one bit of a document's sketch, so two sketches differ in no more bits than the
 shingle sets differ in elements. Documents of a size band that reach the threshold differ in at most D
-elements, D by the band; cut into more than D blocks, their sketches agree in some blocks. As they agree in
-several, each document leaves out its most crowded ones. Documents that agree in a block of a band are
-candidates and are verified on their whole sets.
+elements, D by the band; cut into more than D blocks, their sketches agree in some blocks. A block is so wide
+(2^64 bits, of which the XOR of its shingles' hashes stands for those set) that blocks agree only if they have
+the same shingles. As linked documents agree in several blocks, each document leaves out those of none or one
+shingle and its most crowded ones. Documents that agree in a block of a band are candidates; sketches as long
+as the sets then rule most out, and the others are verified on their whole sets.
 
 A block shared by many documents gives each of them one candidate, the smallest document of the block.
 Documents of a block that this does not connect are then compared among themselves, where their sketches
@@ -23,18 +25,21 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytestext as B
-from .common import components, documents, stash
+from .common import components, discard, documents, stash
 
 #: Words in a shingle and the least similarity, as a percentage.
 WORDS, PERCENT = 5, 80
-#: Ratio between the ends of a size band, bits of a block, and the blocks above D as a share of D.
-BAND, BLOCK_BITS, SPARE = 1.4, 64, 0.3
+#: Ratio between the ends of a size band, and the blocks above D as a share of D.
+BAND, SPARE = 1.4, 0.3
+#: Shingles of a block that count when the fewest are left out; a single one is shared by chance.
+FULL = 2
 #: Hash values by which the documents of a block are counted.
 SLOTS = 1 << 21
-#: Keys gathered in a task before they are sent on, and parts of the key space for each shuffle partition.
-FLUSH, PARTS = 250_000, 2
-#: Documents that are compared with one lead in a group.
-GROUP = 256
+#: Keys gathered in a task before they are sent on, as many of one key there as meet before they are sent, and
+#: keys in a part of the key space on average.
+FLUSH, MEET, PART = 250_000, 8, 500_000
+#: Documents that are compared with one lead in a group, and rows of a block on one side of a comparison.
+GROUP, TILE = 256, 1024
 
 
 def bands(percent: int = PERCENT, up_to: int = 1 << 40) -> list[tuple[int, int]]:
@@ -64,10 +69,10 @@ class Blocks:
         self.last = np.append(self.first[1:], 1 << 40) - 1
 
     def words(self, s: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(set, key, bits, blocks, drop, own) for the first band of every set, then for the second, and so on.
+        """(set, key, filled, blocks, drop, own) for the first band of every set, then for the second, and so on.
 
-        set, blocks, drop, own: one entry for a set. key, bits: one for a block, set by set. Documents that are
-        linked agree in more than `drop` blocks of either of them. own: the band is the set's own."""
+        set, blocks, drop, own: one entry for a set. key, filled: one for a block, set by set; filled: its shingles.
+        Documents that are linked agree in more than `drop` blocks of either of them. own: the band is the set's own."""
         own = band = np.searchsorted(self.first, n, "right") - 1
         start, live = np.cumsum(n) - n, n > 0
         while live.any():
@@ -83,26 +88,27 @@ class Blocks:
                 h = B.mix(s[np.arange(len(of)) + np.repeat(start[use] - (np.cumsum(size) - size), size)] + tag[of])
                 block = ((h >> np.uint64(32)) * m.astype(np.uint64)[of] >> np.uint64(32)).astype(np.int64) + to[of]
                 word = np.zeros(int(m.sum()), np.uint64)
-                np.bitwise_xor.at(word, block, np.uint64(1) << (h & np.uint64(BLOCK_BITS - 1)))
+                np.bitwise_xor.at(word, block, B.mix(h ^ B.FACTORS[45]))
                 place = (np.arange(len(word)) - np.repeat(to, m)).astype(np.uint64)
-                yield use, B.mix(word + B.mix(np.repeat(tag, m) + place * B.FACTORS[41])), np.bitwise_count(word), m, drop, b == own[use]
+                yield use, B.mix(word + B.mix(np.repeat(tag, m) + place * B.FACTORS[41])), np.bincount(block, minlength=len(word)), m, drop, b == own[use]
             band = np.minimum(band + 1, len(self.first) - 1)
             live &= 100 * n >= self.percent * self.first[band]
 
     def keys(self, s: np.ndarray, n: np.ndarray, crowd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(set, key): the keys by which a set meets its candidates, without the `drop` most crowded of each band.
-
-        All documents order blocks that agree alike, so the least crowded one of those that two linked documents
-        agree in comes after more than `drop` others in both: neither of them leaves it out. Any crowd will do, by
-        hash of the key; it only decides how many documents meet in vain. The lowest bit of a key is 1 in the set's
-        own band: a block without such a set has no pair to test."""
-        for use, key, bits, m, drop, own in self.words(s, n):
+        """(set, key): the keys by which a set meets its candidates, without `drop` of each band: those of fewer than
+        FULL shingles, then the most crowded.
+
+        All documents order blocks that agree alike, so the last of those that two linked documents agree in comes
+        after more than `drop` others in both: neither of them leaves it out. Any crowd will do, by hash of the
+        key; it only decides how many documents meet in vain. The lowest bit of a key is 1 in the set's own band:
+        a block without such a set has no pair to test. The next bit is 0."""
+        for use, key, filled, m, drop, own in self.words(s, n):
             of = np.repeat(np.arange(len(use)), m)
-            rank = of << 32 | (65535 - crowd[(key & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64)) << 8 | bits
+            rank = of << 32 | np.minimum(filled, FULL) << 16 | (65535 - crowd[(key & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64))
             order = np.argsort(rank, kind="stable")
             order = order[np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) >= drop[of]]
             of = of[order]
-            yield use[of], key[order] & ~np.uint64(1) | own[of].astype(np.uint64)
+            yield use[of], key[order] & ~np.uint64(3) | own[of].astype(np.uint64)
 
 
 def sketches(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,21 +173,51 @@ def count_keys(texts: DataFrame, percent: int) -> np.ndarray:
     return crowd.reshape(-1)
 
 
+def _met(key: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(order, size of the block, lead, near) of rows, in their order by block; lead: the smallest document of the
+    block that is in its own band there, or -1; near: it is another one, and the sizes allow a link."""
+    order = np.lexsort((doc, key >> np.uint64(2)))
+    key, doc, size = key[order], doc[order], size[order].astype(np.int64)
+    own, key = key & np.uint64(1) > 0, key >> np.uint64(2)
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    many, none = np.diff(np.append(head, len(key))), np.iinfo(np.int64).max
+    lead = np.repeat(np.minimum.reduceat(np.where(own, doc, none), head), many) if len(key) else doc
+    of_lead = np.repeat(np.maximum.reduceat(np.where(doc == lead, size, 0), head), many) if len(key) else size
+    near = (lead != doc) & (lead != none) & (100 * np.minimum(size, of_lead) >= percent * np.maximum(size, of_lead))
+    return order, np.repeat(many, many), np.where(lead == none, -1, lead), near
+
+
 def deal_keys(texts: DataFrame, parts: int, percent: int, crowd: np.ndarray) -> DataFrame:
-    """(part, keys, docs, sizes): block keys of all documents, packed by part of the key space. texts: (doc, z)."""
+    """(part, keys, docs, more): block keys of all documents, packed by part of the key space; more: their set sizes.
+    texts: (doc, z).
+
+    Of a key that many documents of a task have, one is sent on with the key's second bit set, the others meet it
+    here: so a key that a large share of all documents has is no large group. Their rows have a part below 0 and
+    pairs (lead or -1, near) in `more`."""
     shared = texts.sparkSession.sparkContext.broadcast(crowd)  # SLOTS entries of 16 bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         un, blocks, keys, docs, held = zstandard.ZstdDecompressor(), Blocks(percent), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            k, d = np.concatenate(keys), np.concatenate(docs, axis=1)
-            part = ((k >> np.uint64(1)) % np.uint64(parts)).astype(np.int32)
+            k, (d, size) = np.concatenate(keys), np.concatenate(docs, axis=1)
+            order, many, lead, near = _met(k, d, size, percent)
+            k, d, size = k[order], d[order], size[order].astype(np.int32)
+            first = np.append(True, k[1:] >> np.uint64(2) != k[:-1] >> np.uint64(2))
+            stays = np.where(lead < 0, first, d == lead)
+            gone = (many >= MEET) & ~stays
+            rows = []
+            if gone.any():
+                to = -1 - int(B.mix(k[:1])[0] % np.uint64(parts))
+                rows.append((to, k[gone].tobytes(), d[gone].tobytes(), np.stack([lead[gone], near[gone]], axis=1).tobytes()))
+            k = k | (many >= MEET).astype(np.uint64) << np.uint64(1)
+            k, d, size = k[~gone], d[~gone], size[~gone]
+            part = ((k >> np.uint64(2)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            k, d, size, cut = k[order], d[0, order], d[1, order].astype(np.int32), np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, *(v[a:b].tobytes() for v in (k, d, size))) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+            k, d, size, cut = k[order], d[order], size[order], np.searchsorted(part[order], np.arange(parts + 1))
+            rows += [(p, *(v[a:b].tobytes() for v in (k, d, size))) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "keys", "docs", "sizes"])
+            return pa.RecordBatch.from_arrays(cols, names=["part", "keys", "docs", "more"])
 
         for batch in batches:
             doc = batch.column(0).to_numpy()
@@ -196,27 +232,24 @@ def deal_keys(texts: DataFrame, parts: int, percent: int, crowd: np.ndarray) ->
         if held:
             yield flush()
 
-    return texts.select("doc", "z").mapInArrow(run, "part int, keys binary, docs binary, sizes binary")
+    return texts.select("doc", "z").mapInArrow(run, "part int, keys binary, docs binary, more binary")
 
 
 def star_candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """(key, lead, doc, near): every document of a block with the smallest one that is in its own band there. near:
     their sizes allow a link. key is null in a block of two, where no other pair is left to test; these come once,
-    if near."""
-    key, doc, size = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("keys", np.uint64), ("docs", np.int64), ("sizes", np.int32)))
-    order = np.argsort(key)
-    key, doc, size = key[order], doc[order], size[order].astype(np.int64)
-    own, key = key & np.uint64(1) > 0, key >> np.uint64(1)
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    many = np.diff(np.append(head, len(key)))
-    none = np.iinfo(np.int64).max
-    lead = np.repeat(np.minimum.reduceat(np.where(own, doc, none), head), many)
-    of_lead = np.repeat(np.maximum.reduceat(np.where(doc == lead, size, 0), head), many)
-    near = 100 * np.minimum(size, of_lead) >= percent * np.maximum(size, of_lead)
-    two = np.repeat(many, many) == 2
-    met = (lead != doc) & (lead != none) & (near | ~two)
+    if near. lead is -1 if it is not known here."""
+    key, doc = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("keys", np.uint64), ("docs", np.int64)))
+    if rows["part"].iloc[0] < 0:
+        lead, near = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows["more"]]).T
+        return pd.DataFrame({"key": pd.array((key >> np.uint64(2)).view(np.int64), dtype="Int64"), "lead": lead, "doc": doc, "near": near > 0})
+    size = np.concatenate([np.frombuffer(x, np.int32) for x in rows["more"]])
+    order, many, lead, near = _met(key, doc, size, percent)
+    doc, key, more = doc[order], key[order] >> np.uint64(2), key[order] & np.uint64(2) > 0
+    open_ = np.isin(key, key[(many > 2) | more])
+    met = (many > 1) & (lead >= 0) & (lead != doc) & (near | open_)
     out = pd.DataFrame({"key": pd.array(key[met].view(np.int64), dtype="Int64"), "lead": lead[met], "doc": doc[met], "near": near[met]})
-    out.loc[two[met], "key"] = pd.NA
+    out.loc[~open_[met], "key"] = pd.NA
     return out.drop_duplicates()
 
 
@@ -275,15 +308,19 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
 
     Two rows link when their sets of distinct WORDS-word shingles (fewer words: the whole sequence) have a
     Jaccard similarity of at least percent / 100. Null, empty and wordless texts have the empty set and no
-    links. Keys are integers and name a document; a row with a null key has no links and a null class.
+    links. Keys are integers; each row is a document of its own, also where rows share a key. A row with a null
+    key has no links and a null class. Other columns are not read.
     """
-    told = stash(describe(df, key, text))
-    some = told.where("n > 0 and doc is not null")
-    # equal sets are one class from here on, named by its smallest document; the text of that one stands for them
-    named = stash(some.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
-    texts = stash(some.join(named, (F.col("doc") == F.col("rep")), "left_semi").select("doc", "n", "x", "z"))
+    told = stash(describe(df, key, text).withColumn("row", F.monotonically_increasing_id()))
+    sets = stash(told.select("doc", "n", "h1", "h2"))
+    # equal sets are one class from here on; the text of its smallest document stands for it, called by its row number
+    first = F.min(F.struct("doc", "row"))
+    named = stash(told.where("n > 0 and doc is not null").groupBy("h1", "h2", "n").agg(first.alias("x")).select("h1", "h2", "n", "x.*"))
+    texts = stash(told.join(named, "row", "left_semi").select(F.col("row").alias("doc"), "n", "x", "z"))
+    discard(told)
     reps = texts.select("doc", "n", "x")
-    parts = PARTS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    parts = -(-total // PART) + 1  # of about half as many keys as shingles
     dealt = deal_keys(texts, parts, percent, count_keys(texts, percent))
     met = stash(dealt.groupBy("part").applyInPandas(lambda rows: star_candidates(rows, percent), "key long, lead long, doc long, near boolean"))
     stars = met.where("near").select("lead", "doc").distinct()
@@ -291,21 +328,33 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     stars = stars.alias("s").join(x, F.col("s.lead") == F.col("x.doc")).join(y, F.col("s.doc") == F.col("y.doc"))
     stars = stash(stars.where(_allowed("x", "y", percent)).select(F.col("s.lead").alias("a"), F.col("s.doc").alias("b")))
     linked = stash(verify(stars, texts, percent))
-    # documents that met in a block, one of them not linked to its lead: pairs across components are left to test
+    # blocks where several components meet: pairs across them are left to test
     group = stash(components(linked))
-    found = reps.join(group.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    known = met.where("key is not null").join(linked, (F.col("lead") == F.col("a")) & (F.col("doc") == F.col("b")), "left")
-    known = known.select("key", "doc", F.col("a").isNull().alias("failed")).join(found, "doc")
-    # both sides are the same rows, so that Spark sends them once
-    x, y = known.alias("x"), known.alias("y")
-    once = (F.col("x.failed") | F.col("y.failed")) & (F.col("x.doc") < F.col("y.doc"))
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & _allowed("x", "y", percent))
-    cross = stash(cross.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
+    known = met.where("key is not null")
+    known = known.select("key", "doc").unionByName(known.where("lead >= 0").select("key", F.col("lead").alias("doc"))).distinct()
+    known = known.join(group, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
+    known = stash(known)
+    mixed = known.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    mixed = mixed.where("least < most").select("key", "tiles")
+    open_ = stash(known.join(mixed, "key").join(reps, "doc").select("key", "tiles", "doc", "c", "n", "x"))
+    x = open_.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).alias("x")
+    y = open_.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("y")
+    apart = (F.col("x.c") != F.col("y.c")) & (F.col("x.doc") < F.col("y.doc"))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & apart & _allowed("x", "y", percent))
+    cross = cross.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    cross = stash(cross.join(stars, ["a", "b"], "left_anti"))
+    discard(met, known, open_)
     if not cross.isEmpty():
         linked = linked.unionByName(verify(cross, texts, percent))
-        group = components(linked)
-    classes = named.join(group, F.col("rep") == F.col("id"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = told.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+        group = stash(components(linked))
+    discard(texts, stars, cross)
+    # components by their smallest document instead of their smallest row
+    group = group.unionByName(group.select(F.col("component").alias("id"), "component").distinct())
+    of_row = group.join(named.select("row", F.col("doc").alias("rep")), F.col("id") == F.col("row"))
+    least = of_row.groupBy("component").agg(F.min("rep").alias("component_id"))
+    lead = of_row.join(least, "component").select("row", "component_id")
+    classes = named.join(lead, "row", "left").select("h1", "h2", "n", F.coalesce("component_id", "doc").alias("component_id"))
+    out = sets.join(classes, ["h1", "h2", "n"], "left")
     of_own = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce(of_own, "doc").alias("component_id"))
 
