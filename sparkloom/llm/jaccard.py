@@ -9,8 +9,9 @@ shingle and its most crowded ones. Documents that agree in a block of a band are
 as the sets then rule most out, and the others are verified on their whole sets.
 
 A block shared by many documents gives each of them one candidate, the smallest document of the block.
-Documents of a block that this does not connect are then compared among themselves, where their sketches
-allow a link, so no link between components is lost and no clique is expanded.
+Where this leaves several components in a block, documents are compared across them as far as their sketches allow
+a link: first with one partner each, then, as components join, with more, until none is left to compare. So no link
+between components is lost and no clique is expanded.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ SLOTS = 1 << 21
 FLUSH, MEET, PART = 250_000, 8, 500_000
 #: Documents that are compared with one lead in a group, and rows of a block on one side of a comparison.
 GROUP, TILE = 256, 1024
+#: Partners of a document in a block that are verified before components are found again, round by round; then all.
+ROUNDS = (1, 16, 256)
+#: Rows of blocks compared in a task, on average.
+OPEN = 20_000
 
 
 def bands(percent: int = PERCENT, up_to: int = 1 << 40) -> list[tuple[int, int]]:
@@ -264,6 +269,51 @@ def _allowed(a: str, b: str, percent: int):
     return F.when(near, (100 + percent) * differ <= (100 - percent) * (na + nb)).otherwise(False)
 
 
+def partners(rows: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
+    """(a, b, more): of every document b of a block the first `most` smaller ones of other components to which sizes and
+    sketches allow a link; more: there are others. rows: (key, i, j, tile, doc, c, n, x) of many blocks, of a large
+    one two tiles i and j, between which (or, both being one, in which) documents are compared."""
+    rows = rows.sort_values(["key", "i", "j", "doc"], kind="stable")
+    block = rows[["key", "i", "j"]].to_numpy()
+    head = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
+    doc, c, n, tile, x = (rows[k].to_numpy() for k in ("doc", "c", "n", "tile", "x"))
+    out = []
+    for s, e in zip(head, np.append(head[1:], len(rows)), strict=True):
+        size = min(len(v) for v in x[s:e])
+        # XOR of the halves of a longer sketch, down to the shortest
+        bits = np.stack([np.bitwise_xor.reduce(np.asarray(v, np.int64).reshape(-1, size), axis=0) for v in x[s:e]]).view(np.uint64)
+        for p in range(s, e, TILE):
+            q = min(e, p + TILE)
+            differ = np.zeros((q - p, q - s), np.int64)
+            for w in range(size):
+                differ += np.bitwise_count(bits[p - s : q - s, w, None] ^ bits[None, : q - s, w])
+            both = n[p:q, None] + n[None, s:q]
+            may = ((100 + percent) * differ <= (100 - percent) * both) & (c[p:q, None] != c[None, s:q]) & (doc[p:q, None] > doc[None, s:q])
+            may &= 100 * np.minimum(n[p:q, None], n[None, s:q]) >= percent * np.maximum(n[p:q, None], n[None, s:q])
+            if block[s, 1] != block[s, 2]:
+                may &= tile[p:q, None] != tile[None, s:q]
+            place = np.cumsum(may, axis=1)
+            b, a = np.nonzero(may & (place <= most))
+            out.append(np.stack([doc[s + a], doc[p + b], place[b, -1] > most]))
+    a, b, more = np.concatenate(out, axis=1)
+    return pd.DataFrame({"a": a, "b": b, "more": more > 0}).drop_duplicates()
+
+
+def open_pairs(known: DataFrame, group: DataFrame, reps: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b, more) of partners() over the blocks, known as (key, doc), in which several components meet. Blocks of the
+    same documents count once; a block with many is dealt to pairs of tiles of about TILE."""
+    own = known.join(group, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
+    same = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"s{i}") for i in (1, 2)]
+    blocks = own.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size"), *same).where("least < most")
+    blocks = blocks.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    rows = stash(own.join(blocks, "key").join(reps, "doc").withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")))
+    deals = max(1, -(-rows.count() // OPEN))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = rows.withColumn("other", other).select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc", "c", "n", "x")
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(deals)))
+    return dealt.groupBy("deal").applyInPandas(lambda g: partners(g, percent, most), "a long, b long, more boolean")
+
+
 def compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """(a, b) of the documents of a group that are linked to its lead, whose own row has doc = a."""
     un, lead = zstandard.ZstdDecompressor(), int(rows["a"].iloc[0])
@@ -328,26 +378,20 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     stars = stars.alias("s").join(x, F.col("s.lead") == F.col("x.doc")).join(y, F.col("s.doc") == F.col("y.doc"))
     stars = stash(stars.where(_allowed("x", "y", percent)).select(F.col("s.lead").alias("a"), F.col("s.doc").alias("b")))
     linked = stash(verify(stars, texts, percent))
-    # blocks where several components meet: pairs across them are left to test
     group = stash(components(linked))
     known = met.where("key is not null")
-    known = known.select("key", "doc").unionByName(known.where("lead >= 0").select("key", F.col("lead").alias("doc"))).distinct()
-    known = known.join(group, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    known = stash(known)
-    mixed = known.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    mixed = mixed.where("least < most").select("key", "tiles")
-    open_ = stash(known.join(mixed, "key").join(reps, "doc").select("key", "tiles", "doc", "c", "n", "x"))
-    x = open_.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).alias("x")
-    y = open_.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("y")
-    apart = (F.col("x.c") != F.col("y.c")) & (F.col("x.doc") < F.col("y.doc"))
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & apart & _allowed("x", "y", percent))
-    cross = cross.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    cross = stash(cross.join(stars, ["a", "b"], "left_anti"))
-    discard(met, known, open_)
-    if not cross.isEmpty():
-        linked = linked.unionByName(verify(cross, texts, percent))
-        group = stash(components(linked))
-    discard(texts, stars, cross)
+    known = stash(known.select("key", "doc").unionByName(known.where("lead >= 0").select("key", F.col("lead").alias("doc"))).distinct())
+    tested = stars
+    for most in (*ROUNDS, 1 << 40):
+        pairs = stash(open_pairs(known, group, reps, percent, most))
+        fresh = stash(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            linked = linked.unionByName(stash(verify(fresh, texts, percent)))
+            tested = tested.unionByName(fresh)
+            group = stash(components(linked))
+        if pairs.where("more").isEmpty():
+            break
+    discard(met, known, texts)
     # components by their smallest document instead of their smallest row
     group = group.unionByName(group.select(F.col("component").alias("id"), "component").distinct())
     of_row = group.join(named.select("row", F.col("doc").alias("rep")), F.col("id") == F.col("row"))
