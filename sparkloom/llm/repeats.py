@@ -1,17 +1,21 @@
 """Removal of long passages that occur earlier in the corpus, by run-length indexes.
 
 Any LENGTH bytes hold an anchor that their content alone determines: the smallest hash of their GRAM-byte
-strings. Equal passages so meet at equal anchors, and an anchor with the bytes that a passage around it can
-reach is its context. Of equal contexts all but the first are repeats as a whole. Where an anchor has
-several contexts, these are gathered in buckets, and each bucket gets a run-length index: the
-Burrows-Wheeler transform of its contexts as runs, with text places sampled at the run ends. From the
-samples alone follow, for each place, the place before it in suffix order and the length they share (its
-matching statistic); chains of places that share LENGTH bytes are the occurrences of one passage, of which
-the earliest stays.
+strings. Neighbouring windows of LENGTH bytes with one anchor form a piece, cut where the anchor comes into the
+left half; so all windows of a piece share more than half of their bytes, whose hash is its key. Equal windows
+meet at equal keys. Of equal pieces all but the first are repeats as a whole. Where a key has several pieces,
+these are gathered in buckets, and each bucket gets a run-length index: the Burrows-Wheeler transform of its
+pieces as runs, with text places sampled at the run ends. From the samples alone follow, for each place, the
+place before it in suffix order and the length they share (its matching statistic); chains of places that share
+LENGTH bytes are the occurrences of one passage, of which the earliest stays.
+
+Pieces of a key with very many different ones are halved, each half with the longer key of its own windows,
+until a key has few, or is a whole window, of which an aggregation finds the earliest.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,39 +25,46 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bytestext as B
-from .common import documents, stash
+from .common import discard, documents, stash
 from .jaccard import compress
 
 #: Bytes of a passage and of an anchor's string.
 LENGTH, GRAM = 100, 32
-#: Contexts in a bucket on average, and the most of one anchor that go to one bucket.
-BUCKET, CHUNK = 8192, 4096
+#: Pieces in a bucket on average, and the most of one key that meet in one.
+BUCKET, MOST = 8192, 8192
 #: Bytes of a text hashed at once.
 PIECE = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
+#: Bytes of a window before its anchor: at most REACH, and at least HALF in the left piece.
+REACH = LENGTH - GRAM
+HALF = REACH // 2
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, context hash) of every anchor of a text."""
-    places, grams, contexts, n, reach = [], [], [], len(text), LENGTH - GRAM
+def pieces(text: bytes) -> tuple[np.ndarray, ...]:
+    """(start, end, place, key, content) of every piece of a text: its bytes, where its anchor is, the hash of what its
+    windows share, and of all its bytes."""
+    found, n = [], len(text)
     for at in range(0, max(0, n - LENGTH + 1), PIECE):
-        # windows that start in this piece; contexts reach a little further on both sides
-        low, high = max(0, at - reach), min(n, at + PIECE + 2 * LENGTH)
-        b = np.frombuffer(text, np.uint8, high - low, low)
+        # windows that start in this part
+        b = np.frombuffer(text, np.uint8, min(n - at, PIECE + LENGTH - 1), at)
         h = B.prefix_hashes(b)
-        first, last = at - low, min(at + PIECE + LENGTH - 1, n) - GRAM - low
-        start = np.arange(first, last + 1)
+        start = np.arange(len(b) - GRAM + 1)
         gram = B.span_hashes(h, start, start + GRAM)
-        p = np.unique(B.windowed_least((gram & ~_PLACE) | start.astype(np.uint64), reach + 1) & _PLACE).astype(np.int64)
-        a, z = np.maximum(0, p - reach), np.minimum(len(b), p + LENGTH)
-        places.append(p + low)
-        grams.append(gram[p - first])
-        contexts.append(B.mix(B.span_hashes(h, a, z) + (p - a).astype(np.uint64) * B.FACTORS[50]))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    p, g, c = np.concatenate(places), np.concatenate(grams), np.concatenate(contexts)
-    p, i = np.unique(p, return_index=True)
-    return p, g[i], c[i]
+        p = (B.windowed_least((gram & ~_PLACE) | start.astype(np.uint64), REACH + 1) & _PLACE).astype(np.int64)
+        left = p - start[: len(p)] >= HALF
+        a = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (left[1:] != left[:-1])))
+        z, p, left = np.append(a[1:], len(p)) - 1 + LENGTH, p[a], left[a]
+        low, high = shared(p, np.where(left, HALF, 0), np.where(left, REACH, HALF - 1))
+        key = B.span_hashes(h, low, high) + left
+        found.append((a + at, z + at, p + at, key, B.mix(B.span_hashes(h, a, z) + (p - a).astype(np.uint64) * B.FACTORS[50])))
+    if not found:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def shared(p, least, most):
+    """Bytes [low, high) that all windows with `least` to `most` bytes before an anchor at p have."""
+    return p - least, p + LENGTH - most
 
 
 def merged(a: np.ndarray, z: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,48 +82,44 @@ def merged(a: np.ndarray, z: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np
     return a[first], far[np.append(first[1:], len(a)) - 1], of[first]
 
 
-def find_anchors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(h, c, doc, a, z): anchors with their contexts' hashes, z null; or, h being no anchor, bytes [a, z) of a
-    document that repeat a context met before in the same batch, so that no common context is sent twice."""
+def find_pieces(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(h, c, doc, a, size, p): pieces, h their key, c the hash of their bytes, p the anchor's place in them; or, p being
+    null, bytes [a, a + size) of a document that repeat a piece met before in the same batch, so that no common piece
+    is sent twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, p, g, c = [], [], [], []
+            parts, rows = [], []
             keys = batch.column(0).to_pylist()
-            order = sorted((k, i) for i, k in enumerate(keys) if k is not None)
-            sizes = {}
-            for k, i in order:
+            for k, i in sorted((k, i) for i, k in enumerate(keys) if k is not None):
                 t = batch.column(1)[i]
                 if t.is_valid:
-                    raw = t.as_buffer().to_pybytes()
-                    x = anchors(raw)
-                    sizes[k] = len(raw)
-                    doc.append(np.full(len(x[0]), k, np.int64))
-                    for to, part in zip((p, g, c), x, strict=True):
-                        to.append(part)
-            if not doc:
+                    parts.append(pieces(t.as_buffer().to_pybytes()))
+                    rows.append(np.full(len(parts[-1][0]), k, np.int64))
+            if not parts:
                 continue
-            doc, p, g, c = (np.concatenate(x) for x in (doc, p, g, c))
-            # rows come by document and place: the first of each context is the earliest
+            doc = np.concatenate(rows)
+            a, z, p, g, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # rows come by document and place: the first of each piece is the earliest
             _, first = np.unique(g ^ B.mix(c), return_index=True)
             live = np.zeros(len(p), bool)
             live[first] = True
-            size = np.array([sizes[k] for k in doc[~live].tolist()], np.int64)
-            a, z, of = merged(np.maximum(0, p[~live] - (LENGTH - GRAM)), np.minimum(size, p[~live] + LENGTH), doc[~live])
-            n, m = int(live.sum()), len(a)
-            own = B.mix(of.astype(np.uint64) * B.FACTORS[51] + a.astype(np.uint64))
+            low, high, of = merged(a[~live], z[~live], doc[~live])
+            n, m = int(live.sum()), len(low)
+            own = B.mix(of.astype(np.uint64) * B.FACTORS[51] + low.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([g[live], own]).view(np.int64)),
                     pa.array(np.concatenate([c[live], np.zeros(m, np.uint64)]).view(np.int64)),
                     pa.array(np.concatenate([doc[live], of])),
-                    pa.array(np.concatenate([p[live], a])),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), z]), mask=np.arange(n + m) < n),
+                    pa.array(np.concatenate([a[live], low])),
+                    pa.array(np.concatenate([(z - a)[live], high - low])),
+                    pa.array(np.concatenate([(p - a)[live], np.zeros(m, np.int64)]).astype(np.int16), mask=np.arange(n + m) >= n),
                 ],
-                names=["h", "c", "doc", "a", "z"],
+                names=["h", "c", "doc", "a", "size", "p"],
             )
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "h long, c long, doc long, a long, z long")
+    return df.select(F.col(key).cast("long"), text).mapInArrow(run, "h long, c long, doc long, a long, size long, p short")
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
@@ -169,24 +176,23 @@ class RunLengthIndex:
 
 
 def mark_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Repeats among the contexts of a bucket: (doc, a, z, w) with w null, or, for anchors dealt to several
-    buckets, the earliest place here of every passage: w is its hash."""
-    rows = rows.sort_values(["doc", "place"], kind="stable")
-    parts = [np.frombuffer(x, np.uint8) for x in rows["context"]]
+    """Repeats (doc, a, z) among the pieces (doc, a, content) of a bucket."""
+    rows = rows.sort_values(["doc", "a"], kind="stable")
+    parts = [np.frombuffer(x, np.uint8) for x in rows["content"]]
     size = np.fromiter(map(len, parts), np.int64)
     start = np.cumsum(size + 1) - size - 1
-    t = np.zeros(int(size.sum()) + len(size), np.int16)  # 0 ends a context
+    t = np.zeros(int(size.sum()) + len(size), np.int16)  # 0 ends a piece
     inside = np.ones(len(t), bool)
     inside[start + size] = False
     t[inside] = np.concatenate(parts).astype(np.int16) + 1
-    windows = np.maximum(0, size - LENGTH + 1)
+    windows = size - LENGTH + 1
     own = np.repeat(np.arange(len(size)), windows)
     offset = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = start[own] + offset
-    before, shared = RunLengthIndex(t).matching(at)
+    before, common = RunLengthIndex(t).matching(at)
     # chains in suffix order to the first occurrence in it; any occurrence has as many bytes left
     chain = np.arange(len(t))
-    same = shared >= LENGTH
+    same = common >= LENGTH
     chain[at[same]] = before[same]
     while True:
         further = chain[chain[at]]
@@ -195,60 +201,86 @@ def mark_bucket(rows: pd.DataFrame) -> pd.DataFrame:
         chain[at] = further
     doc = rows["doc"].to_numpy()
     _, ordinal = np.unique(doc, return_inverse=True)
-    begin = rows["place"].to_numpy()[own] + offset
+    begin = rows["a"].to_numpy()[own] + offset
     when = ordinal[own].astype(np.int64) << 40 | begin
     earliest = np.full(len(t), np.iinfo(np.int64).max)
     np.minimum.at(earliest, chain[at], when)
-    first = earliest[chain[at]] == when
-    a, z, of = merged(begin[~first], begin[~first] + LENGTH, doc[own][~first])
-    out = pd.DataFrame({"doc": of, "a": a, "z": z, "w": pd.Series([None] * len(a), dtype="Int64")})
-    split = first & (rows["chunks"].to_numpy()[own] > 1)
-    if split.any():
-        h = B.prefix_hashes(t.astype(np.uint64))
-        w = B.span_hashes(h, at[split], at[split] + LENGTH).view(np.int64)
-        out = pd.concat([out, pd.DataFrame({"doc": doc[own][split], "a": begin[split], "z": begin[split] + LENGTH, "w": pd.Series(w, dtype="Int64")})])
-    return out
+    late = earliest[chain[at]] != when
+    a, z, of = merged(begin[late], begin[late] + LENGTH, doc[own][late])
+    return pd.DataFrame({"doc": of, "a": a, "z": z})
+
+
+PIECES = "h long, least short, most short, doc long, a long, p short, content binary"
 
 
-def contexts(marks: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc, place, chunks, context) of marks (doc, h, place, n); texts: (doc, z)."""
-    wanted = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "h", "n")).alias("m"))
+def contents(marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """PIECES of marks (h, doc, a, size, p) with their bytes: windows with least to most bytes before the anchor.
+    texts: (doc, z)."""
+    wanted = marks.groupBy("doc").agg(F.collect_list(F.struct("h", "a", "size", "p")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         un = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for doc, z, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = un.decompress(z.as_py())
-                for x in m:
-                    chunks = -(-x["n"] // CHUNK)
-                    salt = int(B.mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(chunks))
-                    bucket = int(B.mix(np.array([x["h"]], np.int64).view(np.uint64) + np.uint64(salt))[0] % np.uint64(buckets))
-                    low = max(0, x["place"] - (LENGTH - GRAM))
-                    out.append((bucket, doc, low, chunks, text[low : x["place"] + LENGTH]))
-            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "doc", "place", "chunks", "context"), r, strict=True)) for r in out], schema=pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("chunks", pa.int64()), ("context", pa.binary())]))
-
-    return texts.join(wanted, "doc").select("doc", "z", "m").mapInArrow(run, "bucket long, doc long, place long, chunks long, context binary")
+            m = batch.column(2)
+            own = np.repeat(np.arange(len(m)), np.diff(m.offsets.to_numpy()))
+            h, a, size, p = (m.flatten().field(i) for i in range(4))
+            texts_ = [un.decompress(z.as_py()) for z in batch.column(1)]
+            content = [texts_[i][x : x + n] for i, x, n in zip(own.tolist(), a.to_pylist(), size.to_pylist(), strict=True)]
+            left = p.to_numpy() >= HALF
+            ends = [pa.array(np.where(left, x, y).astype(np.int16)) for x, y in ((HALF, 0), (REACH, HALF - 1))]
+            doc = pa.array(batch.column(0).to_numpy()[own])
+            yield pa.RecordBatch.from_arrays([h, *ends, doc, a, p, pa.array(content, pa.binary())], names=["h", "least", "most", "doc", "a", "p", "content"])
+
+    return texts.join(wanted, "doc").select("doc", "z", "m").mapInArrow(run, PIECES)
+
+
+def halves(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pieces cut in two by the bytes before the anchor, with the keys of their windows."""
+    out = []
+    for least, most, doc, a, p, content in rows[["least", "most", "doc", "a", "p", "content"]].itertuples(index=False):
+        middle, h = (least + most) // 2, B.prefix_hashes(np.frombuffer(content, np.uint8))
+        for low, high in ((least, middle), (middle + 1, most)):
+            # windows of this piece that start with so many bytes before the anchor
+            first, last = max(0, p - high), min(len(content) - LENGTH, p - low)
+            if first <= last:
+                x, y = shared(p, low, high)
+                key = B.span_hashes(h, np.array([x]), np.array([y])) + np.uint64(low)
+                out.append((int(key.view(np.int64)[0]), low, high, doc, a + first, p - first, content[first : last + LENGTH]))
+    return pd.DataFrame(out, columns=["h", "least", "most", "doc", "a", "p", "content"])
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, a, z): byte ranges, overlapping, of what occurs earlier in LENGTH bytes or more."""
-    # one shuffle by anchor serves both windows
-    found = find_anchors(df, key, text).repartition("h")
+    # one shuffle by key serves both windows
+    found = find_pieces(df, key, text).repartition("h")
     by = Window.partitionBy("h")
-    of_context = F.row_number().over(Window.partitionBy("h", "c").orderBy("doc", "a"))
-    marks = found.withColumn("i", of_context).withColumn("n", F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).over(by))
-    marks = stash(marks.where("z is not null or i > 1 or n > 1").select("h", "doc", "a", "z", "i", "n"))
-    whole = marks.where("z is not null").select("doc", "a", "z")
-    again = marks.where("z is null and i > 1").select("doc", F.greatest(F.lit(0), F.col("a") - (LENGTH - GRAM)).alias("a"), (F.col("a") + LENGTH).alias("z"))
-    mixed = marks.where("z is null and i = 1 and n > 1").select("h", "doc", F.col("a").alias("place"), "n")
-    buckets = max(1, -(-mixed.count() // BUCKET))
-    told = stash(contexts(mixed, compress(df, key, text), buckets).groupBy("bucket").applyInPandas(mark_bucket, "doc long, a long, z long, w long"))
-    # anchors dealt to several buckets: the earliest of each passage over all of them
-    parts = told.where("w is not null")
-    earliest = parts.groupBy("w").agg(F.min(F.struct("doc", "a")).alias("first"))
-    late = parts.join(earliest, "w").where(F.struct("doc", "a") > F.col("first")).select("doc", "a", "z")
-    return whole.unionByName(again).unionByName(told.where("w is null").select("doc", "a", "z")).unionByName(late)
+    of_piece = F.row_number().over(Window.partitionBy("h", "c").orderBy("doc", "a"))
+    marks = found.withColumn("i", of_piece).withColumn("n", F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).over(by))
+    marks = stash(marks.where("p is null or i > 1 or n > 1").select("h", "doc", "a", "size", "p", "i", "n"))
+    whole = marks.where("p is null or i > 1").select("doc", "a", (F.col("a") + F.col("size")).alias("z"))
+    mixed = marks.where("p is not null and i = 1 and n > 1").select("h", "doc", "a", "size", "p")
+    told, out = stash(contents(mixed, compress(df, key, text))), [whole]
+    while True:
+        counts = told.groupBy("h").agg(F.count("*").alias("n"))
+        few = told.join(counts.where(F.col("n") > MOST), "h", "left_anti")
+        deals = max(1, -(-told.count() // BUCKET))
+        bucket = F.pmod(F.xxhash64("h"), F.lit(deals)).alias("bucket")
+        out.append(stash(few.select(bucket, "doc", "a", "content").groupBy("bucket").applyInPandas(mark_bucket, "doc long, a long, z long")))
+        hot = stash(counts.where(F.col("n") > MOST))
+        if hot.isEmpty():
+            discard(told)
+            break
+        cut = stash(told.join(hot, "h").select(*told.columns).mapInPandas(lambda b: (halves(x) for x in b), PIECES))
+        discard(told)
+        # whole windows need no index: the earliest of each key stays
+        one = cut.where("least = most").select("h", "doc", "a")
+        first = one.groupBy("h").agg(F.min(F.struct("doc", "a")).alias("first"))
+        late = one.join(first, "h").where(F.struct("doc", "a") > F.col("first"))
+        out.append(stash(late.select("doc", "a", (F.col("a") + LENGTH).alias("z"))))
+        told = cut.where("least < most")
+        told = stash(told.join(told.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h", "left_semi"))
+        discard(cut)
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,7 +288,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     also start earlier (smaller key, or same text and smaller offset), maximal removed runs, the bytes left.
 
     Null texts count as empty; texts below LENGTH bytes lose nothing. Keys are integers and unique: rows
-    that share one lose what either repeats. Rows with a null key are left whole and are no source.
+    that share one lose what either repeats. Rows with a null key are left whole and are no source. Other columns
+    are not read.
     """
     spans = repeated_spans(df, key, text).groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("m"))
 
