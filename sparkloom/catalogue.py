@@ -225,14 +225,15 @@ def entity_dedupe_max_conf(spark, sf_dir):
 
 # --- store ------------------------------------------------------------------------------------------------
 
-OLD_NEW = """o as (select c_nationkey as id, c_custkey as k, c_acctbal as confidence from (select *, row_number() over (partition by c_nationkey order by c_custkey) as i from customer where c_custkey % 2 = 0) where i = 1),
-n as (select c_nationkey as id, c_custkey as k, c_acctbal as confidence from (select *, row_number() over (partition by c_nationkey order by c_custkey) as i from customer where c_custkey % 2 = 1) where i = 1)"""
+OLD_NEW = """o as (select c_custkey // 2 as id, c_custkey as k, c_acctbal as confidence from customer where c_custkey % 2 = 0),
+n as (select c_custkey // 2 as id, c_custkey as k, c_acctbal as confidence from customer where c_custkey % 2 = 1)"""
 
 
 @query(f"with {OLD_NEW} select coalesce(o.id, n.id) as id, case when o.id is null or n.confidence >= o.confidence then n.k else o.k end as k, case when o.id is null or n.confidence >= o.confidence then n.confidence else o.confidence end as confidence from o full join n on o.id = n.id")
 def entity_upsert_gate(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("confidence"))
-    old, new = (tables.pick(c.where(F.col("k") % 2 == i), ["id"], [F.asc("k")]) for i in (0, 1))
+    """Customers of even number are stored, those of odd number come in; two neighbours share an id."""
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 2").alias("id"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("confidence"))
+    old, new = (c.where(F.col("k") % 2 == i) for i in (0, 1))
     return tables.upsert_gated(old, new, ["id"])
 
 
@@ -255,22 +256,26 @@ def triple_review_split(spark, sf_dir):
     return good.select(F.lit("edge").alias("state")).unionAll(queued.select(F.lit("queue").alias("state"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("""select 'o' || l_orderkey as src_id, 'REQUIRES' as rel_type, 'p' || l_partkey as dst_id, max(l_discount * 10) as confidence from lineitem
-where l_discount * 10 >= 0.7 and l_orderkey in (select o_orderkey from orders where o_orderstatus <> 'F') and l_partkey in (select p_partkey from part where p_size > 10) group by all""")
+@query("""with n as (select 'o' || l_orderkey as src_id, 'p' || l_partkey as dst_id, max(l_discount * 10) as confidence from lineitem
+where l_discount * 10 >= 0.7 and l_orderkey in (select o_orderkey from orders where o_orderstatus <> 'F') and l_partkey in (select p_partkey from part where p_size > 10) group by all),
+o as (select 'o' || l_orderkey as src_id, 'p' || l_partkey as dst_id, min(l_tax) as confidence, max(l_shipdate::date::varchar) as note from lineitem where l_linenumber = 1 group by all)
+select coalesce(n.src_id, o.src_id) as src_id, 'REQUIRES' as rel_type, coalesce(n.dst_id, o.dst_id) as dst_id, coalesce(n.confidence, o.confidence) as confidence, o.note from n full join o on n.src_id = o.src_id and n.dst_id = o.dst_id""")
 def edge_endpoint_check(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
     parts = table(spark, sf_dir, "part").where("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
-    empty = spark.createDataFrame([], "src_id string, rel_type string, dst_id string, confidence double")
-    return tables.upsert_edges(empty, order_triples(spark, sf_dir), orders.union(parts))[0]
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    old = li.groupBy(F.concat(F.lit("o"), "l_orderkey").alias("src_id"), F.lit("REQUIRES").alias("rel_type"), F.concat(F.lit("p"), "l_partkey").alias("dst_id")).agg(F.min("l_tax").alias("confidence"), F.max(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("note"))
+    return tables.upsert_edges(old, order_triples(spark, sf_dir), orders.union(parts))[0]
 
 
-@query("""with l as (select distinct quality as node_id, doc_id as chunk_id, toxic from labels where doc_id in (select doc_id from documents where lang = 'en') and quality in (select 1))
-select node_id, chunk_id, 'FOUND_IN' as link_type, max(toxic::double) as confidence from l group by all""")
+@query("""with n as (select quality as node_id, doc_id as chunk_id, max(toxic::double) as confidence from labels where doc_id in (select doc_id from documents where lang is not null) and quality in (0, 1) group by all),
+o as (select 1 as node_id, doc_id as chunk_id, 0.5::double as confidence from documents where doc_id % 3 = 0)
+select coalesce(n.node_id, o.node_id)::int as node_id, coalesce(n.chunk_id, o.chunk_id) as chunk_id, 'FOUND_IN' as link_type, coalesce(n.confidence, o.confidence) as confidence from n full join o on n.node_id = o.node_id and n.chunk_id = o.chunk_id""")
 def chunk_link_upsert(spark, sf_dir):
     links = table(spark, sf_dir, "labels").select(F.col("quality").alias("node_id"), F.col("doc_id").alias("chunk_id"), F.lit("FOUND_IN").alias("link_type"), F.col("toxic").cast("double").alias("confidence"))
-    chunks = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    nodes = spark.range(1, 2)
-    return tables.upsert_links(links.where("false"), links, nodes, chunks)
+    chunks = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("doc_id").alias("id"))
+    old = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.lit(1).alias("node_id"), F.col("doc_id").alias("chunk_id"), F.lit("FOUND_IN").alias("link_type"), F.lit(0.5).alias("confidence"))
+    return tables.upsert_links(old, links, spark.range(2), chunks)
 
 
 @query("select doc_id, source = 'src1' as needs_review from documents")
@@ -300,14 +305,14 @@ EDGES_SQL = """e as (select 's' || s_suppkey as src_id, 'HANDLES' as rel_type, '
   union all select 'n' || n_nationkey, case when n_nationkey % 5 = 0 then 'BLOCKS' else 'BELONGS_TO' end, 'r' || n_regionkey from nation),
 w as (select src_id as a, rel_type, dst_id as b from e union all select dst_id, rel_type, src_id from e)"""
 WALK_SQL = f"""with recursive {EDGES_SQL},
-d as (select s_suppkey as qid, 's' || s_suppkey as node, 0 as hop from supplier where s_suppkey % 10 = 0
+d as (select s_suppkey as qid, 's' || s_suppkey as node, 0 as hop from supplier
   union all select d.qid, w.b, d.hop + 1 from d join w on d.node = w.a where d.hop < 2),
 m as (select qid, node, min(hop) as hop from d group by qid, node),
 t as (select qid, a as src_id, rel_type, b as dst_id, case hop when 0 then 0.75::double else 0.375::double end as score, hop + 1 as hop from m join w on node = a where hop < 2)"""
 
 
 def walked(spark, sf_dir) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0")
+    s = table(spark, sf_dir, "supplier")
     return graph.traverse(places(spark, sf_dir), s.select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("s"), "s_suppkey").alias("node")), cap=None)[0]
 
 
@@ -340,11 +345,11 @@ def graph_chunks_for_nodes(spark, sf_dir):
 
 COS_SQL = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 NEAR_SQL = f"""n as (select a.vec_id as qid, b.vec_id as id, {COS_SQL} as c, row_number() over (partition by a.vec_id order by {COS_SQL} desc, b.vec_id) as i
-  from embeddings a, embeddings b where a.vec_id % 25 = 0)"""
+  from embeddings a, embeddings b where a.vec_id % 20 = 0)"""
 
 
 def vector_questions(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 @query(f"with {NEAR_SQL} select qid, id, round(c, 6) as cosine, i::int as rank from n where i <= 30")
@@ -429,13 +434,13 @@ def recency_score(spark, sf_dir):
 def candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions, graph chunks (same label) and vector chunks of some vectors."""
     q = vector_questions(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question")), "qid").withColumn("anchors", F.array(F.lit("tion"), F.lit("an")))
-    found = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20 * 25).alias("qid"))
+    found = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.expr("doc_id div 20 * 20").alias("qid"))
     chunks = vector_chunks(spark, sf_dir).drop("embedding")
     near = vector.nearest(vector_questions(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10, "vec_id").select("qid", "id", F.col("cosine").alias("score"))
     return q, found.join(chunks, "id"), near.join(chunks, "id")
 
 
-MERGE_SQL = f"""{NEAR_SQL}, f as (select doc_id % 20 * 25 as qid, doc_id as id, 0.75::double as base, 'graph' as origin from labels where toxic = 1 and doc_id in (select vec_id from embeddings)
+MERGE_SQL = f"""{NEAR_SQL}, f as (select doc_id // 20 * 20 as qid, doc_id as id, 0.75::double as base, 'graph' as origin from labels where toxic = 1 and doc_id in (select vec_id from embeddings)
   union all select qid, id, c, 'vector' from n where i <= 10 and id in (select doc_id from documents)),
 s as (select f.qid, f.id, origin, q.text as question, d.text as text, 0.6::double * base + 0.3::double * {overlap_sql('q.text', 'd.text', "['tion', 'an']")} + 0.1::double * {RECENCY_SQL(VERSION_SQL)} as s
   from f join documents d on d.doc_id = f.id join documents q on q.doc_id = f.qid where f.qid in (select vec_id from embeddings)),
@@ -454,14 +459,14 @@ def merge_rerank(spark, sf_dir):
 
 
 @query(f"""with {MERGE_SQL}, k as (select qid, max({overlap_sql('question', 'text', "['tion', 'an']")}) as fit from r where i <= 4 group by qid)
-select vec_id as qid, round(coalesce(fit, 0), 6) as fit, coalesce(fit, 0) < 0.06 as no_answer from embeddings join documents on doc_id = vec_id left join k on qid = vec_id where vec_id % 25 = 0""")
+select vec_id as qid, round(coalesce(fit, 0), 6) as fit, coalesce(fit, 0) < 0.06 as no_answer from embeddings join documents on doc_id = vec_id left join k on qid = vec_id where vec_id % 20 = 0""")
 def fit_gate(spark, sf_dir):
     q, top = merged(spark, sf_dir)
     return rank.fit(top, q).select("qid", F.round("fit", 6).alias("fit"), (F.col("fit") < rules.RANKING.least_fit).alias("no_answer"))
 
 
 @query(f"""with {MERGE_SQL}, k as (select qid, max(s) as b, count(*) as n from r where i <= 4 group by qid),
-a as (select vec_id as qid, coalesce(b, 0.0::double) as b, coalesce(n, 0) as n, text as question from embeddings join documents on doc_id = vec_id left join k on qid = vec_id where vec_id % 25 = 0)
+a as (select vec_id as qid, coalesce(b, 0.0::double) as b, coalesce(n, 0) as n, text as question from embeddings join documents on doc_id = vec_id left join k on qid = vec_id where vec_id % 20 = 0)
 select qid, n as evidence, array_to_string(list_filter([case when b < 0.25 then 'low_top_score' end, case when n < 2 then 'insufficient_evidence' end, case when {TYPE_SQL} in ('comparison', 'cause') then 'complex_question' end], lambda x: x is not null), ',') as reasons from a""")
 def deep_gate(spark, sf_dir):
     q, top = merged(spark, sf_dir)
@@ -469,7 +474,7 @@ def deep_gate(spark, sf_dir):
     return facts.select("qid", F.col("evidence_count").alias("evidence"), F.array_join(rank.deep_reasons(F.col("question"), F.col("best_score"), F.col("evidence_count"), TYPES), ",").alias("reasons"))
 
 
-@query(f"""with {MERGE_SQL}, k as (select qid, count(*) filter (origin = 'graph') as g, count(*) filter (origin = 'vector') as v from f where qid in (select vec_id from embeddings) group by qid)
+@query(f"""with {MERGE_SQL}, k as (select qid, count(*) filter (origin = 'graph') as g, count(*) filter (origin = 'vector') as v from f where qid in (select vec_id from embeddings) and id in (select doc_id from documents) group by qid)
 select qid, case when g > 0 and v > 0 then 'hybrid' when v > 0 then 'vector' else 'graph' end as method from k""")
 def retrieval_method(spark, sf_dir):
     _, g, v = candidates(spark, sf_dir)

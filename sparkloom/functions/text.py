@@ -9,7 +9,7 @@ from .. import rules
 
 def strip(c: Column) -> Column:
     """Without white space (Unicode's) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s++\z", "")
 
 
 def squeeze(c: Column) -> Column:
@@ -124,6 +124,17 @@ def message(language: Column, texts: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, language), F.lit(texts["en"]))
 
 
+def profile_updated(language: Column, profile: Column) -> Column:
+    """Confirms a changed user profile in the user's language."""
+    return F.replace(message(language, rules.PROFILE_UPDATED), F.lit("%s"), profile)
+
+
+def style(language: Column, kind: Column) -> Column:
+    """How an answer is to be laid out, with a hint for some types of question."""
+    hints = F.coalesce(*[F.when(kind == name, message(language, texts)) for name, texts in rules.TYPE_HINTS.items()])
+    return F.concat_ws("\n", message(language, rules.STYLES), hints)
+
+
 def host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
-from ..functions.text import allowed_host, contains_any, disclaimer, html_text, is_stale, message, title_from_url, variants
+from ..functions.text import allowed_host, contains_any, disclaimer, has_foreign_script, html_text, is_stale, message, style, title_from_url, variants
 from .link import contained
 from .tables import pick
 
@@ -79,18 +79,59 @@ def evidence_block(lines: Column, most: int = 8) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(F.transform(F.slice(lines, 1, most), lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise("- (none)")
 
 
+def prompt(language: Column, kind: Column, question: Column, context: Column, evidence: Column, profile: Column | None = None, history: Column | None = None) -> Column:
+    """What a model is asked: role, layout, profile and conversation where there are any, evidence, sources, question."""
+    some = lambda c, title: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n[{title}]\n"), c, F.lit("\n"))).otherwise("")
+    none = F.lit("")
+    return F.concat(
+        message(language, rules.ROLES), F.lit("\n"), style(language, kind), F.lit("\n" + rules.CAUTION + "\n"), some(profile if profile is not None else none, rules.PROFILE_TITLE),
+        some(history if history is not None else none, rules.HISTORY_TITLE), F.lit(f"\n[{rules.CONTEXT_TITLE}]\n"), context, F.lit(f"\n\n[{rules.EVIDENCE_TITLE}]\n"),
+        evidence_block(evidence), F.lit(f"\n\n[{rules.QUESTION_TITLE}]\n"), question, F.lit("\n"),
+    )
+
+
+def refused(method: Column, context: Column, made: Column) -> Column:
+    """A model's answer, or the strict refusal: without evidence, without an answer (null: the model failed), and for an
+    answer in a script that answers must not have."""
+    bad = (method == "no_answer") | (F.coalesce(context, F.lit("")) == "") | (F.coalesce(made, F.lit("")) == "") | has_foreign_script(made)
+    return F.when(bad, F.lit(rules.REFUSAL)).otherwise(made)
+
+
 def answers(questions: DataFrame, generate=None) -> DataFrame:
-    """(qid, answer) of questions (qid, question, language, context): from generate(question, context) if there is
-    a model, else the context itself; the fixed message where there is no context or no answer."""
-    made = F.col("context") if generate is None else generate(F.col("question"), F.col("context"))
-    return questions.select("qid", F.coalesce(F.when(F.col("context") != "", F.nullif(made, F.lit(""))), message(F.col("language"), rules.NO_EVIDENCE)).alias("answer"))
+    """(qid, answer) of questions (qid, question, language, method, context, external).
+
+    Questions without an answer and without anything from the web get the message for that; the others what
+    generate(question, context) makes, or the strict refusal, and without a model the context itself."""
+    context = with_external(F.col("context"), F.col("external"))
+    sorry = message(F.col("language"), rules.NO_EVIDENCE)
+    made = F.coalesce(F.nullif(context, F.lit("")), sorry) if generate is None else refused(F.col("method"), context, generate(F.col("question"), context))
+    nothing = (F.col("method") == "no_answer") & (F.coalesce(F.col("external"), F.lit("")) == "")
+    return questions.select("qid", F.when(nothing, sorry).otherwise(made).alias("answer"))
+
+
+def with_external(context: Column, external: Column) -> Column:
+    """The context with what the web gave below it."""
+    web = F.coalesce(external, F.lit(""))
+    return F.when(web != "", F.concat(F.coalesce(context, F.lit("")), F.lit("\n\n" + rules.WEB_TITLE + "\n"), web)).otherwise(F.coalesce(context, F.lit("")))
+
+
+def external(found: DataFrame) -> DataFrame:
+    """(qid, external): a line for each of the snippets (qid, rank, title, snippet), by rank."""
+    line = F.concat(F.lit("[WEB] "), "title", F.lit(": "), "snippet")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("x")))), lambda s: s["x"])
+    return found.groupBy("qid").agg(F.array_join(lines, "\n").alias("external"))
 
 
 def latency_by_path(log: DataFrame, path: str = "path", value: str = "elapsed_sec") -> DataFrame:
-    """(path, n, mean, median, low, high); the median is exact."""
-    return log.groupBy(F.col(path).alias("path")).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("low"), F.max(value).alias("high")
-    )
+    """(path, n, mean, median, low, high); the median is exact, from the counts of the values in their order."""
+    rows = log.select(F.col(path).alias("path"), F.col(value).alias("v"))
+    stats = rows.groupBy("path").agg(F.count("*").alias("n"), F.count("v").alias("m"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    upto = F.sum("k").over(Window.partitionBy("path").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    steps = rows.where("v is not null").groupBy("path", "v").agg(F.count("*").alias("k")).withColumn("upto", upto)
+    both = steps.join(stats.select("path", "m"), "path")
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    middle = both.groupBy("path").agg(((at(F.floor((F.col("m") - 1) / 2)) + at(F.ceil((F.col("m") - 1) / 2))) / 2).alias("median"))
+    return stats.join(middle, "path", "left").select("path", "n", "mean", "median", "low", "high")
 
 
 def latency_sla(log: DataFrame, targets: dict[str, float], path: str = "path", value: str = "elapsed_sec") -> DataFrame:
@@ -101,6 +142,13 @@ def latency_sla(log: DataFrame, targets: dict[str, float], path: str = "path", v
     return out.withColumn("met", F.col("mean") <= F.col("target"))
 
 
+def top_evidence_rate(results: DataFrame, expected: DataFrame, k: int = 3) -> DataFrame:
+    """One row: the share of the expected questions (qid, id) of which an expected chunk is among the first k results
+    (qid, id, rank)."""
+    hit = results.where(F.col("rank") <= k).join(expected.select("qid", "id"), ["qid", "id"], "left_semi").select("qid", F.lit(1).alias("hit")).distinct()
+    return expected.select("qid").distinct().join(hit, "qid", "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("top_evidence_rate"))
+
+
 def quality(results: DataFrame) -> DataFrame:
     """One row: share of questions with a source, and share without an answer (qid, method, sources)."""
     return results.agg(F.avg((F.size("sources") > 0).cast("int")).alias("source_rate"), F.avg((F.col("method") == "no_answer").cast("int")).alias("no_answer_rate"))

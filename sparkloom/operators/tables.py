@@ -1,8 +1,9 @@
 """Tables in the shared folder and keyed upserts. There is no MERGE on Parquet, so an upsert is a union and a
-window, written as a new version of the table."""
+window; sources.versions writes what comes out as a new version of the table."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ from .. import rules
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of its own only where the session names none."""
+    """The folder that the cluster shares, as the session names it. Only where driver and executors are one process may
+    it be unset: it then becomes a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -57,6 +61,13 @@ def upsert_keeping(old: DataFrame, new: DataFrame, keys: list[str], first: str =
     return upsert(old, new, keys).join(kept, keys, "left").withColumn(first, F.coalesce("_first", first)).drop("_first")
 
 
+def upsert_nodes(old: DataFrame, new: DataFrame, label: str, now: Column) -> DataFrame:
+    """Nodes of a label that has its own table (Domain, Topic, Procedure, Document, Institution): the columns the label
+    has, last write wins, `updated_at` is when a row was written. New has an id once."""
+    cols = rules.NODE_COLUMNS[label]
+    return upsert(old.select(*cols, "updated_at"), new.select(*cols).withColumn("updated_at", now), ["id"])
+
+
 def split_review(triples: DataFrame, least: float = rules.CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """(accepted, queued): triples below `least` wait for review. A null confidence waits too."""
     good = F.coalesce(F.col("confidence") >= least, F.lit(False))

@@ -11,8 +11,8 @@ from .. import rules
 from ..functions.text import keyword_overlap, recency
 
 R = rules.RANKING
-#: Questions of a block and rows of a cell, on average.
-BLOCK, CELL = 2048, 65_536
+#: Questions of a block and bytes of a cell's vectors, on average.
+BLOCK, CELL_BYTES = 2048, 1 << 25
 
 
 def has_vector(v: str) -> Column:
@@ -37,13 +37,17 @@ def _scan(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def nearest(asked: DataFrame, rows: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK, cell: int = CELL) -> DataFrame:
+def nearest(asked: DataFrame, rows: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK, cell: int | None = None) -> DataFrame:
     """(qid, id, cosine, rank): the k rows nearest to each question (qid, embedding) by cosine, ties to the smaller id.
 
-    Rows and questions without a vector take no part; vectors have one length.
+    Rows and questions without a vector take no part; vectors have one length. cell: rows of a cell. Both sides are
+    read twice, once to be counted: what is costly to make is to be materialised first.
     """
     good = rows.where(has_vector(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"))
     asked = asked.where(has_vector("embedding")).select("qid", F.col("embedding").alias("q"))
+    if cell is None:
+        one = good.select(F.size("v")).first()
+        cell = max(1024, CELL_BYTES // (8 * one[0])) if one else 1024
     blocks, cells = (max(1, -(-df.count() // n)) for df, n in ((asked, block), (good, cell)))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = good.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")).withColumn("_b", numbers(blocks))

@@ -9,6 +9,7 @@ from ..functions.chunking import chunk_documents
 from ..functions.embed import encoder
 from ..functions.text import clean_text
 from ..operators import extract, tables
+from ..sources import versions
 
 
 def build(raw: DataFrame, now: Column, encode=None, model=None, aliases: dict[str, str] | None = None, pattern: str = rules.CODE, institutions: list[str] | None = None, trigger: str = rules.IMPOSSIBLE, header: str = rules.HEADER) -> dict[str, DataFrame]:
@@ -40,6 +41,36 @@ def load(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, Data
     return {"chunks": chunks, "entities": entities, "edges": edges, "links": links, "queue": queue}
 
 
+SCHEMAS = {
+    "chunks": "id string, text string, source_file string, source_page int, section string, language string, doc_version string, embedding array<float>, needs_review boolean, created_at string",
+    "entities": "id string, name string, domain string, source string, confidence double, created_at string",
+    "edges": "src_id string, rel_type string, dst_id string, confidence double",
+    "links": "node_id string, chunk_id string, link_type string, confidence double, source string",
+    "queue": "subject_id string, predicate string, object_id string, confidence double",
+}
+
+
+def store(spark, folder: str, new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """load() on the tables kept as versions in a folder, made where they do not exist; each is written as its next
+    version in that order, so that ends are looked up among what is written. A rerun writes the same rows."""
+    old = {k: versions.load(spark, f"{folder}/{k}", SCHEMAS[k]) for k in SCHEMAS}
+    out = {}
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        versions.save(df, f"{folder}/{name}")
+        out[name] = versions.load(spark, f"{folder}/{name}")
+        return out[name]
+
+    chunks = written("chunks", tables.upsert_keeping(old["chunks"], new["chunks"], ["id"]))
+    entities = written("entities", tables.upsert_gated(old["entities"], new["entities"], ["id"]))
+    edges, queue = tables.upsert_edges(old["edges"], new["triples"], entities)
+    written("edges", edges)
+    written("links", tables.upsert_links(old["links"], new["links"], entities, chunks))
+    keys = ["subject_id", "predicate", "object_id"]
+    written("queue", tables.upsert(old["queue"], tables.pick(queue, keys, [F.desc("confidence")]), keys))
+    return out
+
+
 def new_pages(raw: DataFrame, loaded: DataFrame) -> DataFrame:
     """Pages whose content (file, page, text) is not among those loaded (content_hash): a rerun loads nothing twice."""
     digest = F.sha2(F.concat_ws("\x01", "source_file", F.col("source_page").cast("string"), "text"), 256)

@@ -80,10 +80,41 @@ NO_EVIDENCE = {
     "zh": "目前证据不足，无法给出确定答案。请补充签证类型、学校和截止日期等关键信息。",
     "en": "Evidence is currently insufficient for a confident answer. Please share key constraints such as visa type, school, and deadline.",
 }
+REFUSAL = "제공된 자료에서는 확인할 수 없습니다. 동아대 국제교류처(연락처) 또는 하이코리아(hikorea.go.kr)에 직접 문의 바랍니다."
+PROFILE_UPDATED = {
+    "ko": "확인했습니다. 현재 사용자 정보는 아래와 같습니다.\n%s\n이 정보를 기준으로 다음 질문에 더 정확히 답변하겠습니다.",
+    "zh": "已确认，当前用户信息如下：\n%s\n接下来我会基于这些信息提供更准确的回答。",
+    "en": "Confirmed. Current user profile:\n%s\nI will use this profile for more accurate follow-up answers.",
+}
 DISCLAIMER = "\n\n⚠️  이 정보는 [%s] (%s) 기준입니다. 최신 정보는 하이코리아(hikorea.go.kr) 또는 외국인종합안내센터(1345)에서 확인하세요."
 TRIPLES_TITLE, TEXTS_TITLE, SOURCES_TITLE, SECTION_TITLE = "[그래프 트리플]", "[원문]", "[출처] ", "섹션: "
+WEB_TITLE = "[외부 검색 결과]"
 BLOCKED_SUBJECT, BLOCKED_SUFFIX, BLOCKED_REASON = "건강보험미납", "_연장", "건강보험 미납 시 비자 연장 불가"
 
+# Parts of the prompt by language; `en` stands in for others.
+ROLES = {
+    "ko": "당신은 유학생 안내 도우미입니다. 질문 언어와 동일한 언어로 답하세요. 근거 문서 기반으로만 답변하고, 근거가 약하면 불확실성을 명시하세요.",
+    "zh": "你是留学生事务助手。请使用与用户输入相同的语言回答。仅基于证据内容作答，证据不足时明确说明不确定性。",
+    "en": "You are an assistant for international students. Respond in the same language as the user. Answer only from evidence and state uncertainty when evidence is weak.",
+}
+STYLES = {
+    "ko": "출력 형식:\n1) 핵심 답변\n2) 지금 해야 할 일(번호 목록)\n3) 준비 서류/확인 항목\n4) 기한/주의사항\n5) 근거 요약(출처 기반 요약만)",
+    "zh": "输出格式：\n1) 核心回答\n2) 现在要做的事（编号列表）\n3) 材料/确认事项\n4) 时限/注意事项\n5) 证据摘要（仅来源摘要）",
+    "en": "Output format:\n1) Core answer\n2) Actions to take now (numbered)\n3) Required documents/checklist\n4) Deadline/cautions\n5) Evidence summary (source-grounded only)",
+}
+TYPE_HINTS = {
+    "comparison": {"ko": "질문 유형: 비교형. 항목별 차이를 표기하세요.", "zh": "问题类型：比较型。请按项目对比差异。", "en": "Question type: comparison. Contrast key differences by item."},
+    "cause": {"ko": "질문 유형: 원인형. 원인과 대응책을 분리해 적으세요.", "zh": "问题类型：原因型。请区分原因与应对措施。", "en": "Question type: cause. Separate causes from actions."},
+    "exception": {"ko": "질문 유형: 예외형. 일반 규칙과 예외 조건을 구분하세요.", "zh": "问题类型：例外型。区分一般规则与例外条件。", "en": "Question type: exception. Distinguish default rule and exceptions."},
+}
+CAUTION = "Do not reveal chain-of-thought. Show only concise evidence summary.\nIf evidence is weak, say uncertainty clearly and ask a focused follow-up question."
+PROFILE_TITLE, HISTORY_TITLE, CONTEXT_TITLE, EVIDENCE_TITLE, QUESTION_TITLE = "User Profile", "Recent Conversation", "Evidence Context", "Evidence Sources", "User Question"
+#: Columns of the node tables besides entities and chunks.
+NODE_COLUMNS = {
+    "Domain": ["id", "name"], "Topic": ["id", "name", "domain"], "Document": ["id", "name", "domain"], "Institution": ["id", "name", "domain"],
+    "Procedure": ["id", "name", "step_order", "parent_proc", "description", "duration_est", "domain"],
+}
+
 
 @dataclass(frozen=True)
 class Ranking:

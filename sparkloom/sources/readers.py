@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import rules
+from . import versions
 from ..functions.text import doc_version, section, strip
 
 LATENCY = "ts string, agent string, path string, elapsed_sec double, best_score double, evidence_count int"
 REVIEW = "subject_id string, predicate string, object_id string, confidence double, source string, created_at string"
 
 
-def page_files(spark: SparkSession, folder: str, parse: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
+def page_files(spark: SparkSession, folder: str, parse: Callable[[bytes], Iterable[str]], glob: str = "*.pdf") -> DataFrame:
     """(source_file, source_page, text) of the pages of all files of a folder; parse gives the texts of a file's
-    pages. A file that parse fails on gives no page. Parsers are not part of this package."""
+    pages, one after the other. A file that parse fails on gives the pages before that. Parsers are not part of this
+    package."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    pages = parse(content)
+                    for i, t in enumerate(parse(content), 1):
+                        rows.append((path.rsplit("/", 1)[-1], i, t))
                 except Exception:  # a broken file must not end the job
-                    pages = []
-                rows += [(path.rsplit("/", 1)[-1], i, t) for i, t in enumerate(pages, 1)]
+                    continue
             yield pd.DataFrame(rows, columns=["source_file", "source_page", "text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
@@ -69,9 +71,9 @@ def append_latency(rows: DataFrame, path: str) -> None:
     rows.withColumn("best_score", F.round("best_score", 4)).write.mode("append").json(path)
 
 
-def review_queue(spark: SparkSession, path: str) -> DataFrame:
-    """Queued triples; a file may also be one JSON array."""
-    return spark.read.schema(REVIEW).option("multiLine", True).json(path)
+def review_queue(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Queued triples from JSON lines; whole: each file is one JSON array."""
+    return spark.read.schema(REVIEW).option("multiLine", whole).json(path)
 
 
 def append_review(triples: DataFrame, path: str, created_at: Column) -> None:
@@ -85,3 +87,9 @@ def cached_embeddings(chunks: DataFrame, cache: DataFrame, encode: Callable[[Col
     new = rows.join(cache, "text_hash", "left_anti").groupBy("text_hash").agg(F.first("text").alias("text")).select("text_hash", encode(F.col("text")).alias("embedding"))
     both = cache.select("text_hash", "embedding").unionByName(new)
     return rows.join(both, "text_hash").drop("text_hash"), new
+
+
+def save_cache(spark: SparkSession, path: str, new: DataFrame) -> int:
+    """Add new rows (text_hash, embedding) to a cache kept as versions; rows it has stay as they are."""
+    old = versions.load(spark, path, new.schema)
+    return versions.save(old.unionByName(new.join(old.select("text_hash"), "text_hash", "left_anti")), path)
