@@ -55,13 +55,18 @@ def helper(df: DataFrame, name: str) -> str:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): component is the smallest id reachable over the undirected edges.
 
-    Alternating large-star and small-star rounds; every round is an aggregation and a join of
-    (long, long) rows, so no neighbourhood is gathered in a task. Null ends and loops are ignored.
+    Alternating large-star and small-star rounds until every edge leads to a smallest id; every round is an
+    aggregation and a join of (long, long) rows, so no neighbourhood is gathered in a task. Null ends and loops are
+    ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = stash(e)
-    before = None
     while True:
+        # done when no smaller end has a smaller one itself, and no id two of them
+        inner = e.select("v").distinct().join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("v")
+        forked = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if inner.unionByName(forked.withColumnRenamed("u", "v")).isEmpty():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
         last = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -71,7 +76,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("x"))
         e = stash(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u > v").distinct())
         discard(last)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.col("m").alias("component"))
-        before = now
