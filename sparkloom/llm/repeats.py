@@ -265,7 +265,9 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         few = told.join(counts.where(F.col("n") > MOST), "h", "left_anti")
         deals = max(1, -(-told.count() // BUCKET))
         bucket = F.pmod(F.xxhash64("h"), F.lit(deals)).alias("bucket")
-        out.append(stash(few.select(bucket, "doc", "a", "content").groupBy("bucket").applyInPandas(mark_bucket, "doc long, a long, z long")))
+        # buckets are small and costly: as many partitions, which Spark would otherwise join by their size
+        dealt = few.select(bucket, "doc", "a", "content").repartition(min(deals, BUCKET), "bucket")
+        out.append(stash(dealt.groupBy("bucket").applyInPandas(mark_bucket, "doc long, a long, z long")))
         hot = stash(counts.where(F.col("n") > MOST))
         if hot.isEmpty():
             discard(told)
