@@ -44,12 +44,12 @@ def discard(*stashed: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def helper(df: DataFrame, name: str) -> str:
-    """A column name like `name` that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
+def prefix(df: DataFrame) -> str:
+    """What no column of df begins with; helper columns get names that do."""
+    out = "_"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .bytestext import runs
-from .common import documents
+from .common import documents, prefix
 
 #: Labelled texts used for training, of each language, chosen by a hash of the text.
 SAMPLE_ROWS = 1000
@@ -109,15 +109,16 @@ def labelled_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit a model on rows with a text and a language. The sample is the distinct texts whose hash is in the
     first part of the hash range, the part set for each language so that about sample_rows are in it."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang, F.shiftrightunsigned(F.xxhash64(text), 1).alias("_h"))
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("_h"))
+    text, lang = "text", "lang"
     many = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.approx_count_distinct("_h")).collect()}
     langs = sorted(many)
     if not langs:
         return fit([], pd.DataFrame({"lang": [], "word": [], "n": []}))
-    keep = F.lit(False)
-    for x in langs:
-        keep = keep | ((F.col(lang) == x) & (F.col("_h") <= min((1 << 63) - 1, int(sample_rows / max(1, many[x]) * (1 << 63)))))
-    words = labelled_words(rows.where(keep).dropDuplicates([lang, "_h"]), text, lang)
+    ends = [(x, min((1 << 63) - 1, int(sample_rows / max(1, n) * (1 << 63)))) for x, n in many.items()]
+    ends = labelled.sparkSession.createDataFrame(ends, "_lang string, _end long")  # a row for each language
+    kept = rows.join(ends, (F.col(lang) == F.col("_lang")) & (F.col("_h") <= F.col("_end")), "left_semi")
+    words = labelled_words(kept.dropDuplicates([lang, "_h"]), text, lang)
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = words.withColumn("i", F.row_number().over(rank)).where(F.col("i") <= TOP_WORDS).select("lang", "word", "n").toPandas()
     return fit(langs, top)
@@ -224,7 +225,8 @@ def detect(df: DataFrame, model: Model, text: str = "text", spans: bool = False)
     spans: array of (start, end, lang), characters of maximal runs of words of one language.
 
     A text that is null or has no letter is `und` with score 0 and no spans. Equal shares: the smaller
-    language name. Only the text is read; columns with the names of results are replaced.
+    language name. Only the text is read; columns with the names of results are replaced, all others stay. With a
+    model of no languages every text is `und`; an empty table gives an empty one.
     """
     df = df.drop("lang_pred", "score", "n_spans", "spans")
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.IntegerType())]
@@ -260,8 +262,9 @@ def detect(df: DataFrame, model: Model, text: str = "text", spans: bool = False)
             yield pd.DataFrame(out, columns=[f.name for f in fields])
 
     udf = F.pandas_udf(run, T.StructType(fields))
-    out = df.withColumn("_l", udf(F.col(text)))
-    return out.select(*df.columns, *[F.col("_l")[f.name].alias(f.name) for f in fields])
+    made = prefix(df)
+    out = df.withColumn(made, udf(F.col(text)))
+    return out.select(*df.columns, *[F.col(made)[f.name].alias(f.name) for f in fields])
 
 
 def held_out(key: str = "doc_id"):

@@ -2,13 +2,15 @@
 
 A surrogate is the image of the entity under a keyed permutation of all strings of its format (a Feistel
 network over mixed alphabets), so equal entities always get the same surrogate and different ones of a
-type different ones. Given names are permuted within the list of their gender and script. What can still
-clash (a permuted surname that equals another's surrogate, or a surrogate that is somebody's real data in
-this corpus) is found by an aggregation over all entities, and drawn again until nothing clashes. Where the
-strings of a format may be used up, later draws are longer than it.
+type different ones. Given names become names of the same gender and script, surnames keep their own surrogate
+with or without a given name before them. What can still clash (two persons with one surrogate, or a surrogate
+that is somebody's real data in this corpus) is found by an aggregation over all entities, and drawn again until
+nothing clashes. Where the strings of a format may be used up, later draws are longer than it.
 
-Not detected: names without a title whose first word is not in GIVEN, or that are a single word; phones of
-other national forms without + (seven digits, or ten without separators); postal addresses; dates of birth.
+Once a person is found in a text, the same name without a title and the surname alone are replaced there too.
+
+Not detected: names without a title whose first word is not in GIVEN, in texts that do not have them with one;
+phones of other national forms without + (seven digits, or ten without separators); postal addresses; dates of birth.
 """
 
 from __future__ import annotations
@@ -17,15 +19,19 @@ import functools
 import hashlib
 import hmac
 import ipaddress
+import logging
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import documents, stash
+from .common import documents, prefix, stash
 
+#: Key of the tests and of sessions that name none. It is published: whoever knows it can make the same surrogates.
 KEY = "surrogate-key-1"
+#: The session's setting that names the key.
+SETTING = "sparkloom.surrogate.key"
 #: Draws of an entity's own format; later ones are longer where the format may have few strings.
 ROUNDS, MOST_DRAWS = 8, 8
 WIDE_LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -54,13 +60,14 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\w.+-])(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9_\-+/=.]{8,})",
+    "token": r"(?<![0-9A-Za-z_-])(?P<token>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsru]_[0-9A-Za-z]{36}|github_pat_[0-9A-Za-z_]{22,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])",
     "hexkey": r"(?<![0-9A-Za-z])(?P<hexkey>(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{32}))(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?!\d|\.\d)",
     "ipv6": r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)",
     "card": r"(?<![\d-])(?P<card>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d|-\d)",
     "ssn": r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?!\d|-\d)",
-    "phone": r"(?<![\w+.-])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3} \d{3} \d{4}|\d{3}\.\d{3}\.\d{4})(?!\d)",
+    "phone": r"(?<![\w+.-])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3} \d{3} \d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4}[ /-]\d{6,8}|0\d{2,4} \d{3,4} \d{3,4})(?!\d)",
 }
 
 
@@ -73,7 +80,9 @@ _TITLE = "|".join(sorted(_GENDER, key=lambda t: -len(t)))
 PERSON = re.compile(rf"\b(?P<title>{_TITLE})\b\.? +(?P<name>{_NAME}(?: {_NAME})?)")
 _FIRST = {n: g for (g, _), names in GIVEN.items() for n in names}
 UNTITLED = re.compile(rf"\b(?=[A-ZΑ-ΩΆ-ΏА-Я])(?P<name>(?P<first>{'|'.join(_FIRST)}) (?!(?:{_TITLE})\b){_NAME})")
-_MAYBE = re.compile(r"[0-9@=:]")
+_MAYBE = re.compile(r"[0-9@=:]|sk-|xox|gh[opsru]_|AIza")
+#: What a well-known token begins with, which stays. Fixed values.
+TOKEN_STARTS = re.compile(r"AKIA|ASIA|gh[opsru]_|github_pat_|xox[abprs]-|sk-|AIza")
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -86,8 +95,15 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     people += [(*m.span("name"), "name_" + _FIRST[m["first"]]) for m in UNTITLED.finditer(text) if not any(a < m.end() and m.start() < b for a, b in titled)]
     if not people:
         return found
+    # the same persons without a title, and their surnames alone
+    kinds = {}
+    for a, b, kind in people:
+        kinds.setdefault(text[a:b], kind)
+        kinds.setdefault(text[a:b].rpartition(" ")[2], kind)
+    again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, kinds), key=lambda x: (-len(x), x))) + r")(?![\w'’])")
+    people += [(*m.span(), kinds[m[0]]) for m in again.finditer(text)]
     end, out = -1, []
-    for e in sorted(found + people):
+    for e in sorted(found + people, key=lambda e: (e[0], -e[1], e[2])):
         if e[0] >= end:
             out.append(e)
             end = e[1]
@@ -139,6 +155,11 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def mod97(text: str) -> int:
+    """An account number modulo 97, letters counting from 10."""
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
 def script_of(word: str) -> str:
     c = ord(word[0])
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
@@ -163,13 +184,15 @@ def _ipv6(value: str) -> str:
         return value.lower()
 
 
-def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
-    """The replacement of an entity as written. draw: 0, or more if smaller ones clash in the corpus."""
+def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0, surname_draw: int = 0) -> str:
+    """The replacement of an entity as written. draw: 0, or more if smaller ones clash in the corpus. The surname of a
+    name of several words has a draw of its own, that of the surname alone."""
     tweak = kind if not draw else f"{kind}:{draw}"
     if draw > MOST_DRAWS and (kind in ("email", "secret", "phone", "ssn") or kind.startswith("name_")):
         return _wide(kind, value, key, draw)
     if kind.startswith("name_"):
-        return " ".join(_name(w, kind, key, draw) for w in value.split(" "))
+        *first, last = value.split(" ")
+        return " ".join([*(_given(w, kind, key, draw) for w in first), surrogate(kind, last, key, surname_draw) if first else _name(last, kind, key, draw)])
     if kind == "email":
         local, _, domain = value.partition("@")
         new = permute(local.lower(), key, tweak + domain.lower())
@@ -189,7 +212,7 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
         return ":".join(_hex(x, key, f"{tweak}:{i}") for i, x in enumerate(digits.split(":")))
     if kind in ("phone", "card", "ssn"):
         digits = canonical(kind, value)
-        keep = 1 if kind == "card" else (1 if digits[0] in "17" else 2) if value.startswith("+") else 0  # the country code
+        keep = 1 if kind == "card" else (1 if digits[0] in "17" else 2) if value.startswith("+") else int(kind == "phone" and digits[0] == "0")  # the country code, the 0 of national forms
         if kind == "card":
             body = digits[:keep] + permute(digits[keep:-1], key, tweak + digits[:keep])
             new = body + str((luhn(body) + int(digits[-1]) - luhn(digits[:-1])) % 10)
@@ -197,12 +220,17 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0) -> str:
             new = digits[:keep] + permute(digits[keep:], key, tweak + digits[:keep])
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in value)
+    if kind == "token":
+        start = TOKEN_STARTS.match(value)[0]
+        return start + permute(value[len(start) :], key, tweak + start)
     if kind == "hexkey":
         new = _hex(value.lower(), key, tweak)
         return new.upper() if value == value.upper() else new
     if kind == "iban":
         compact = value.replace(" ", "")
-        new = iter(compact[:2] + permute(compact[2:].lower(), key, tweak + compact[:2]).upper())
+        valid = mod97(compact[4:] + compact[:4]) == 1
+        new = permute(compact[4 if valid else 2 :].lower(), key, tweak + compact[:2]).upper()
+        new = iter(compact[:2] + (f"{98 - mod97(new + compact[:2] + '00'):02d}" if valid else "") + new)
         return "".join(c if c == " " else next(new) for c in value)
     return _hex(value, key, tweak) if re.fullmatch(r"[0-9a-f]+", value) else permute(value, key, tweak)
 
@@ -218,7 +246,7 @@ def _wide(kind: str, value: str, key: str, draw: int) -> str:
     latin = WIDE_LETTERS["latin"]
     if name:
         *first, last = value.split(" ")
-        return " ".join([*(_name(w, kind, key, draw) for w in first), told(WIDE_LETTERS[script_of(last)], 24).capitalize()])
+        return " ".join([*(_given(w, kind, key, draw) for w in first), told(WIDE_LETTERS[script_of(last)], 24).capitalize()])
     if kind == "email":
         local, _, domain = value.partition("@")
         new = told(latin, 24)
@@ -246,6 +274,15 @@ def _hex(value: str, key: str, tweak: str) -> str:
     return a + b if ROUNDS % 2 == 0 else b + a
 
 
+def _given(word: str, kind: str, key: str, draw: int) -> str:
+    """A given name of the same gender, if it is known, and script; those that are in no list are dealt to one by hash."""
+    script = script_of(word)
+    if any(word in GIVEN[g, script] for g in kind[5:] or "fm"):
+        return _name(word, kind, key, draw)
+    names = [n for g in kind[5:] or "fm" for n in GIVEN[g, script]]
+    return names[_mac(key, "given", kind, draw, word) % len(names)]
+
+
 def _name(word: str, kind: str, key: str, draw: int) -> str:
     for gender in kind[5:] or "fm":
         names = GIVEN[gender, script_of(word)]
@@ -259,75 +296,108 @@ def _identity(kind: str, value: str) -> str:
     return f"{'name' if kind.startswith('name_') else kind}\x1f{canonical(kind, value)}"
 
 
-def find_entities(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
-    """(key, kind, value, entity, surrogate) for each entity found, values as written."""
-    fields = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "value", "entity", "surrogate")]))
+def _part(kind: str, value: str) -> str:
+    """The identity of a name's surname; of anything else its own."""
+    return _identity(kind, value.rpartition(" ")[2] if kind.startswith("name_") else value)
+
+
+def secret_of(df: DataFrame, secret: str | None) -> str:
+    """The key given, else the session's; where there is none the published one, with a warning."""
+    found = secret or df.sparkSession.conf.get(SETTING, None)
+    if not found:
+        logging.getLogger(__name__).warning("surrogates are made with the published key; set %s", SETTING)
+    return found or KEY
+
+
+def find_entities(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str | None = None) -> DataFrame:
+    """(key, kind, value, entity, part, surrogate) for each entity found, values as written; part: the entity that a
+    name's surname is, else the entity."""
+    secret = secret_of(df, secret)
+    fields = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "value", "entity", "part", "surrogate")]))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         draw = functools.lru_cache(1 << 16)(surrogate)
         for s in batches:
-            yield pd.Series([[] if t is None else [(k, t[a:b], _identity(k, t[a:b]), _identity(k, draw(k, t[a:b], secret))) for a, b, k in entities(t)] for t in s], dtype=object)
+            yield pd.Series([[] if t is None else [(k, t[a:b], _identity(k, t[a:b]), _part(k, t[a:b]), _identity(k, draw(k, t[a:b], secret))) for a, b, k in entities(t)] for t in s], dtype=object)
 
-    found = df.select(F.col(key), F.pandas_udf(run, fields)(F.col(text)).alias("_e"))
-    return found.select(key, F.inline("_e"))
+    found = df.select(F.col(key).alias("doc"), F.pandas_udf(run, fields)(F.col(text)).alias("e"))
+    return found.select(F.col("doc").alias(key), F.inline("e"))
 
 
-def redraws(found: DataFrame, secret: str = KEY) -> DataFrame:
+def redraws(found: DataFrame, secret: str | None = None) -> DataFrame:
     """(entity, draw) of the entities whose surrogate clashes: another entity has it, or it is a real one here.
 
     Clashes are settled in rounds over the distinct entities, each an aggregation, until none is left; of those
-    that share a surrogate the one drawn least often, then the smallest, keeps it. Given names are left out: their lists are permuted as a whole.
+    that share a surrogate the one drawn least often, then the smallest, keeps it. A surname drawn again changes with
+    every given name. Given names are left out: their lists are permuted as a whole.
     """
+    secret = secret_of(found, secret)
     given = [n for names in GIVEN.values() for n in names]
-    e = stash(found.groupBy("entity").agg(F.min(F.struct("kind", "value", "surrogate")).alias("x")).select("entity", "x.*", F.lit(0).alias("draw")))
-    again = F.udf(lambda k, v, d: _identity(k, surrogate(k, v, secret, d)), T.StringType())
+    e = found.groupBy("entity").agg(F.min(F.struct("kind", "value", "part", "surrogate")).alias("x")).select("entity", "x.*")
+    e = stash(e.withColumn("draw", F.lit(0)).withColumn("part_draw", F.lit(0)))
+
+    def draws(kind: pd.Series, value: pd.Series, draw: pd.Series, part: pd.Series) -> pd.Series:
+        return pd.Series([_identity(k, surrogate(k, v, secret, int(d), int(p))) for k, v, d, p in zip(kind, value, draw, part, strict=True)], dtype=object)
+
+    again = F.pandas_udf(draws, "string")
     while True:
         rank = F.row_number().over(Window.partitionBy("surrogate").orderBy("draw", "entity"))
         real = e.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        bad = e.withColumn("i", rank).join(real, "surrogate", "left").withColumn("bad", (F.col("i") > 1) | (F.col("real") & ~F.col("value").isin(given)))
+        bad = e.withColumn("i", rank).join(real, "surrogate", "left").withColumn("bad", (F.col("i") > 1) | F.coalesce(F.col("real"), F.lit(False)) & ~F.col("value").isin(given))
+        bad = stash(bad.withColumn("draw", F.col("draw") + F.col("bad").cast("int")).drop("i", "real"))
         if bad.where("bad").isEmpty():
-            break
-        next_ = bad.where("bad").withColumn("draw", F.col("draw") + 1).withColumn("surrogate", again("kind", "value", "draw"))
-        e = stash(next_.unionByName(bad.where("not coalesce(bad, false)")).select("entity", "kind", "value", "surrogate", "draw"))
-    return e.where("draw > 0").select("entity", "draw")
+            return bad.where("draw > 0").select("entity", "draw")
+        surnames = bad.select(F.col("entity").alias("part"), F.col("draw").alias("now"))
+        next_ = bad.join(surnames, "part", "left").withColumn("now", F.when(F.col("part") == F.col("entity"), F.lit(0)).otherwise(F.coalesce("now", F.lit(0))))
+        changed = F.col("bad") | (F.col("now") != F.col("part_draw"))
+        next_ = next_.withColumn("changed", changed).withColumn("part_draw", F.col("now"))
+        stay = next_.where("not changed").select("entity", "kind", "value", "part", "surrogate", "draw", "part_draw")
+        move = next_.where("changed").withColumn("surrogate", again("kind", "value", "draw", "part_draw")).select(*stay.columns)
+        e = stash(stay.unionByName(move))
 
 
-def replace(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
+def replace(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str | None = None) -> DataFrame:
     """df with private data in `text` replaced, plus n_entities and `kinds` (distinct, sorted).
 
-    A null text stays null with no entities; texts without private data are unchanged. The clashing
-    entities of a document, which are rare, reach it by a join on key; rows with a null key keep first draws.
+    secret: the key of the surrogates, see secret_of(). A null text stays null with no entities; texts without private
+    data are unchanged. The clashing entities of a document, which are rare, reach it by a join on key; rows that share
+    a key share them, rows with a null key keep first draws. All other columns stay; those named like results are
+    replaced. An empty table gives an empty one.
     """
+    secret = secret_of(df, secret)
     df = df.drop("n_entities", "kinds")
-    found = find_entities(df, key, text, secret)
+    found = stash(find_entities(df, key, text, secret))
     odd = stash(redraws(found, secret))
-    out = df
+    out, own = df, prefix(df)
+    draws, made = own + "draws", own + "made"
     if odd.isEmpty():
-        out = out.withColumn("_d", F.lit(None).cast("map<string,int>"))
+        out = out.withColumn(draws, F.lit(None).cast("map<string,int>"))
     else:
-        own = found.select(key, "entity").distinct().join(odd, "entity").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias("_d"))
-        out = out.join(own, key, "left")
+        of = found.select(F.col(key).alias(own), F.explode(F.array_distinct(F.array("entity", "part"))).alias("entity")).distinct().join(odd, "entity")
+        of = of.groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias(draws))
+        out = out.join(of, F.col(key) == F.col(own), "left").drop(own)
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("n", T.IntegerType())])
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         make = functools.lru_cache(1 << 16)(surrogate)
-        for texts, draws in batches:
+        for texts, redrawn in batches:
             rows = []
-            for t, d in zip(texts, draws, strict=True):
+            for t, d in zip(texts, redrawn, strict=True):
                 hits = entities(t) if t is not None else []
                 if not hits:
                     rows.append((t, [], 0))
                     continue
                 d, at, parts = dict(d) if d is not None and len(d) else {}, 0, []
                 for a, b, k in hits:
-                    parts += [t[at:a], make(k, t[a:b], secret, int(d.get(_identity(k, t[a:b]), 0)))]
+                    v = t[a:b]
+                    parts += [t[at:a], make(k, v, secret, int(d.get(_identity(k, v), 0)), int(d.get(_part(k, v), 0)) if " " in v else 0)]
                     at = b
                 rows.append(("".join(parts) + t[at:], sorted({k for _, _, k in hits}), len(hits)))
             yield pd.DataFrame(rows, columns=["text", "kinds", "n"])
 
-    new = F.pandas_udf(run, schema)(F.col(text), F.col("_d"))
-    out = out.withColumn("_new", new).drop("_d")
-    return out.select(*[F.col("_new")["text"].alias(c) if c == text else F.col(c) for c in df.columns], F.col("_new")["n"].alias("n_entities"), F.col("_new")["kinds"].alias("kinds"))
+    new = F.pandas_udf(run, schema)(F.col(text), F.col(draws))
+    out = out.withColumn(made, new)
+    return out.select(*[F.col(made)["text"].alias(c) if c == text else F.col(c) for c in df.columns], F.col(made)["n"].alias("n_entities"), F.col(made)["kinds"].alias("kinds"))
 
 
 def op9_pii_surrogates(spark, sf_dir: str) -> DataFrame:

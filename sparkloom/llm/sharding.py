@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import documents, stash
+from .common import documents, prefix, stash
 
 #: Rows in a block, or in a range of a shard, on average: what one task sorts at once.
 BLOCK_ROWS = 200_000
@@ -52,38 +52,45 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> lis
 def shard(df: DataFrame, key: list[str], n_shards: int, seed: int = 11, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """df with `shard` (0 .. n_shards - 1) and `slot` (gapless from 0 in each shard); counts differ by one at most.
 
-    key: columns that tell rows apart; rows equal in all of them are interchangeable. Null keys are
-    values like any other. An empty table gives an empty one. Existing shard and slot are replaced.
-    Everything depends on keys, seed and the number of rows, so reruns and lost executors change nothing.
+    key: columns that tell rows apart; rows equal in all of them are interchangeable and meet in one block, so the
+    key is to have no value that many rows share. Null keys are values like any other. An empty table gives an empty
+    one. Existing shard and slot are replaced, all other columns stay. Everything depends on keys, seed and the
+    number of rows, so reruns and lost executors change nothing. A uniform shuffle does not keep together rows that
+    have more in common than chance: equal texts under different keys go to shards of their own.
     """
     df = df.drop("shard", "slot")
+    columns, own = df.columns, prefix(df)
+    block, place, ends, draw2, span, before, inside = (own + x for x in ("block", "place", "ends", "draw", "span", "before", "inside"))
     draw = lambda k: F.xxhash64(F.lit(seed * 10 + k), *key)
     rows = df.count()
     n_blocks = max(1, -(-rows // block_rows))
-    df = df.withColumn("_b", F.pmod(draw(0), F.lit(n_blocks)).cast("int"))
-    counts = dict(df.groupBy("_b").count().collect())  # a number for each block
+    df = df.withColumn(block, F.pmod(draw(0), F.lit(n_blocks)).cast("int"))
+    counts = dict(df.groupBy(block).count().collect())  # a number for each block
     blocks = [counts.get(b, 0) for b in range(n_blocks)]
     matrix = communication_matrix(blocks, [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)], seed)
-    spark = df.sparkSession
-    ends = spark.createDataFrame([(b, np.cumsum(row).tolist()) for b, row in enumerate(matrix)], "_b int, _ends array<long>")
+    cuts = df.sparkSession.createDataFrame([(b, np.cumsum(row).tolist()) for b, row in enumerate(matrix)], f"{block} int, {ends} array<long>")
     # permute locally and cut; the matrix has one short row for each block_rows rows
-    local = Window.partitionBy("_b").orderBy(draw(1), *key)
-    out = df.withColumn("_p", F.row_number().over(local)).join(ends, "_b")
-    out = out.withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_p")))).drop("_ends", "_p", "_b")
+    local = Window.partitionBy(block).orderBy(draw(1), *key)
+    out = df.withColumn(place, F.row_number().over(local)).join(cuts, block)
+    out = out.withColumn("shard", F.size(F.filter(ends, lambda e: e < F.col(place))))
     # permute each shard: ranges of a second draw in order, and a sort inside a range
     per_shard = max(1, -(-rows // (block_rows * n_shards)))
-    out = stash(out.withColumn("_h", draw(2)).withColumn("_q", F.floor((F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))) * per_shard).cast("int")))
-    sizes = out.groupBy("shard", "_q").count()
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    inside = Window.partitionBy("shard", "_q").orderBy("_h", *key)
-    out = out.withColumn("_i", F.row_number().over(inside)).join(sizes, ["shard", "_q"])
-    return out.withColumn("slot", (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_h", "_q", "_i", "_before")
-
-
-def write_shards(df: DataFrame, placed: DataFrame, key: str, path: str) -> None:
-    """Write whole rows of df as shard folders in slot order; placed has key, shard and slot."""
+    share = F.shiftrightunsigned(draw2, 11) / F.lit(float(1 << 53))
+    out = stash(out.withColumn(draw2, draw(2)).withColumn(span, F.floor(share * per_shard).cast("int")).select(*columns, "shard", draw2, span))
+    sizes = out.groupBy("shard", span).agg(F.count("*").alias(before))
+    upto = Window.partitionBy("shard").orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(before).over(upto), F.lit(0)))
+    own_place = F.row_number().over(Window.partitionBy("shard", span).orderBy(draw2, *key))
+    out = out.withColumn(inside, own_place).join(sizes, ["shard", span])
+    return out.select(*columns, "shard", (F.col(before) + F.col(inside) - 1).cast("long").alias("slot"))
+
+
+def write_shards(df: DataFrame, placed: DataFrame, key: str, path: str, part_rows: int = 1_000_000) -> None:
+    """Write whole rows of df as folders shard=S/part=P, P counting runs of part_rows slots, each in slot order: so a
+    task writes a part, however large a shard is. placed has key, which is unique, shard and slot."""
     placed = placed.select(key, "shard", "slot")
-    df.drop("shard", "slot").join(placed, key).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out = df.drop("shard", "slot", "part").join(placed, key).withColumn("part", F.expr(f"slot div {part_rows}"))
+    out.repartition("shard", "part").sortWithinPartitions("shard", "part", "slot").write.partitionBy("shard", "part").parquet(path)
 
 
 def op3_shard_documents(spark, sf_dir: str) -> DataFrame:
