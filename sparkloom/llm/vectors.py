@@ -13,7 +13,7 @@ from .common import components, stash
 SAMPLE_ROWS = 8192
 #: Rows of a block; two blocks meet in a task. Rows of a tile inside it, the share of axes summed first, and the
 #: axes that bound a block.
-BLOCK_ROWS, TILE, LEADING, BOX = 4096, 1024, 4, 16
+BLOCK_ROWS, TILE, LEADING, BOX = 8192, 1024, 4, 16
 #: Float32 products within this of the threshold are settled in double precision on the original vectors.
 MARGIN = 1e-4
 
@@ -463,7 +463,8 @@ class Index:
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([best_factor(rows, queries, k, radius)], columns=["factor", "recall", "scanned"])
 
-        rows = sampled(self.entries, self.count, self.shard_rows).groupBy(F.lit(0)).applyInPandas(run, "factor double, recall double, scanned double").first()
+        sample = sampled(self.entries, self.count, self.shard_rows).withColumn("shard", F.lit(0))
+        rows = sample.groupBy("shard").applyInPandas(run, "factor double, recall double, scanned double").first()
         return tuple(rows) if rows else (FACTORS[-1], 1.0, 1.0)
 
     def search(self, asked: DataFrame, relax: float, query_rows: int) -> DataFrame:

@@ -3,7 +3,7 @@
 import collections
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import linked_classes
@@ -12,8 +12,9 @@ from sparkloom.llm import vectors
 
 
 def frame(spark, v, ids=None):
-    rows = pd.DataFrame({"vec_id": np.arange(len(v)) if ids is None else ids, "embedding": list(v.astype(np.float32))})
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ids = np.arange(len(v)) if ids is None else np.array(ids)
+    rows = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(list(v.astype(np.float32)), pa.list_(pa.float32()))})
+    return spark.createDataFrame(rows)
 
 
 def many(kind, n=20_000, d=32):
