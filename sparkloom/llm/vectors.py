@@ -12,8 +12,8 @@ from .common import components, stash
 #: Rows that axes and splits are fitted on, about so many by hash; any axes and splits give the same links.
 SAMPLE_ROWS = 8192
 #: Rows of a block; two blocks meet in a task. Rows of a tile inside it, the share of axes summed first, and the
-#: axes that bound a block.
-BLOCK_ROWS, TILE, LEADING, BOX = 8192, 1024, 4, 16
+#: pivots whose distances bound a block.
+BLOCK_ROWS, TILE, LEADING, BOX = 8192, 1024, 4, 32
 #: Float32 products within this of the threshold are settled in double precision on the original vectors.
 MARGIN = 1e-4
 
@@ -22,8 +22,8 @@ SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 65_536, 256, 16_384
 #: The most cells that the first splits cut all rows into; a cell has one shard or more. Scores held at once.
 CELLS, SCORES = 256, 1 << 22
 #: A subtree is skipped if its least distance times a factor exceeds the distance of the k-th found; 1 is exact.
-#: Unless it is given, the factor is the largest of FACTORS with which TRIALS sampled queries find WANTED of their
-#: neighbours among about SHARD_ROWS sampled rows.
+#: Unless it is given, the factor is the largest of FACTORS with which about TRIALS sampled queries find WANTED of
+#: their neighbours in the index.
 FACTORS, TRIALS, WANTED = (16.0, 12.0, 8.0, 6.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25, 1.1, 1.0), 256, 0.975
 
 
@@ -47,32 +47,27 @@ def units(v: pd.Series) -> np.ndarray:
 
 
 class Axes:
-    """Principal axes of vectors of one length and cuts by the median along the axis of the largest spread."""
+    """Principal axes of vectors of one length, and cells around pivots: rows of the sample far from one another."""
 
     def __init__(self, sample: np.ndarray, cells: int):
         _, axes = np.linalg.eigh(sample.T @ sample)
-        self.axes, self.cuts, r = axes[:, ::-1], [], sample @ axes[:, ::-1]
-        parts = [r]
-        while len(parts) < cells:
-            row, further = [], []
-            for part in parts:
-                axis = int(part.var(axis=0).argmax()) if len(part) else 0
-                at = float(np.median(part[:, axis])) if len(part) else 0.0
-                row.append((axis, at))
-                further += [part[part[:, axis] <= at], part[part[:, axis] > at]]
-            self.cuts.append(row)
-            parts = further
+        self.axes = axes[:, ::-1]
+        at, far = [0], 1 - sample @ sample[0]
+        while len(at) < cells and far.max() > 0:
+            at.append(int(far.argmax()))
+            far = np.minimum(far, 1 - sample @ sample[at[-1]])
+        self.pivots = sample[at]
 
-    def cell(self, r: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(r), np.int64)
-        for row in self.cuts:
-            axis, at = (np.array(x) for x in zip(*row, strict=True))
-            out = 2 * out + (r[np.arange(len(r)), axis[out]] > at[out])
-        return out
+    def place(self, units_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest pivot, distances to the first BOX pivots) of unit vectors."""
+        d = np.sqrt(np.maximum(0, 2 - 2 * units_ @ self.pivots.T))
+        box = np.zeros((len(d), BOX))
+        box[:, : min(BOX, d.shape[1])] = d[:, :BOX]
+        return d.argmin(1), box
 
 
 def principal_axes(sample: DataFrame, column: str, cells: int) -> dict[int, Axes]:
-    """Axes and cuts into cells (a power of two at least) for each vector length of a bounded sample."""
+    """Axes and pivots for each vector length of a bounded sample."""
     found = sample.select(column).toPandas()[column]
     by = {}
     for x in found:
@@ -151,17 +146,14 @@ def compare_blocks(rows: pd.DataFrame, axes: dict[int, Axes], threshold: float)
 
 
 def blocks_of(classes: DataFrame, axes: dict[int, Axes], block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(classes with d, block; box of each block): blocks are cells of the cuts, dealt by hash where they are large.
-    A box is the range of its unit vectors along the first axes."""
+    """(classes with d, block; box of each block): blocks are cells around pivots, dealt by hash where they are large.
+    A box has the ranges of the distances from its unit vectors to the first pivots."""
 
     def place(batches):
         for rows in batches:
             for d, part in rows.groupby(rows["v"].map(len)):
-                u = units(part["v"])
-                r = u @ axes[d].axes if d in axes else u
-                box = np.zeros((len(part), BOX))
-                box[:, : min(BOX, d)] = r[:, :BOX]
-                yield part.assign(d=np.int32(d), cell=axes[d].cell(r) if d in axes else 0, box=list(box))
+                cell, box = axes[d].place(units(part["v"])) if d in axes else (0, np.zeros((len(part), BOX)))
+                yield part.assign(d=np.int32(d), cell=cell, box=list(box))
 
     kind = classes.schema["v"].dataType.simpleString()
     placed = stash(classes.select("v", "id", "n").mapInPandas(place, f"v {kind}, id long, n long, d int, cell long, box array<double>"))
@@ -174,13 +166,13 @@ def blocks_of(classes: DataFrame, axes: dict[int, Axes], block_rows: int) -> tup
 
 def block_pairs(boxes: DataFrame, threshold: float) -> DataFrame:
     """(d, x, y), x <= y: blocks whose boxes are near enough to hold a link. Those of unit vectors with cosine >= t are
-    at most sqrt(2 - 2t) apart, along the first axis too: blocks meet in bins of that width."""
+    at most sqrt(2 - 2t) apart, and their distances to a pivot differ by no more: blocks meet in bins of that width."""
     far = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + MARGIN
     bins = F.explode(F.sequence(F.floor(F.col("low0") / far), F.floor((F.col("high0") + far) / far)))
     binned = boxes.withColumn("bin", bins)
     x, y = binned.alias("x"), binned.alias("y")
     gap = [F.greatest(F.lit(0.0), F.col(f"x.low{i}") - F.col(f"y.high{i}"), F.col(f"y.low{i}") - F.col(f"x.high{i}")) for i in range(BOX)]
-    near = sum((g * g for g in gap), F.lit(0.0)) <= far * far
+    near = F.greatest(*gap) <= far
     met = x.join(y, (F.col("x.d") == F.col("y.d")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.block") <= F.col("y.block")) & near)
     return met.select(F.col("x.d").alias("d"), F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
 
@@ -188,8 +180,8 @@ def block_pairs(boxes: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, n_links, component_id, kept) of every row; links are pairs with cosine >= threshold.
 
-    Equal vectors are compared once and counted as often as they occur. Blocks follow the principal axes, and only
-    those meet whose ranges along them are near enough. A pair of blocks emits, for each row, its number of links
+    Equal vectors are compared once and counted as often as they occur. Blocks are cells around pivots, and only those
+    meet whose ranges of distances to these are near enough. A pair of blocks emits, for each row, its number of links
     and one root, never the pairs. Vectors that are null, empty, zero or hold null or non-finite components have no
     links, nor have vectors of different lengths. Each row counts, also where rows share a key; a row with a null key
     takes no part: n_links 0, component_id null, kept. Other columns are not read.
@@ -452,7 +444,8 @@ class Index:
         self.trees = stash(placed.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda g: grow_tree(g, radius), TREE))
 
     def factor(self, asked: DataFrame) -> tuple[float, float, float]:
-        """The factor to use, with its recall and share of scanned rows, by best_factor on a bounded sample in a task."""
+        """(factor to use, its recall, share of rows scanned or nan) by about TRIALS of the queries: in one task where
+        all rows are one shard, else by searches of the whole index, of which the one with factor 1 is the truth."""
         k, radius, count = self.k, self.radius, asked.count()
         if not self.count or not count:
             return FACTORS[-1], 1.0, 1.0
@@ -463,9 +456,26 @@ class Index:
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([best_factor(rows, queries, k, radius)], columns=["factor", "recall", "scanned"])
 
-        sample = sampled(self.entries, self.count, self.shard_rows).withColumn("shard", F.lit(0))
-        rows = sample.groupBy("shard").applyInPandas(run, "factor double, recall double, scanned double").first()
-        return tuple(rows) if rows else (FACTORS[-1], 1.0, 1.0)
+        if self.shards.sum() == 1:
+            one = self.entries.withColumn("shard", F.lit(0))
+            return tuple(one.groupBy("shard").applyInPandas(run, "factor double, recall double, scanned double").first())
+        some = stash(sampled(asked, count, TRIALS).limit(4 * TRIALS))
+
+        def scores(relax: float) -> pd.DataFrame:
+            return top(self.search(some, relax, QUERY_ROWS), k).select("query_id", "score").toPandas()
+
+        least = scores(1.0).groupby("query_id")["score"].agg(["min", "size"])
+        low, high, known = 0, len(FACTORS) - 1, 1.0
+        while low < high:
+            middle = (low + high) // 2
+            found = scores(FACTORS[middle])
+            hits = found["score"].to_numpy() >= least["min"].reindex(found["query_id"]).to_numpy() - 1e-12 * radius**2
+            recall = hits.sum() / least["size"].sum()
+            if recall >= WANTED:
+                high, known = middle, recall
+            else:
+                low = middle + 1
+        return FACTORS[high], float(known), float("nan")
 
     def search(self, asked: DataFrame, relax: float, query_rows: int) -> DataFrame:
         """(query_id, vec_id, score): k nearest or more of each of the rows (id, v), first in the cell that each falls
