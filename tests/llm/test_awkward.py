@@ -214,3 +214,35 @@ def test_run(spark, sf):
     cols = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     got = values(corpus_pipeline.run(spark, sf), *cols)
     assert got == values(docs, *cols) and len(got) > 100
+
+
+#: Written down by hand, not taken from the operator's tables.
+MORE_LICENCES = [
+    ("This repo: released under the MIT License, see LICENSE.", "MIT"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0-or-later"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", "ISC"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "Unlicense"),
+    ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("Licensed under the GNU General Public License v2 or later.", "GPL-2.0-or-later"),
+    ("Released under the terms of the BSD 3-Clause License.", "BSD-3-Clause"),
+]
+
+
+@pytest.mark.parametrize("width, mark", [(10_000, ""), (60, ""), (72, "# "), (66, " * ")])
+def test_more_licences(spark, width, mark):
+    import textwrap
+
+    wrap = lambda t: "\n".join((mark + line).rstrip() for p in t.split("\n\n") for line in [*textwrap.wrap(p, width), ""])
+    df = spark.createDataFrame([(i, f"{mark}Some words.\n\n{wrap(t)}") for i, (t, _) in enumerate(MORE_LICENCES)], "doc_id long, text string")
+    got = dict(values(licenses.scan_licenses(df), "doc_id", F.array_join("licenses", ",")))
+    assert [got[i] for i in range(len(MORE_LICENCES))] == [name for _, name in MORE_LICENCES]
+
+
+def test_sentences_far_apart_are_no_licence(spark):
+    parts = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "The software is provided as is, without warranty of any kind."]
+    near, far = ("\n\n".join(parts), ("\n\n" + "Other words here. " * 300).join(parts))
+    df = spark.createDataFrame([(1, near), (2, far)], "doc_id long, text string")
+    assert values(licenses.scan_licenses(df), "doc_id", F.array_join("licenses", ","), "unmatched") == [(1, "MIT", 0), (2, "", 3)]
