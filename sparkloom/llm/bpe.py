@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bytestext import runs
-from .common import documents
+from .common import documents, text_batches
 
 #: The split of byte-level BPE vocabularies of this family. Fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -240,7 +240,7 @@ def _added(df: DataFrame, source: str, new: dict[str, tuple[T.DataType, pa.DataT
     keep = [c for c in df.columns if c not in new]
     if source not in keep:
         keep.append(source)
-    frame = df.select(*keep)
+    frame = text_batches(df).select(*keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

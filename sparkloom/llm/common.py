@@ -44,6 +44,20 @@ def discard(*stashed: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows in a batch that goes to Python, at most, where rows are whole texts.
+BATCH_ROWS = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's batches are set to BATCH_ROWS rows if they were larger: with long texts ten thousand rows,
+    Spark's own setting, hold hundreds of megabytes on either side."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= BATCH_ROWS:
+        conf.set(BATCH, str(BATCH_ROWS))
+    return df
+
+
 def prefix(df: DataFrame) -> str:
     """What no column of df begins with; helper columns get names that do."""
     out = "_"

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytestext as B
-from .common import components, discard, documents, stash
+from .common import components, discard, documents, stash, text_batches
 
 #: Words in a shingle and the least similarity, as a percentage.
 WORDS, PERCENT = 5, 80
@@ -366,7 +366,7 @@ def similarity_classes(df: DataFrame, key: str = "doc_id", text: str = "text", p
     links. Keys are integers; each row is a document of its own, also where rows share a key. A row with a null
     key has no links and a null class. Other columns are not read.
     """
-    told = stash(describe(df, key, text).withColumn("row", F.monotonically_increasing_id()))
+    told = stash(describe(text_batches(df), key, text).withColumn("row", F.monotonically_increasing_id()))
     sets = stash(told.select("doc", "n", "h1", "h2"))
     # equal sets are one class from here on; the text of its smallest document stands for it, called by its row number
     first = F.min(F.struct("doc", "row"))

@@ -18,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .bytestext import runs
-from .common import documents, prefix
+from .common import documents, prefix, text_batches
 
 #: Labelled texts used for training, of each language, chosen by a hash of the text.
 SAMPLE_ROWS = 1000
+#: Languages learned, those with most texts.
+MOST_LANGS = 500
 #: Words and n-grams kept per language; the model's size follows from these and the number of languages.
 TOP_WORDS, TOP_GRAMS = 20_000, 20_000
 #: Log-probability lost when the language changes between two words, and for another script than a language's.
@@ -41,7 +43,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Entries of the word cache in a worker; it is emptied when full, which changes no result.
 CACHE = 200_000
 #: Characters labelled at once; texts advance together, so long slices mean few steps.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
@@ -107,17 +109,17 @@ def labelled_words(rows: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit a model on rows with a text and a language. The sample is the distinct texts whose hash is in the
+    """Fit a model on rows with a text and one of the MOST_LANGS most frequent languages. The sample is the distinct texts whose hash is in the
     first part of the hash range, the part set for each language so that about sample_rows are in it."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("_h"))
     text, lang = "text", "lang"
-    many = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.approx_count_distinct("_h")).collect()}
+    counts = rows.groupBy(lang).agg(F.approx_count_distinct("_h").alias("n"))
+    many = {r[0]: r[1] for r in counts.orderBy(F.desc("n"), lang).limit(MOST_LANGS).collect()}
     langs = sorted(many)
     if not langs:
         return fit([], pd.DataFrame({"lang": [], "word": [], "n": []}))
-    ends = [(x, min((1 << 63) - 1, int(sample_rows / max(1, n) * (1 << 63)))) for x, n in many.items()]
-    ends = labelled.sparkSession.createDataFrame(ends, "_lang string, _end long")  # a row for each language
-    kept = rows.join(ends, (F.col(lang) == F.col("_lang")) & (F.col("_h") <= F.col("_end")), "left_semi")
+    ends = [F.lit(y) for x, n in many.items() for y in (x, min((1 << 63) - 1, int(sample_rows / max(1, n) * (1 << 63))))]
+    kept = rows.where(F.col("_h") <= F.try_element_at(F.create_map(*ends), F.col(lang)))  # MOST_LANGS entries at most
     words = labelled_words(kept.dropDuplicates([lang, "_h"]), text, lang)
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = words.withColumn("i", F.row_number().over(rank)).where(F.col("i") <= TOP_WORDS).select("lang", "word", "n").toPandas()
@@ -228,7 +230,7 @@ def detect(df: DataFrame, model: Model, text: str = "text", spans: bool = False)
     language name. Only the text is read; columns with the names of results are replaced, all others stay. With a
     model of no languages every text is `und`; an empty table gives an empty one.
     """
-    df = df.drop("lang_pred", "score", "n_spans", "spans")
+    df = text_batches(df).drop("lang_pred", "score", "n_spans", "spans")
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.IntegerType())]
     if spans:
         fields.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))

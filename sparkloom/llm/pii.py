@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import documents, prefix, stash
+from .common import documents, prefix, stash, text_batches
 
 #: Key of the tests and of sessions that name none. It is published: whoever knows it can make the same surrogates.
 KEY = "surrogate-key-1"
@@ -320,7 +320,7 @@ def find_entities(df: DataFrame, key: str = "doc_id", text: str = "text", secret
         for s in batches:
             yield pd.Series([[] if t is None else [(k, t[a:b], _identity(k, t[a:b]), _part(k, t[a:b]), _identity(k, draw(k, t[a:b], secret))) for a, b, k in entities(t)] for t in s], dtype=object)
 
-    found = df.select(F.col(key).alias("doc"), F.pandas_udf(run, fields)(F.col(text)).alias("e"))
+    found = text_batches(df).select(F.col(key).alias("doc"), F.pandas_udf(run, fields)(F.col(text)).alias("e"))
     return found.select(F.col("doc").alias(key), F.inline("e"))
 
 
