@@ -12,6 +12,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s++\z", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
