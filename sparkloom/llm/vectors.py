@@ -24,7 +24,7 @@ CELLS, SCORES = 256, 1 << 22
 #: A subtree is skipped if its least distance times a factor exceeds the distance of the k-th found; 1 is exact.
 #: Unless it is given, the factor is the largest of FACTORS with which about TRIALS sampled queries find WANTED of
 #: their neighbours in the index.
-FACTORS, TRIALS, WANTED = (16.0, 12.0, 8.0, 6.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25, 1.1, 1.0), 256, 0.975
+FACTORS, TRIALS, WANTED = (16.0, 12.0, 10.0, 8.0, 7.0, 6.0, 5.5, 5.0, 4.5, 4.0, 3.5, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.1, 1.0), 256, 0.975
 
 
 def usable(v: Column) -> Column:
