@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL that gives the same rows where there is such SQL."""
 
-from . import bpe, jaccard, langid, licenses, mixing, pii, repeats, sharding, vectors
+from . import bpe, copies, jaccard, langid, licenses, mixing, pii, repeats, sharding, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_repeat_removal": repeats.op8_repeat_removal,
     "op9_pii_surrogates": pii.op9_pii_surrogates,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_exact_dedup": copies.op11_exact_dedup,
 }
 
-ORACLES = {"op2_license_scan": licenses.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL}
+ORACLES = {"op2_license_scan": licenses.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL, "op11_exact_dedup": copies.OP11_SQL}
