@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL that gives the same rows where there is such SQL."""
 
-from . import bpe, copies, jaccard, langid, licenses, mixing, pii, repeats, sharding, vectors
+from . import bpe, copies, jaccard, langid, licenses, mixing, pii, repeats, sharding, spelling, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pii_surrogates": pii.op9_pii_surrogates,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_exact_dedup": copies.op11_exact_dedup,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
 ORACLES = {"op2_license_scan": licenses.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL, "op11_exact_dedup": copies.OP11_SQL}
