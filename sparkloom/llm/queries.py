@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL that gives the same rows where there is such SQL."""
 
-from . import bpe, copies, jaccard, langid, licenses, mixing, pii, repeats, sharding, spelling, vectors
+from . import bpe, copies, jaccard, langid, licenses, mixing, pii, repeats, sharding, spelling, vectors, whitening
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_exact_dedup": copies.op11_exact_dedup,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLES = {"op2_license_scan": licenses.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL, "op11_exact_dedup": copies.OP11_SQL}
