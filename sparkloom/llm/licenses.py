@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,13 +20,14 @@ from .common import documents
 SENTENCE_END = r"[\n\r]+|\.[^\p{L}\p{N}\s]*\s"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: No known sentence goes over a line without letters and digits, or a full stop with white space after it.
-PARAGRAPH_END = r"(?>\R)(?:[^\p{L}\p{N}\n\r]*(?>\R))+|\.[^\p{L}\p{N}\s]*\s"
+#: The repeated group is possessive: Java matches it in a loop, other groups by recursion, whose stack long runs exhaust.
+PARAGRAPH_END = r"(?>\R)(?:[^\p{L}\p{N}\n\r]*(?>\R))++|\.[^\p{L}\p{N}\s]*\s"
 #: A known sentence may begin and end here, or go on.
 PIECE_END = r"[\n\r]+|[!?;:][^\p{L}\p{N}\s]*\s"
-#: Sentences with a holder's name in them, as normalised pieces, and the same without it.
+#: Sentences with a holder's name in them: what stands before it, after it, and the same without a holder. Fixed values.
 HOLDERS = [
-    (r"neither[ \n]the[ \n]names?[ \n]of[ \n][\p{L}\p{N} \n]{1,120}?[ \n]+nor[ \n]the[ \n]names[ \n]of[ \n](?:its|their|any)[ \n]contributors", "neither the name of the copyright holder nor the names of its contributors"),
-    (r"this[ \n]software[ \n]is[ \n]provided[ \n]by[ \n][\p{L}\p{N} \n]{1,120}?[ \n]+as[ \n]is", "this software is provided by the copyright holders and contributors as is"),
+    ("neither the names? of ", r"nor the names of (?:its|their|any) contributors", "neither the name of ", "the copyright holder nor the names of its contributors"),
+    ("this software is provided by ", "as is", "this software is provided by ", "the copyright holders and contributors as is"),
 ]
 
 #: Known sentences as normalised (lower case, other characters than letters and digits one space): identifier. Fixed values.
@@ -190,8 +192,10 @@ def _families() -> None:
 
 
 _families()
-#: Unknown characters between the sentences of a rule, at most: what is further apart is not one licence.
+#: Unknown characters between the sentences of a rule, at most, unless scan_licenses() is told another number.
 APART = 4000
+#: Characters of a holder's name, at most, unless it is told another number; beyond, two sentences are apart by chance.
+HOLDER = 1000
 
 
 def _plain(s: Column) -> Column:
@@ -203,14 +207,30 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_END), _plain), lambda s: s != "")
 
 
-def pieces(text: Column) -> Column:
+def _lines(pattern: str) -> str:
+    """The pattern with a line break wherever it has a space."""
+    return pattern.replace(" ", r"[ \n]")
+
+
+def without_holders(text: Column, holder: int | None) -> Column:
+    """Normalised pieces with holders of at most `holder` characters as the known sentences have them. The text is cut
+    where the words before a holder stand, so each part is read once, however long holders are and however many."""
+    length = "+" if holder is None else f"{{1,{holder}}}"
+    for before, after, opening, same in HOLDERS:
+        pattern = rf"\A[\p{{L}}\p{{N}} \n]{length}?[ \n]+{_lines(after)}"
+        text = F.array_join(F.transform(F.split(text, _lines(before)), _after_first(pattern, same)), opening)
+    return text
+
+
+def _after_first(pattern: str, same: str) -> Callable[[Column, Column], Column]:
+    return lambda part, i: F.when(i == 0, part).otherwise(F.regexp_replace(part, pattern, same))
+
+
+def pieces(text: Column, holder: int | None) -> Column:
     """The text as normalised pieces, a line break between two of a paragraph, two between paragraphs."""
     cut = lambda t: F.array_join(F.filter(F.transform(F.split(t, PIECE_END), _plain), lambda s: s != ""), "\n")
     out = F.array_join(F.transform(F.split(text, PARAGRAPH_END), cut), "\n\n")
-    opening = OPENING.replace(" ", r"[ \n]")
-    for pattern, same in [*HOLDERS, (rf"(?<![^\n]){opening}", "licensed under ")]:
-        out = F.regexp_replace(out, pattern, same)
-    return out
+    return F.regexp_replace(without_holders(out, holder), rf"(?<![^\n]){_lines(OPENING)}", "licensed under ")
 
 
 def _pattern(known: list[list[str]]) -> str:
@@ -235,12 +255,13 @@ MATCHED = "|".join("".join(f"<{re.escape(i)}>" for i in ids) for ids, _ in RULES
 LICENCES = {"".join(f"<{i}>" for i in ids): licence for ids, licence in RULES}
 
 
-def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, text: str = "text", apart: int | None = APART, holder: int | None = HOLDER) -> DataFrame:
     """df with n_sentences, `sentence_ids` (known sentences in order, in angle brackets), `licenses` (one per matched
     rule, in order) and `unmatched` (known sentences that no rule used).
 
     n_sentences counts pieces between line breaks and full stops, so a wrapped sentence as often as it has lines.
-    Unknown sentences between known ones do not break a rule, unless there are more than APART characters of them.
+    Unknown sentences between known ones do not break a rule, unless there are more than `apart` characters of them; a holder's
+    name in a known sentence may have `holder` characters. None: however many there are.
     Null and empty texts have no sentences. Columns with the names of results are replaced, all others stay. Every row
     stands alone: no shuffle.
     """
@@ -248,11 +269,12 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     known, names = table(SENTENCES), table(LICENCES)
     found = df.withColumn("n_sentences", F.coalesce(F.size(sentences(F.col(text))), F.lit(0)))
     # each known sentence between marks, which normalised text has not; the first part is what stands before the first
-    marked = F.split(F.regexp_replace(pieces(F.coalesce(F.col(text), F.lit(""))), KNOWN, "\x01$1\x02"), "\x01")
+    marked = F.split(F.regexp_replace(pieces(F.coalesce(F.col(text), F.lit("")), holder), KNOWN, "\x01$1\x02"), "\x01")
 
     def identifier(part):
         own = F.try_element_at(known, F.translate(F.substring_index(part, "\x02", 1), "\n", " "))
-        return F.concat(F.lit("<"), own, F.when(F.length(F.substring_index(part, "\x02", -1)) > APART, ">|").otherwise(">"))
+        far = F.lit(False) if apart is None else F.length(F.substring_index(part, "\x02", -1)) > apart
+        return F.concat(F.lit("<"), own, F.when(far, ">|").otherwise(">"))
 
     found = found.withColumn("sentence_ids", F.array_join(F.transform(F.slice(marked, 2, 1 << 30), identifier), ""))
     found = found.withColumn("licenses", F.transform(F.regexp_extract_all("sentence_ids", F.lit(MATCHED), F.lit(0)), lambda h: F.try_element_at(names, h)))
