@@ -15,6 +15,7 @@ phones of other national forms without + (seven digits, or ten without separator
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
@@ -80,6 +81,9 @@ _TITLE = "|".join(sorted(_GENDER, key=lambda t: -len(t)))
 PERSON = re.compile(rf"\b(?P<title>{_TITLE})\b\.? +(?P<name>{_NAME}(?: {_NAME})?)")
 _FIRST = {n: g for (g, _), names in GIVEN.items() for n in names}
 UNTITLED = re.compile(rf"\b(?=[A-ZΑ-ΩΆ-ΏА-Я])(?P<name>(?P<first>{'|'.join(_FIRST)}) (?!(?:{_TITLE})\b){_NAME})")
+#: Where a name may begin, what it may be there, and what does not follow it.
+WORD_START, AFTER = re.compile(r"(?<!\w)(?=[^\W\d_])"), re.compile(r"[\w'’]")
+MENTIONS = [re.compile(p) for p in (rf"{_NAME} {_NAME}", rf"{_NAME} \w+", _NAME, r"\w+")]
 _MAYBE = re.compile(r"[0-9@=:]|sk-|xox|gh[opsru]_|AIza")
 #: What a well-known token begins with, which stays. Fixed values.
 TOKEN_STARTS = re.compile(r"AKIA|ASIA|gh[opsru]_|github_pat_|xox[abprs]-|sk-|AIza")
@@ -92,7 +96,11 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         found = [(*m.span(m.lastgroup if m.lastgroup != "sep" else "card"), m.lastgroup if m.lastgroup != "sep" else "card") for m in MARKED.finditer(text)]
     people = [(*m.span("name"), "name_" + _GENDER[m["title"]]) for m in PERSON.finditer(text)]
     titled = [e[:2] for e in people]
-    people += [(*m.span("name"), "name_" + _FIRST[m["first"]]) for m in UNTITLED.finditer(text) if not any(a < m.end() and m.start() < b for a, b in titled)]
+    starts = [a for a, _ in titled]  # in order and without overlaps
+    for m in UNTITLED.finditer(text):
+        before = bisect.bisect_left(starts, m.end()) - 1
+        if before < 0 or titled[before][1] <= m.start():
+            people.append((*m.span("name"), "name_" + _FIRST[m["first"]]))
     if not people:
         return found
     # the same persons without a title, and their surnames alone
@@ -100,8 +108,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     for a, b, kind in people:
         kinds.setdefault(text[a:b], kind)
         kinds.setdefault(text[a:b].rpartition(" ")[2], kind)
-    again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, kinds), key=lambda x: (-len(x), x))) + r")(?![\w'’])")
-    people += [(*m.span(), kinds[m[0]]) for m in again.finditer(text)]
+    people += mentions(text, kinds)
     end, out = -1, []
     for e in sorted(found + people, key=lambda e: (e[0], -e[1], e[2])):
         if e[0] >= end:
@@ -110,6 +117,22 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def mentions(text: str, kinds: dict[str, str]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) where a known name stands as whole words, longer names first. A few strings are looked up at the
+    start of each word, so the time does not grow with the number of names."""
+    out, end = [], 0
+    for m in WORD_START.finditer(text):
+        if m.start() < end:
+            continue
+        ends = {x.end() for p in MENTIONS if (x := p.match(text, m.start()))}
+        for e in sorted(ends, reverse=True):
+            if text[m.start() : e] in kinds and not AFTER.match(text, e):
+                out.append((m.start(), e, kinds[text[m.start() : e]]))
+                end = e
+                break
+    return out
+
+
 @functools.cache
 def _alphabet() -> dict[str, tuple[str, int]]:
     return {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
@@ -166,9 +189,10 @@ def script_of(word: str) -> str:
 
 
 def canonical(kind: str, value: str) -> str:
-    """What tells entities of a kind apart: digits of numbers, lower case of addresses, words as they are."""
+    """What tells entities of a kind apart: digits of numbers (a number with + and its country's code is another than the
+    same digits without), lower case of addresses, words as they are."""
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", value)
+        return "+" * value.startswith("+") + re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "ipv6":
@@ -192,7 +216,7 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0, surname_draw
         return _wide(kind, value, key, draw)
     if kind.startswith("name_"):
         *first, last = value.split(" ")
-        return " ".join([*(_given(w, kind, key, draw) for w in first), surrogate(kind, last, key, surname_draw) if first else _name(last, kind, key, draw)])
+        return " ".join([*(_given(w, kind, key, draw) for w in first), surrogate(kind, last, key, surname_draw) if first else _name(last, "fm", key, draw)])
     if kind == "email":
         local, _, domain = value.partition("@")
         new = permute(local.lower(), key, tweak + domain.lower())
@@ -211,7 +235,7 @@ def surrogate(kind: str, value: str, key: str = KEY, draw: int = 0, surname_draw
             return str(ipaddress.IPv6Address(int(_hex(digits, key, tweak), 16)))
         return ":".join(_hex(x, key, f"{tweak}:{i}") for i, x in enumerate(digits.split(":")))
     if kind in ("phone", "card", "ssn"):
-        digits = canonical(kind, value)
+        digits = canonical(kind, value).removeprefix("+")
         keep = 1 if kind == "card" else (1 if digits[0] in "17" else 2) if value.startswith("+") else int(kind == "phone" and digits[0] == "0")  # the country code, the 0 of national forms
         if kind == "card":
             body = digits[:keep] + permute(digits[keep:-1], key, tweak + digits[:keep])
@@ -278,13 +302,15 @@ def _given(word: str, kind: str, key: str, draw: int) -> str:
     """A given name of the same gender, if it is known, and script; those that are in no list are dealt to one by hash."""
     script = script_of(word)
     if any(word in GIVEN[g, script] for g in kind[5:] or "fm"):
-        return _name(word, kind, key, draw)
+        return _name(word, kind[5:] or "fm", key, draw)
     names = [n for g in kind[5:] or "fm" for n in GIVEN[g, script]]
     return names[_mac(key, "given", kind, draw, word) % len(names)]
 
 
-def _name(word: str, kind: str, key: str, draw: int) -> str:
-    for gender in kind[5:] or "fm":
+def _name(word: str, genders: str, key: str, draw: int) -> str:
+    """Another given name of a list that has the word, else another surname. Surnames and single names take part in the lists
+    of both genders, so that they do not depend on the title before them."""
+    for gender in genders:
         names = GIVEN[gender, script_of(word)]
         if word in names:
             order = sorted(names, key=lambda n: _mac(key, "given", gender, draw, n))
@@ -325,7 +351,8 @@ def find_entities(df: DataFrame, key: str = "doc_id", text: str = "text", secret
 
 
 def redraws(found: DataFrame, secret: str | None = None) -> DataFrame:
-    """(entity, draw) of the entities whose surrogate clashes: another entity has it, or it is a real one here.
+    """(entity, draw, kind) of the entities whose surrogate clashes (another entity has it, or it is a real one here) and of
+    the persons met with titles of both genders, who have one kind, and so one surrogate, in all texts.
 
     Clashes are settled in rounds over the distinct entities, each an aggregation, until none is left; of those
     that share a surrogate the one drawn least often, then the smallest, keeps it. A surname drawn again changes with
@@ -333,25 +360,29 @@ def redraws(found: DataFrame, secret: str | None = None) -> DataFrame:
     """
     secret = secret_of(found, secret)
     given = [n for names in GIVEN.values() for n in names]
-    e = found.groupBy("entity").agg(F.min(F.struct("kind", "value", "part", "surrogate")).alias("x")).select("entity", "x.*")
-    e = stash(e.withColumn("draw", F.lit(0)).withColumn("part_draw", F.lit(0)))
-
     def draws(kind: pd.Series, value: pd.Series, draw: pd.Series, part: pd.Series) -> pd.Series:
         return pd.Series([_identity(k, surrogate(k, v, secret, int(d), int(p))) for k, v, d, p in zip(kind, value, draw, part, strict=True)], dtype=object)
 
     again = F.pandas_udf(draws, "string")
+    # a person is what most of the mentions say, of either gender where there are as many of both
+    women, men = (F.count_if(F.col("kind") == f"name_{g}") for g in "fm")
+    e = found.groupBy("entity").agg(F.min(F.struct("kind", "value", "part", "surrogate")).alias("x"), (F.max("kind") != F.min("kind")).alias("mixed"), women.alias("women"), men.alias("men"))
+    gender = F.when(F.col("women") > F.col("men"), "name_f").when(F.col("men") > F.col("women"), "name_m").otherwise("name_")
+    e = e.select("entity", F.when(F.col("mixed"), gender).otherwise(F.col("x.kind")).alias("kind"), "x.value", "x.part", "x.surrogate", "mixed", F.lit(0).alias("draw"), F.lit(0).alias("part_draw"))
+    seen = e.where("mixed").withColumn("surrogate", again("kind", "value", "draw", "part_draw"))
+    e = stash(e.where("not mixed").unionByName(seen))
     while True:
         rank = F.row_number().over(Window.partitionBy("surrogate").orderBy("draw", "entity"))
         real = e.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         bad = e.withColumn("i", rank).join(real, "surrogate", "left").withColumn("bad", (F.col("i") > 1) | F.coalesce(F.col("real"), F.lit(False)) & ~F.col("value").isin(given))
         bad = stash(bad.withColumn("draw", F.col("draw") + F.col("bad").cast("int")).drop("i", "real"))
         if bad.where("bad").isEmpty():
-            return bad.where("draw > 0").select("entity", "draw")
+            return bad.where("draw > 0 or mixed").select("entity", "draw", "kind")
         surnames = bad.select(F.col("entity").alias("part"), F.col("draw").alias("now"))
         next_ = bad.join(surnames, "part", "left").withColumn("now", F.when(F.col("part") == F.col("entity"), F.lit(0)).otherwise(F.coalesce("now", F.lit(0))))
         changed = F.col("bad") | (F.col("now") != F.col("part_draw"))
         next_ = next_.withColumn("changed", changed).withColumn("part_draw", F.col("now"))
-        stay = next_.where("not changed").select("entity", "kind", "value", "part", "surrogate", "draw", "part_draw")
+        stay = next_.where("not changed").select("entity", "kind", "value", "part", "surrogate", "mixed", "draw", "part_draw")
         move = next_.where("changed").withColumn("surrogate", again("kind", "value", "draw", "part_draw")).select(*stay.columns)
         e = stash(stay.unionByName(move))
 
@@ -360,22 +391,23 @@ def replace(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str
     """df with private data in `text` replaced, plus n_entities and `kinds` (distinct, sorted).
 
     secret: the key of the surrogates, see secret_of(). A null text stays null with no entities; texts without private
-    data are unchanged. The clashing entities of a document, which are rare, reach it by a join on key; rows that share
-    a key share them, rows with a null key keep first draws. All other columns stay; those named like results are
-    replaced. An empty table gives an empty one.
+    data are unchanged. What redraws() says of the entities of a document, which is rare, reaches it by a join on a hash of
+    key, of the text where the key is null; rows that share it share more than they need. All other columns stay; those
+    named like results are replaced. An empty table gives an empty one.
     """
     secret = secret_of(df, secret)
     df = df.drop("n_entities", "kinds")
-    found = stash(find_entities(df, key, text, secret))
-    odd = stash(redraws(found, secret))
     out, own = df, prefix(df)
-    draws, made = own + "draws", own + "made"
+    link, draws, made = own + "link", own + "draws", own + "made"
+    out = out.withColumn(link, F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)))
+    found = stash(find_entities(out, link, text, secret))
+    odd = stash(redraws(found, secret))
     if odd.isEmpty():
-        out = out.withColumn(draws, F.lit(None).cast("map<string,int>"))
+        out = out.withColumn(draws, F.lit(None).cast("map<string,struct<draw:int,kind:string>>"))
     else:
-        of = found.select(F.col(key).alias(own), F.explode(F.array_distinct(F.array("entity", "part"))).alias("entity")).distinct().join(odd, "entity")
-        of = of.groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias(draws))
-        out = out.join(of, F.col(key) == F.col(own), "left").drop(own)
+        of = found.select(F.col(link), F.explode(F.array_distinct(F.array("entity", "part"))).alias("entity")).distinct().join(odd, "entity")
+        of = of.groupBy(link).agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("draw", "kind")))).alias(draws))
+        out = out.join(of, link, "left")
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("n", T.IntegerType())])
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -388,9 +420,11 @@ def replace(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str
                     rows.append((t, [], 0))
                     continue
                 d, at, parts = dict(d) if d is not None and len(d) else {}, 0, []
+                first = {"draw": 0, "kind": None}
                 for a, b, k in hits:
                     v = t[a:b]
-                    parts += [t[at:a], make(k, v, secret, int(d.get(_identity(k, v), 0)), int(d.get(_part(k, v), 0)) if " " in v else 0)]
+                    what, part = d.get(_identity(k, v), first), d.get(_part(k, v), first)
+                    parts += [t[at:a], make(what["kind"] or k, v, secret, int(what["draw"]), int(part["draw"]) if " " in v else 0)]
                     at = b
                 rows.append(("".join(parts) + t[at:], sorted({k for _, _, k in hits}), len(hits)))
             yield pd.DataFrame(rows, columns=["text", "kinds", "n"])

@@ -1,8 +1,10 @@
 """Surrogates: names, forms and keys, and the registered query."""
 
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import pii
 
@@ -80,3 +82,36 @@ def test_registered_query(spark, sf):
                 x, y = pii._identity(k, text[a:b]), pii._identity(k, new)
                 assert real.setdefault(x, y) == y and given.setdefault(y, x) == x
     assert real and not real.keys() & given.keys()
+
+
+def test_one_surrogate_for_a_person_whatever_the_title(spark):
+    texts = ["Mr Alex Smith", "Dr Alex Smith", "Mrs Alex Smith", "Dr Alex Smith", "Mr Simon", "Mrs Simon", "Mr Alex Smith", "Mr Nikola Brandt", "Ms Nikola Brandt", "Ms Nikola Brandt"]
+    new = [t.split(" ", 1)[1] for t in replaced(spark, texts)]
+    assert len({new[i] for i in (0, 1, 2, 3, 6)}) == 1 and new[4] == new[5] and len(set(new[7:])) == 1
+    assert new[0].split()[0] in pii.GIVEN["m", "latin"] and new[7].split()[0] in pii.GIVEN["f", "latin"]  # as most titles say
+    assert len(set(new)) == 3 and not set(new) & {t.split(" ", 1)[1] for t in texts}
+
+
+def test_surrogates_of_persons_are_told_apart(spark):
+    """Coreference and distinctness of every kind, over rows with and without a key."""
+    people = [f"{t} {g} {s}" for t in ("Mr", "Mrs", "Dr") for g in ("Alex", "Robin", "Anna", "Paul") for s in ("Ab", "Eb", "Ib", "Kahn", "Simon")]
+    others = [f"{v}@example.com" for v in "aeiou"] + ["call 555-123-4567", "call +55 512 34567", "ssn 123-45-6789", "4111 1111 1111 1111"]
+    rows = [(None if i % 3 else i, f"{x}!") for i, x in enumerate(people + others + people)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("was", F.col("text"))
+    real, given = {}, {}
+    for r in pii.replace(df).collect():
+        (a, b, k), (x, y, _) = pii.entities(r.was)[0], (pii.entities(r.was)[0][0], len(r.text) - (len(r.was) - pii.entities(r.was)[0][1]), 0)
+        one, other = pii._identity(k, r.was[a:b]), pii._identity(k, r.text[x:y])
+        assert real.setdefault(one, other) == other and given.setdefault(other, one) == one
+    assert len(real) == 4 * 5 + len(others) and not real.keys() & given.keys()
+
+
+def test_time_is_linear_in_persons():
+    def took(n):
+        names = [f"{chr(65 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}x" for i in range(n)]
+        text = " and ".join(f"Mr Anna {x}, {x}" for x in names)
+        began = time.process_time()
+        assert len(pii.entities(text)) == 2 * n
+        return time.process_time() - began
+
+    assert min(took(12_000) for _ in range(3)) < 12 * min(took(3_000) for _ in range(3))
