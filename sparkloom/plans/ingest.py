@@ -9,7 +9,7 @@ from ..functions.chunking import chunk_documents
 from ..functions.embed import encoder
 from ..functions.text import clean_text
 from ..operators import extract, tables
-from ..sources import versions
+from ..sources import buckets
 
 
 def build(raw: DataFrame, now: Column, encode=None, model=None, aliases: dict[str, str] | None = None, pattern: str = rules.CODE, institutions: list[str] | None = None, trigger: str = rules.IMPOSSIBLE, header: str = rules.HEADER) -> dict[str, DataFrame]:
@@ -50,25 +50,38 @@ SCHEMAS = {
 }
 
 
-def store(spark, folder: str, new: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """load() on the tables kept as versions in a folder, made where they do not exist; each is written as its next
-    version in that order, so that ends are looked up among what is written. A rerun writes the same rows."""
-    old = {k: versions.load(spark, f"{folder}/{k}", SCHEMAS[k]) for k in SCHEMAS}
-    out = {}
+#: Key and place of each stored table: what a page brings lies together.
+LAYOUT = {
+    "chunks": (["id"], ["source_file"]),
+    "entities": (["id"], ["id"]),
+    "edges": (["src_id", "rel_type", "dst_id"], ["src_id"]),
+    "links": (["node_id", "chunk_id", "link_type"], ["node_id"]),
+    "queue": (["subject_id", "predicate", "object_id"], ["subject_id"]),
+}
 
-    def written(name: str, df: DataFrame) -> DataFrame:
-        versions.save(df, f"{folder}/{name}")
-        out[name] = versions.load(spark, f"{folder}/{name}")
-        return out[name]
 
-    chunks = written("chunks", tables.upsert_keeping(old["chunks"], new["chunks"], ["id"]))
-    entities = written("entities", tables.upsert_gated(old["entities"], new["entities"], ["id"]))
-    edges, queue = tables.upsert_edges(old["edges"], new["triples"], entities)
-    written("edges", edges)
-    written("links", tables.upsert_links(old["links"], new["links"], entities, chunks))
-    keys = ["subject_id", "predicate", "object_id"]
-    written("queue", tables.upsert(old["queue"], tables.pick(queue, keys, [F.desc("confidence")]), keys))
-    return out
+def stored_tables(spark, folder: str, parts: int = 64, files: int = 4) -> dict[str, buckets.Table]:
+    """The tables of a knowledge base in a folder, made where they do not exist."""
+    return {k: buckets.Table(spark, f"{folder}/{k}", SCHEMAS[k], keys, place, parts, files) for k, (keys, place) in LAYOUT.items()}
+
+
+def store(spark, folder: str, new: dict[str, DataFrame], parts: int = 64, files: int = 4) -> dict[str, DataFrame]:
+    """load() into stored tables, in that order, so that ends are looked up among what is stored. Only the parts into which
+    new rows fall are rewritten. A chunk has the file it came from in its id, so its place never changes. A rerun writes
+    the same rows."""
+    kept = stored_tables(spark, folder, parts, files)
+    kept["chunks"].upsert(new["chunks"], columns=buckets.keep_first())
+    kept["entities"].upsert(new["entities"], buckets.gate())
+    good, queued = tables.split_review(new["triples"])
+    nodes, chunks = kept["entities"].rows().select("id"), kept["chunks"].rows().select("id")
+    edges = tables.existing_ends(tables.with_properties(good), nodes, ["subject_id", "object_id"])
+    edges = edges.withColumnsRenamed({"subject_id": "src_id", "predicate": "rel_type", "object_id": "dst_id"})
+    rest = [c for c in edges.columns if c not in LAYOUT["edges"][0]]
+    kept["edges"].upsert(tables.pick(edges, LAYOUT["edges"][0], [F.desc("confidence"), *[F.asc(c) for c in rest]]), columns=buckets.keep_known(["confidence"]))
+    links = tables.existing_ends(tables.existing_ends(new["links"], nodes, ["node_id"]), chunks, ["chunk_id"])
+    kept["links"].upsert(tables.pick(links, LAYOUT["links"][0], [F.desc("confidence")]))
+    kept["queue"].upsert(tables.pick(queued, LAYOUT["queue"][0], [F.desc("confidence")]))
+    return {k: t.rows() for k, t in kept.items()}
 
 
 def new_pages(raw: DataFrame, loaded: DataFrame) -> DataFrame:
