@@ -11,8 +11,8 @@ from .. import rules
 from ..functions.text import keyword_overlap, recency
 
 R = rules.RANKING
-#: Questions of a block and bytes of a cell's vectors, on average.
-BLOCK, CELL_BYTES = 2048, 1 << 25
+#: Questions of a block, bytes of a cell's vectors on average, and scores of a task held at once.
+BLOCK, CELL_BYTES, SCORES = 2048, 1 << 25, 1 << 22
 
 
 def has_vector(v: str) -> Column:
@@ -24,16 +24,17 @@ def _scan(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     if len(rows) and len(asked):
         rows = rows.sort_values("id", kind="stable")
         a, b = (np.stack([np.asarray(x, dtype=float) for x in side]) for side in (asked["q"], rows["v"]))
-        norm = lambda m: np.linalg.norm(m, axis=1) + 1e-10
-        score = (a @ b.T) / norm(a)[:, None] / norm(b)[None, :]
-        ids = rows["id"].to_numpy()
-        for qid, s in zip(asked["qid"], score, strict=True):
-            cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-            top = np.flatnonzero(s >= cut - 1e-12)
-            top = top[np.argsort(-s[top], kind="stable")][: k + 64]
-            out["qid"] += [qid] * len(top)
-            out["id"] += ids[top].tolist()
-            out["cosine"] += s[top].tolist()
+        for m in (a, b):
+            m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-10
+        ids, step = rows["id"].to_numpy(), max(1, SCORES // len(b))
+        for lo in range(0, len(a), step):
+            for qid, s in zip(asked["qid"].iloc[lo : lo + step], a[lo : lo + step] @ b.T, strict=True):
+                cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                top = np.flatnonzero(s >= cut - 1e-12)
+                top = top[np.argsort(-s[top], kind="stable")][:k]
+                out["qid"] += [qid] * len(top)
+                out["id"] += ids[top].tolist()
+                out["cosine"] += s[top].tolist()
     return pd.DataFrame(out)
 
 

@@ -1,7 +1,7 @@
 import pytest
 from conftest import same_rows
 
-from sparkloom import catalogue, catalogue_more  # noqa: F401
+from sparkloom import catalogue, catalogue_more, catalogue_store  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
