@@ -82,7 +82,7 @@ PERSON = re.compile(rf"\b(?P<title>{_TITLE})\b\.? +(?P<name>{_NAME}(?: {_NAME})?
 _FIRST = {n: g for (g, _), names in GIVEN.items() for n in names}
 UNTITLED = re.compile(rf"\b(?=[A-ZΑ-ΩΆ-ΏА-Я])(?P<name>(?P<first>{'|'.join(_FIRST)}) (?!(?:{_TITLE})\b){_NAME})")
 #: Where a name may begin, what it may be there, and what does not follow it.
-WORD_START, AFTER = re.compile(r"(?<!\w)(?=[^\W\d_])"), re.compile(r"[\w'’]")
+WORD_START, AFTER = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-ЯЁ]\w*"), re.compile(r"[\w'’]")
 MENTIONS = [re.compile(p) for p in (rf"{_NAME} {_NAME}", rf"{_NAME} \w+", _NAME, r"\w+")]
 _MAYBE = re.compile(r"[0-9@=:]|sk-|xox|gh[opsru]_|AIza")
 #: What a well-known token begins with, which stays. Fixed values.
@@ -118,11 +118,12 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 
 
 def mentions(text: str, kinds: dict[str, str]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) where a known name stands as whole words, longer names first. A few strings are looked up at the
-    start of each word, so the time does not grow with the number of names."""
+    """(start, end, kind) where a known name stands as whole words, longer names first. Where a word begins a name a few
+    strings are looked up, so the time does not grow with the number of names."""
     out, end = [], 0
+    firsts = {re.match(r"\w+", name)[0] for name in kinds}
     for m in WORD_START.finditer(text):
-        if m.start() < end:
+        if m.start() < end or m[0] not in firsts:
             continue
         ends = {x.end() for p in MENTIONS if (x := p.match(text, m.start()))}
         for e in sorted(ends, reverse=True):
