@@ -35,7 +35,7 @@ def _scan(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
                 out["qid"] += [qid] * len(top)
                 out["id"] += ids[top].tolist()
                 out["cosine"] += s[top].tolist()
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, dtype=None if out["qid"] else object)
 
 
 def nearest(asked: DataFrame, rows: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK, cell: int | None = None) -> DataFrame:
