@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .catalogue import COS_SQL, query, table, vector_questions
+from .catalogue import ANCHOR_SQL, ANCHORS, AS_OF, ASKED, COS_SQL, INTENT_SQL, INTENTS, RECENCY_SQL, SQUEEZE_SQL, TERMS_SQL, VERSION_SQL, asked, query, table, vector_questions
 from .catalogue_more import folder
-from .operators import tables
+from .operators import postings, tables
 from .operators.cells import Index
+from .plans import ask
 from .sources import buckets
 
 
@@ -76,3 +77,80 @@ def chunk_index_upkeep(spark, sf_dir):
     hits = index.search(asked, 30).select("qid", "id").withColumn("hit", F.lit(1))
     recall = true.join(hits, ["qid", "id"], "left").agg((F.count("hit") >= 0.95 * F.count("*")).alias("recalled"))
     return true.join(F.broadcast(recall), F.lit(True)).select("qid", "id", F.round("cosine", 6).alias("cosine"), "rank", "recalled")
+
+
+# --- retrieval from ids to texts --------------------------------------------------------------------------
+
+#: Counts of these letters, and a constant, stand for a model's vectors.
+LETTERS = "aeiountrséüß"
+
+
+def letter_vector(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(F.lit(1.0), *[(F.length(low) - F.length(F.replace(low, F.lit(x)))).cast("double") for x in LETTERS]).cast("array<float>")
+
+
+def letter_sql(text: str) -> str:
+    low = f"lower(coalesce({text}, ''))"
+    return "[1.0::double, " + ", ".join(f"(length({low}) - length(replace({low}, '{x}', '')))::double" for x in LETTERS) + "]"
+
+
+RANKED_SQL = f"""with recursive q as (select qid, question, {INTENT_SQL} as intents from ({ASKED})),
+a as (select qid, question, intents, list_distinct(i) as anchors from (select qid, question, intents, {ANCHOR_SQL.replace("(i,", "(intents,")} as i from q)),
+ph as (select qid, lower(trim({SQUEEZE_SQL})) as p from a union select qid, lower(trim(x)) from (select qid, unnest(anchors) as x from a)),
+tm as (select 'b' || item_id as id, lower(split_part(text, ' ', 3)) as m from benchmark),
+nv as (select qid, 'b' || item_id as id, list_cosine_similarity({letter_sql('question')}, {letter_sql('text')}) as c from a, benchmark),
+se as (select qid, id as node from ph join tm on m <> '' and (contains(p, m) or contains(m, p))
+  union select qid, id from (select *, row_number() over (partition by qid order by c desc, id) as i from nv) where i <= 3 and c >= 0.72),
+e as (select 'b' || item_id as src, 'b' || ((item_id + 7) % 40) as dst from benchmark), w as (select src as x, dst as y from e union all select dst, src from e),
+vi as (select qid, node, 0 as hop from se union select vi.qid, w.y, hop + 1 from vi join w on node = x where hop < 2),
+td as materialized (select 'd' || doc_id as id, doc_id % 40 as item, lower(coalesce(text, '')) as low, {TERMS_SQL("coalesce(text, '')")} as terms, {letter_sql('text')} as v, {RECENCY_SQL(VERSION_SQL)} as recency from documents d),
+tq as materialized (select *, {TERMS_SQL('question')} as asked, {letter_sql("question || ' ' || array_to_string(anchors, ' ')")} as v from a),
+gp as (select distinct vi.qid, td.id from vi join td on node = 'b' || item),
+gn as (select tq.qid, count(gp.id) as graph_n from tq left join gp using (qid) group by tq.qid),
+nr as (select qid, id, c from (select tq.qid, td.id, list_cosine_similarity(tq.v, td.v) as c, row_number() over (partition by tq.qid order by list_cosine_similarity(tq.v, td.v) desc, td.id) as i
+  from tq join gn using (qid), td where graph_n < 2 or len(intents) >= 2) where i <= 30),
+pr as (select qid, id, null::double as c from gp union all select * from nr),
+ms as materialized (select pr.qid, pr.id, c, td.recency, 0.6::double * case when len(anchors) = 0 then 0.0::double else least(len(list_filter(anchors, lambda x: contains(low, lower(x)))) / len(anchors)::double, 1.0::double) end
+  + 0.4::double * len(list_intersect(asked, terms)) / greatest(len(asked), 1)::double as o from pr join tq using (qid) join td using (id)),
+nh as (select qid, id, o, recency, s from (select *, row_number() over (partition by qid order by s desc, id) as i from (select *, 0.65::double * c + 0.25::double * o + 0.1::double * recency as s from ms where c is not null)) where i <= 10),
+cd as (select qid, id, o, 0.6::double * 0.75::double + 0.3::double * o + 0.1::double * recency as s, 'graph' as origin from ms where c is null union all select qid, id, o, 0.6::double * s + 0.3::double * o + 0.1::double * recency, 'vector' from nh),
+mg as (select qid, id, max(s) as s, max(o) as o, min(origin) as origin from cd group by qid, id),
+tp as (select * from (select *, row_number() over (partition by qid order by s desc, id) as i from mg where s >= 0.3) where i <= 4)"""
+
+
+def lettered(spark, sf_dir) -> tuple[DataFrame, ask.Store]:
+    """Questions, and a store of documents as chunks under items as entities, each of which leads to another."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.concat(F.lit("b"), "item_id").alias("id"))
+    entities = b.select("id", F.col("text").alias("name"), letter_vector(F.col("text")).alias("embedding"))
+    edges = b.select(F.col("id").alias("src_id"), F.lit("RELATED_TO").alias("rel_type"), F.concat(F.lit("b"), (F.col("item_id") + 7) % 40).alias("dst_id"))
+    d = table(spark, sf_dir, "documents").withColumn("id", F.concat(F.lit("d"), "doc_id"))
+    version = F.concat(F.lit("2024."), F.lpad((F.col("doc_id") % 6 + 1).cast("string"), 2, "0"))
+    chunks = d.select("id", "text", F.col("source").alias("source_file"), F.col("doc_id").cast("int").alias("source_page"), F.lit("").alias("section"), version.alias("doc_version"), letter_vector(F.col("text")).alias("embedding"))
+    links = d.select(F.concat(F.lit("b"), F.col("doc_id") % 40).alias("node_id"), F.col("id").alias("chunk_id"))
+    terms = b.select("id", F.split_part("text", F.lit(" "), F.lit(3)).alias("term"))
+    store = ask.Store(entities, edges, links, tables.materialise(chunks), terms)
+    store.postings = tables.materialise(postings.postings(store.chunks, ANCHORS))
+    return asked(spark, sf_dir), store
+
+
+def retrieved(spark, sf_dir) -> ask.Retrieved:
+    questions, store = lettered(spark, sf_dir)
+    return ask.retrieve(questions, store, F.lit(AS_OF).cast("date"), encode=letter_vector, keywords=INTENTS, anchors=ANCHORS)
+
+
+@query(RANKED_SQL + """, ft as (select qid, max(o) as fit from tp group by qid)
+select tp.qid, tp.id, origin, round(s, 6) as score, i::int as rank, md5(text) as text_md5 from tp join ft using (qid) join documents on id = 'd' || doc_id where fit >= 0.06""")
+def retrieved_chunks(spark, sf_dir):
+    """The whole retrieval of all questions: linked, walked, sought by vectors, ranked by hashes, texts fetched last."""
+    return retrieved(spark, sf_dir).chunks.select("qid", "id", "origin", F.round("score", 6).alias("score"), "rank", F.md5("text").alias("text_md5"))
+
+
+@query(RANKED_SQL + """, ft as (select qid, max(o) as fit from tp group by qid), vn as (select qid, count(*) as vector_n from nh group by qid)
+select a.qid, len(intents) as intents, graph_n, coalesce(vector_n, 0) as vector_n, round(coalesce(fit, 0), 6) as fit,
+  case when coalesce(fit, 0) < 0.06 then 'no_answer' when graph_n > 0 and coalesce(vector_n, 0) > 0 then 'hybrid' when coalesce(vector_n, 0) > 0 then 'vector' else 'graph' end as method
+from a join gn using (qid) left join vn on vn.qid = a.qid left join ft on ft.qid = a.qid""")
+def retrieved_facts(spark, sf_dir):
+    """What is known of each question after retrieval: intents, chunks by origin, fit and method."""
+    q = retrieved(spark, sf_dir).questions
+    return q.select("qid", F.size("intents").alias("intents"), "graph_n", "vector_n", F.round("fit", 6).alias("fit"), "method")
