@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .catalogue import ANCHOR_SQL, ANCHORS, AS_OF, ASKED, COS_SQL, INTENT_SQL, INTENTS, RECENCY_SQL, SQUEEZE_SQL, TERMS_SQL, VERSION_SQL, asked, query, table, vector_questions
+from .catalogue import ANCHOR_SQL, ANCHORS, AS_OF, ASKED, COS_SQL, INTENT_SQL, INTENTS, RECENCY_SQL, SQUEEZE_SQL, TERMS_SQL, VERSION_SQL, WEB_SQL, asked, query, table, vector_questions
 from .catalogue_more import folder
-from .operators import postings, tables
+from .functions.markup import html_document
+from .operators import graph, postings, route, tables
 from .operators.cells import Index
 from .plans import ask
 from .sources import buckets
@@ -154,3 +155,52 @@ def retrieved_facts(spark, sf_dir):
     """What is known of each question after retrieval: intents, chunks by origin, fit and method."""
     q = retrieved(spark, sf_dir).questions
     return q.select("qid", F.size("intents").alias("intents"), "graph_n", "vector_n", F.round("fit", 6).alias("fit"), "method")
+
+
+# --- paths, redirects -------------------------------------------------------------------------------------
+
+PATHS_SQL = """with recursive e as (select 'n' || n_nationkey as src, 'BELONGS_TO' as rel, 'r' || n_regionkey as dst from nation
+  union all select 'c' || c_custkey, 'LIVES_IN', 'n' || c_nationkey from customer union all select 's' || s_suppkey, 'HANDLES', 'n' || s_nationkey from supplier),
+w as (select src as a, rel, dst as b, src || rel || dst as k from e union all select dst, rel, src, src || rel || dst from e),
+p as (select 'n' || n_nationkey as start, a, rel, b, 1 as hop, [k] as used from nation join w on a = 'n' || n_nationkey
+  union all select p.start, w.a, w.rel, w.b, hop + 1, list_append(used, k) from p join w on w.a = p.b where hop < HOPS and not list_contains(used, k))
+select start, rel as rel_type, b as end, hop from (select *, row_number() over (partition by start order by hop, rel, b) as i from p) where i <= 300"""
+
+
+def paths(spark, sf_dir, hops: int) -> DataFrame:
+    """Paths from every nation among regions, customers and suppliers: the 300 of graph retrieval."""
+    edge = lambda name, a, rel, b: table(spark, sf_dir, name).select(a.alias("src_id"), F.lit(rel).alias("rel_type"), b.alias("dst_id"))
+    key = lambda letter, column: F.concat(F.lit(letter), column)
+    edges = edge("nation", key("n", "n_nationkey"), "BELONGS_TO", key("r", "n_regionkey"))
+    edges = edges.unionByName(edge("customer", key("c", "c_custkey"), "LIVES_IN", key("n", "c_nationkey"))).unionByName(edge("supplier", key("s", "s_suppkey"), "HANDLES", key("n", "s_nationkey")))
+    return graph.neighbours(edges, table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("start")), hops)
+
+
+@query(PATHS_SQL.replace("HOPS", "2"))
+def graph_paths_two_hops(spark, sf_dir):
+    return paths(spark, sf_dir, 2)
+
+
+@query(PATHS_SQL.replace("HOPS", "3"))
+def graph_paths_three_hops(spark, sf_dir):
+    return paths(spark, sf_dir, 3)
+
+
+@query("""with recursive r as (select 'u' || page_id as url, case when page_id % 20 < 19 and page_id < (select max(page_id) from pages) then 'u' || (page_id + 1)
+    when page_id // 20 % 3 = 0 then url when page_id // 20 % 3 = 1 then 'u' || (page_id // 20 * 20) end as target from pages),
+f as (select url as origin, target as goal, 1 as n from r union all select origin, target, n + 1 from f join r on r.url = f.goal where n < 25 and r.url <> coalesce(r.target, '')),
+l as (select origin, arg_max(coalesce(goal, ''), n) as goal, max(n) as n from f group by origin)
+select origin as url, case when n = 25 then '' else goal end as final_url from l""")
+def redirect_chains(spark, sf_dir):
+    """Chains of up to 20 redirects between pages, of which some end at a page, some fail and some are circles."""
+    p, last = table(spark, sf_dir, "pages"), table(spark, sf_dir, "pages").agg(F.max("page_id").alias("last"))
+    block, next_ = F.expr("page_id div 20"), F.concat(F.lit("u"), F.col("page_id") + 1)
+    end = F.when(block % 3 == 0, F.col("url")).when(block % 3 == 1, F.concat(F.lit("u"), block * 20))
+    target = F.when((F.col("page_id") % 20 < 19) & (F.col("page_id") < F.col("last")), next_).otherwise(end)
+    return route.final_urls(p.join(F.broadcast(last), F.lit(True)).select(F.concat(F.lit("u"), "page_id").alias("url"), target.alias("final_url")))
+
+
+@query(f"select page_id, replace(replace({WEB_SQL}, '&copy;', '©'), '&middot;', '·') as text from pages")
+def page_document_text(spark, sf_dir):
+    """Text of pages by a parser."""
+    return table(spark, sf_dir, "pages").select("page_id", html_document(F.col("html")).alias("text"))

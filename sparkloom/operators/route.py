@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions.text import allowed_host, contains_any, disclaimer, has_foreign_script, html_text, is_stale, message, style, title_from_url, variants
 from .link import contained
-from .tables import pick
+from .tables import materialise, pick
 
 R = rules.RANKING
 
@@ -34,19 +36,39 @@ def with_variants(questions: DataFrame, suffixes: dict[str, list[str]] | None =
     return questions.select("*", F.posexplode(variants(F.col("question"), None, suffixes)).alias("variant", "phrase"))
 
 
-def snippets(hits: DataFrame, suffixes: str = rules.HOST_SUFFIXES, k: int = 3, widen: int = 3, most: int = 1200) -> DataFrame:
+def snippets(hits: DataFrame, suffixes: str = rules.HOST_SUFFIXES, k: int = 3, widen: int = 3, most: int = 1200, read: Callable[[Column], Column] = html_text) -> DataFrame:
     """(qid, rank, url, title, snippet) of ranked pages (qid, ord, url, html): of the first widen * k results with an
-    http address, those whose host is allowed and whose text is not empty, at most k."""
+    http address, those whose host is allowed and whose text is not empty, at most k. read: what a page's text is; by default
+    an expression that knows common entities only, functions.markup.html_document parses."""
     http = hits.where(F.col("url").startswith("http"))
     first = http.withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy("ord"))).where(F.col("_i") <= widen * k)
-    good = first.where(allowed_host(F.col("url"), suffixes)).withColumn("snippet", F.substring(html_text(F.col("html")), 1, most)).where("snippet <> ''")
+    good = first.where(allowed_host(F.col("url"), suffixes)).withColumn("snippet", F.substring(read(F.col("html")), 1, most)).where("snippet <> ''")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("_i"))
     return good.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "url", title_from_url(F.col("url")).alias("title"), "snippet")
 
 
+def final_urls(redirects: DataFrame) -> DataFrame:
+    """(url, final_url) of redirects (url, final_url), followed to their end.
+
+    A null target failed: it and all that lead to it are empty. An address that leads to itself is an end; a longer circle
+    has none, so all of it and all that lead into it are empty. Of several targets of an address the smallest counts.
+    Each round doubles the steps: what has not ended after as many as there are addresses is in a circle.
+    """
+    known = redirects.where("url is not null").groupBy("url").agg(F.coalesce(F.min("final_url"), F.lit("")).alias("at"))
+    at = materialise(known.withColumn("done", (F.col("at") == F.col("url")) | (F.col("at") == "")))
+    for _ in range(max(1, at.count()).bit_length() + 1):
+        going = at.where("not done")
+        if going.isEmpty():
+            break
+        onward = at.select(F.col("url").alias("at"), F.col("at").alias("_next"), F.col("done").alias("_done"))
+        moved = going.drop("done").join(onward, "at", "left").select("url", F.coalesce("_next", "at").alias("at"), F.coalesce("_done", F.lit(True)).alias("done"))
+        at = materialise(at.where("done").unionByName(moved))
+    return at.select("url", F.when(F.col("done"), F.col("at")).otherwise("").alias("final_url"))
+
+
 def resolve_urls(hits: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Addresses after redirects (url, final_url); an address whose target is null failed and becomes empty."""
-    known = redirects.select(F.col("url").alias("_u"), F.coalesce("final_url", F.lit("")).alias("_f"))
+    """Addresses after all redirects (url, final_url); an address whose chain failed or never ends becomes empty."""
+    known = final_urls(redirects).select(F.col("url").alias("_u"), F.col("final_url").alias("_f"))
     return hits.join(known, F.col("url") == F.col("_u"), "left").withColumn("url", F.coalesce("_f", "url")).drop("_u", "_f")
 
 
