@@ -21,13 +21,22 @@ class _Text(HTMLParser):
         self.parts: list[str] = []
         self.silent: list[str] = []
 
+    def _apart(self) -> None:
+        if not self.silent:
+            self.parts.append(" ")
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._apart()
         if tag in SILENT:
             self.silent.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.silent:  # with what was left open inside it
             del self.silent[self.silent.index(tag) :]
+        self._apart()
+
+    def handle_comment(self, data: str) -> None:
+        self._apart()
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -35,12 +44,12 @@ class _Text(HTMLParser):
 
 
 def page_text(html: str) -> str:
-    """The text of a page: stripped pieces with a space between them, white space squeezed. What a page leaves open ends
-    with it."""
+    """The text of a page, a space where tags and comments stand, white space squeezed. What a page leaves open ends with
+    it."""
     parser = _Text()
     parser.feed(html)
     parser.close()
-    return " ".join(" ".join(parser.parts).split())
+    return " ".join("".join(parser.parts).split())
 
 
 def html_document(html: Column) -> Column:
