@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .catalogue import ANCHOR_SQL, ANCHORS, AS_OF, ASKED, COS_SQL, INTENT_SQL, INTENTS, RECENCY_SQL, SQUEEZE_SQL, TERMS_SQL, VERSION_SQL, WEB_SQL, asked, query, table, vector_questions
+from .catalogue import ANCHOR_SQL, ANCHORS, AS_OF, ASKED, COS_SQL, INTENT_SQL, INTENTS, ORACLES, RECENCY_SQL, SQUEEZE_SQL, TERMS_SQL, VERSION_SQL, WEB_SQL, asked, order_triples, query, table, vector_questions
 from .catalogue_more import folder
 from .functions.markup import html_document
 from .operators import graph, postings, route, tables
 from .operators.cells import Index
 from .plans import ask
 from .sources import buckets
+from .streaming import live
 
 
 def stored_orders(spark, sf_dir) -> buckets.Table:
@@ -204,3 +205,45 @@ def redirect_chains(spark, sf_dir):
 def page_document_text(spark, sf_dir):
     """Text of pages by a parser."""
     return table(spark, sf_dir, "pages").select("page_id", html_document(F.col("html")).alias("text"))
+
+
+# --- streams and measurements -----------------------------------------------------------------------------
+
+
+@query("""with e as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as i from e)
+select user_id as who, min(ts)::timestamp as start, (max(ts) + interval '30 minutes')::timestamp as end, count(*) as n, round(sum(value), 4) as total from s group by user_id, i""")
+def event_sessions(spark, sf_dir):
+    """Sessions of users: the batch form of streaming.live.sessions()."""
+    out = live.sessions(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("""select (time_bucket(interval '1 hour', ts) - h * interval '1 hour')::timestamp as start, event_type as path, count(*) as n, round(sum(value), 4) as total, max(value) as high
+from events, (values (0), (1), (2)) x(h) group by 1, 2""")
+def latency_windows_sliding(spark, sf_dir):
+    """Windows of three hours, one each hour."""
+    log = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("path"), F.col("value").alias("elapsed_sec"))
+    out = live.latency_windows(log, "3 hours", slide="1 hour").withColumn("total", F.round("total", 4))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""select event_type as path, count(*) as n, round(avg(value), 6) as mean, min(value) as low, max(value) as high, true as within from events group by 1""")
+def latency_from_kept_windows(spark, sf_dir):
+    """Days' sketches, kept and then merged by path; whether the median's rank is within one percent of the middle."""
+    log = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("path"), F.col("value").alias("elapsed_sec"))
+    kept = tables.materialise(route.latency_sketches(log, ["path", "day"]))
+    out = tables.materialise(route.latency_from_sketches(kept))
+    below = log.join(F.broadcast(out.select("path", "median")), "path").groupBy("path").agg(F.count_if(F.col("elapsed_sec") < F.col("median")).alias("below"), F.count_if(F.col("elapsed_sec") <= F.col("median")).alias("upto"), F.count("elapsed_sec").alias("m"))
+    within = (F.col("below") <= 0.51 * F.col("m")) & (F.col("upto") >= 0.49 * F.col("m"))
+    return out.join(below, "path").select("path", "n", F.round("mean", 6).alias("mean"), "low", "high", within.alias("within"))
+
+
+@query(ORACLES["endpoint_counts"])
+def observed_counts(spark, sf_dir):
+    """What the load of edges counts on its way: the same as a pass of its own."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    parts = table(spark, sf_dir, "part").where("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    counted = tables.Counted(order_triples(spark, sf_dir), orders.union(parts))
+    tables.materialise(counted.rows)
+    return spark.createDataFrame([tuple(counted.counts().values())], "n long, low long, dangling long")

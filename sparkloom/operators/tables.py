@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from .. import rules
 
@@ -131,6 +131,23 @@ def fill_embeddings(chunks: DataFrame, encode, vector: str = "embedding") -> Dat
     return some.unionByName(none.withColumn(vector, encode(F.col("text"))))
 
 
+class Counted:
+    """Triples on their way to a table of edges: `rows` are those that are confident enough and whose ends are nodes; once
+    an action has run over them, counts() has how many came, how many were low, and how many dangle, as that action
+    saw them."""
+
+    def __init__(self, triples: DataFrame, nodes: DataFrame, least: float = rules.CONFIDENCE):
+        self._came, self._kept = Observation(), Observation()
+        low = ~F.coalesce(F.col("confidence") >= least, F.lit(False))
+        seen = triples.observe(self._came, F.count(F.lit(1)).alias("n"), F.count_if(low).alias("low"))
+        good = existing_ends(split_review(seen, least)[0], nodes, ["subject_id", "object_id"])
+        self.rows = good.observe(self._kept, F.count(F.lit(1)).alias("kept"))
+
+    def counts(self) -> dict[str, int]:
+        came = self._came.get
+        return {"n": came["n"], "low": came["low"], "dangling": came["n"] - came["low"] - self._kept.get["kept"]}
+
+
 def by_endpoint_count(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: triples, those below the confidence threshold, those that dangle."""
     good, _ = split_review(triples)

@@ -68,20 +68,22 @@ def stored_tables(spark, folder: str, parts: int = 64, files: int = 4) -> dict[s
 def store(spark, folder: str, new: dict[str, DataFrame], parts: int = 64, files: int = 4) -> dict[str, DataFrame]:
     """load() into stored tables, in that order, so that ends are looked up among what is stored. Only the parts into which
     new rows fall are rewritten. A chunk has the file it came from in its id, so its place never changes. A rerun writes
-    the same rows."""
+    the same rows. `counts` has one row: triples, those that wait for review, those that dangle, as the write saw them."""
     kept = stored_tables(spark, folder, parts, files)
     kept["chunks"].upsert(new["chunks"], columns=buckets.keep_first())
     kept["entities"].upsert(new["entities"], buckets.gate())
-    good, queued = tables.split_review(new["triples"])
+    _, queued = tables.split_review(new["triples"])
     nodes, chunks = kept["entities"].rows().select("id"), kept["chunks"].rows().select("id")
-    edges = tables.existing_ends(tables.with_properties(good), nodes, ["subject_id", "object_id"])
-    edges = edges.withColumnsRenamed({"subject_id": "src_id", "predicate": "rel_type", "object_id": "dst_id"})
+    counted = tables.Counted(tables.with_properties(new["triples"]), nodes)
+    edges = counted.rows.withColumnsRenamed({"subject_id": "src_id", "predicate": "rel_type", "object_id": "dst_id"})
     rest = [c for c in edges.columns if c not in LAYOUT["edges"][0]]
-    kept["edges"].upsert(tables.pick(edges, LAYOUT["edges"][0], [F.desc("confidence"), *[F.asc(c) for c in rest]]), columns=buckets.keep_known(["confidence"]))
+    edges = tables.materialise(tables.pick(edges, LAYOUT["edges"][0], [F.desc("confidence"), *[F.asc(c) for c in rest]]))
+    kept["edges"].upsert(edges, columns=buckets.keep_known(["confidence"]))
     links = tables.existing_ends(tables.existing_ends(new["links"], nodes, ["node_id"]), chunks, ["chunk_id"])
     kept["links"].upsert(tables.pick(links, LAYOUT["links"][0], [F.desc("confidence")]))
     kept["queue"].upsert(tables.pick(queued, LAYOUT["queue"][0], [F.desc("confidence")]))
-    return {k: t.rows() for k, t in kept.items()}
+    counts = spark.createDataFrame([tuple(counted.counts().values())], "n long, low long, dangling long")
+    return {k: t.rows() for k, t in kept.items()} | {"counts": counts}
 
 
 def new_pages(raw: DataFrame, loaded: DataFrame) -> DataFrame:

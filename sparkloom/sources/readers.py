@@ -67,8 +67,16 @@ def latency_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("corrupt is null").drop("corrupt"), rows.where("corrupt is not null").select("corrupt")
 
 
-def append_latency(rows: DataFrame, path: str) -> None:
-    rows.withColumn("best_score", F.round("best_score", 4)).write.mode("append").json(path)
+def append_latency(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add rows to a log. batch: the number of the stream's batch they are; run again, it replaces what it added before."""
+    _append(rows.withColumn("best_score", F.round("best_score", 4)), path, batch)
+
+
+def _append(rows: DataFrame, path: str, batch: int | None) -> None:
+    if batch is None:
+        rows.write.mode("append").json(path)
+    else:
+        rows.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def review_queue(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
@@ -76,9 +84,10 @@ def review_queue(spark: SparkSession, path: str, whole: bool = False) -> DataFra
     return spark.read.schema(REVIEW).option("multiLine", whole).json(path)
 
 
-def append_review(triples: DataFrame, path: str, created_at: Column) -> None:
+def append_review(triples: DataFrame, path: str, created_at: Column, batch: int | None = None) -> None:
+    """Add triples to a queue; batch as in append_latency()."""
     cols = ["subject_id", "predicate", "object_id", "confidence", "source"]
-    triples.select(*cols, created_at.cast("string").alias("created_at")).write.mode("append").json(path)
+    _append(triples.select(*cols, created_at.cast("string").alias("created_at")), path, batch)
 
 
 def cached_embeddings(chunks: DataFrame, cache: DataFrame, encode: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
