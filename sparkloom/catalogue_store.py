@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import rules
 from .catalogue import ANCHOR_SQL, ANCHORS, AS_OF, ASKED, COS_SQL, INTENT_SQL, INTENTS, ORACLES, RECENCY_SQL, SQUEEZE_SQL, TERMS_SQL, VERSION_SQL, WEB_SQL, asked, order_triples, query, table, vector_questions
-from .catalogue_more import folder
+from .catalogue_more import folder, quoted
 from .functions.markup import html_document
-from .operators import graph, postings, route, tables
+from .operators import extract, graph, postings, route, tables, vector
 from .operators.cells import Index
 from .plans import ask
-from .sources import buckets
+from .sources import buckets, readers
 from .streaming import live
 
 
@@ -247,3 +248,36 @@ def observed_counts(spark, sf_dir):
     counted = tables.Counted(order_triples(spark, sf_dir), orders.union(parts))
     tables.materialise(counted.rows)
     return spark.createDataFrame([tuple(counted.counts().values())], "n long, low long, dangling long")
+
+
+# --- models, files, links ---------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, md5({quoted(extract.instructions(rules.EXTRACTION_ASK))} || chr(10) || '[Source: ' || coalesce(source, '') || ']' || chr(10) || chr(10) || substring(coalesce(text, ''), 1, 3000)) as prompt from documents")
+def extraction_prompts(spark, sf_dir):
+    """What a model is asked of each document, as a digest."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(extract.extraction_prompt(F.col("text"), F.col("source"))).alias("prompt"))
+
+
+@query("select n_name as id, n_name as name, 'Topic' as label, 0.8::double as confidence, 'image/png' as seen from nation")
+def image_extraction(spark, sf_dir):
+    """Pictures read by a model function that answers with a nation for each line that it sees."""
+    path = folder(spark)
+    table(spark, sf_dir, "nation").select("n_name").write.text(path)
+    box = lambda n: F.struct(n.alias("id"), F.lit("Topic").alias("type"))
+    lines = lambda data: F.filter(F.split(F.decode(F.unbase64(data), "utf-8"), "\n"), lambda x: x != "")
+    model = lambda told, mime, data: F.to_json(F.struct(F.transform(lines(data), box).alias("entities")))
+    pictures = readers.images(spark, path)
+    found = extract.reply_entities(extract.image_replies(pictures, model))
+    return found.join(pictures.select(F.col("path").alias("chunk_id"), "mime"), "chunk_id").select("id", "name", "label", "confidence", F.col("mime").alias("seen"))
+
+
+@query(f"""with n as (select a.vec_id as qid, b.vec_id as id, {COS_SQL} as c, row_number() over (partition by a.vec_id order by {COS_SQL} desc, b.vec_id) as i
+  from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select qid, id, round(c, 6) as cosine, i::int as rank from n where i <= 3 and c >= 0.3""")
+def entity_link_others(spark, sf_dir):
+    """Entities near a question that is itself no entity: its own row is left out, the order and a lower threshold count."""
+    entities = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    near = vector.nearest(vector_questions(spark, sf_dir), entities, 4).where("qid <> id and cosine >= 0.3")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    return near.withColumn("rank", rank).where("rank <= 3").select("qid", "id", F.round("cosine", 6).alias("cosine"), "rank")

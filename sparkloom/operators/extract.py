@@ -44,9 +44,29 @@ def without_rules(chunks: DataFrame, *found: DataFrame) -> DataFrame:
     return chunks
 
 
-def replies(chunks: DataFrame, model, most: int = 3000) -> DataFrame:
-    """(chunk_id, source, source_page, reply) from model(Column) -> Column on the first characters of each chunk."""
-    return chunks.select(F.col("id").alias("chunk_id"), F.col("source_file").alias("source"), "source_page", model(F.substring("text", 1, most)).alias("reply"))
+def instructions(ask: str, form: str = rules.REPLY_FORM, labels: list[str] | None = None, predicates: list[str] | None = None) -> str:
+    """What a model is told before it sees a chunk or a picture: the task, the form of its reply, and the types of entities
+    and relations that count; replies with others lose them when they are parsed."""
+    return "\n".join([ask, f"Form: {form}", "Types: " + ", ".join(labels or rules.NODE_LABELS), "Predicates: " + ", ".join(predicates or rules.PREDICATES)])
+
+
+def extraction_prompt(text: Column, source: Column, most: int = 3000, told: str | None = None) -> Column:
+    """Instructions, where the text is from, and its first characters. A null text is empty."""
+    return F.concat(F.lit((told or instructions(rules.EXTRACTION_ASK)) + "\n[Source: "), F.coalesce(source, F.lit("")), F.lit("]\n\n"), F.substring(F.coalesce(text, F.lit("")), 1, most))
+
+
+def replies(chunks: DataFrame, model, most: int = 3000, prompted: bool = False) -> DataFrame:
+    """(chunk_id, source, source_page, reply) from model(Column) -> Column on the first characters of each chunk, or on
+    extraction_prompt() with them."""
+    seen = extraction_prompt(F.col("text"), F.col("source_file"), most) if prompted else F.substring("text", 1, most)
+    return chunks.select(F.col("id").alias("chunk_id"), F.col("source_file").alias("source"), "source_page", model(seen).alias("reply"))
+
+
+def image_replies(images: DataFrame, model, told: str | None = None) -> DataFrame:
+    """As replies(), from pictures (path, mime, data): model(instructions, mime, data in base64) -> reply, Columns all. The
+    path stands for the chunk, the file's name for the source. Where the model fails (null) nothing is found."""
+    asked = F.lit(told or instructions(rules.PICTURE_ASK))
+    return images.select(F.col("path").alias("chunk_id"), F.regexp_extract("path", "[^/]*$", 0).alias("source"), F.lit(None).cast("int").alias("source_page"), model(asked, F.col("mime"), F.col("data")).alias("reply"))
 
 
 def parsed(reply: Column) -> Column:

@@ -143,3 +143,11 @@ class Ranking:
 
 
 RANKING = Ranking()
+
+#: What a model is asked for when chunks or pictures are read by it; every function that uses them takes others.
+EXTRACTION_ASK = "Read the text and list the entities and relations it states, as one JSON object and nothing else."
+PICTURE_ASK = "Read the flow chart and list its boxes as entities and its arrows as relations, as one JSON object and nothing else."
+REPLY_FORM = (
+    '{"entities": [{"id", "name", "type", "domain", "aliases", "summary", "confidence"}], '
+    '"relations": [{"subject_id", "predicate", "object_id", "condition", "confidence", "source_text"}]}'
+)

@@ -15,24 +15,26 @@ LATENCY = "ts string, agent string, path string, elapsed_sec double, best_score
 REVIEW = "subject_id string, predicate string, object_id string, confidence double, source string, created_at string"
 
 
-def page_files(spark: SparkSession, folder: str, parse: Callable[[bytes], Iterable[str]], glob: str = "*.pdf") -> DataFrame:
+def page_files(spark: SparkSession, folder: str, parse: Callable[[bytes], Iterable[str]], glob: str = "*.pdf", errors: bool = False) -> DataFrame:
     """(source_file, source_page, text) of the pages of all files of a folder; parse gives the texts of a file's
-    pages, one after the other. A file that parse fails on gives the pages before that. Parsers are not part of this
-    package."""
+    pages, one after the other. A file that parse fails on gives the pages before that; errors: and then a row without a
+    text, whose `error` says where and why. Parsers are not part of this package."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
+                name, i = path.rsplit("/", 1)[-1], 0
                 try:
                     for i, t in enumerate(parse(content), 1):
-                        rows.append((path.rsplit("/", 1)[-1], i, t))
-                except Exception:  # a broken file must not end the job
-                    continue
-            yield pd.DataFrame(rows, columns=["source_file", "source_page", "text"])
+                        rows.append((name, i, t, None))
+                except Exception as e:  # a broken file must not end the job
+                    rows += [(name, i + 1, None, f"{type(e).__name__}: {e}")] if errors else []
+            yield pd.DataFrame(rows, columns=["source_file", "source_page", "text", "error"], dtype=None if rows else object)[columns]
 
+    columns = ["source_file", "source_page", "text", "error"][: 4 if errors else 3]
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
-    return files.mapInPandas(run, "source_file string, source_page int, text string")
+    return files.mapInPandas(run, "source_file string, source_page int, text string" + ", error string" * errors)
 
 
 def carry_sections(pages: DataFrame, file: str = "source_file", page: str = "source_page", found: str = "section") -> DataFrame:

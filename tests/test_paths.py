@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.markup import html_document, page_text
 from sparkloom.functions.text import keyword_overlap
-from sparkloom.operators import graph, link, postings, route
+from sparkloom.operators import extract, graph, link, postings, route
 from sparkloom.operators.tables import materialise
+from sparkloom.sources import readers
 
 
 def plain_paths(edges, starts, hops, cap):
@@ -102,3 +103,30 @@ def test_pages_as_a_parser_reads_them(spark):
     df = spark.createDataFrame([(h,) for h in PAGES] + [(None,)], "html string")
     assert {r.html: r.t for r in df.select("html", html_document(F.col("html")).alias("t")).collect()} == PAGES | {None: None}
     assert page_text("<p>" * 100_000 + "deep") == "deep" and page_text("<" * 50_000) == "<" * 50_000
+
+
+def test_broken_files_say_why(spark, tmp_path):
+    for name, content in (("a.txt", "one\ntwo"), ("b.txt", "one\n!\nthree"), ("c.txt", "!")):
+        (tmp_path / name).write_text(content)
+
+    def parse(content):
+        for line in content.decode().split("\n"):
+            if line == "!":
+                raise ValueError("no page")
+            yield line
+
+    rows = lambda **how: sorted(tuple(r) for r in readers.page_files(spark, str(tmp_path), parse, "*.txt", **how).fillna("-").collect())
+    assert rows() == [("a.txt", 1, "one"), ("a.txt", 2, "two"), ("b.txt", 1, "one")]
+    assert rows(errors=True) == [("a.txt", 1, "one", "-"), ("a.txt", 2, "two", "-"), ("b.txt", 1, "one", "-"), ("b.txt", 2, "-", "ValueError: no page"), ("c.txt", 1, "-", "ValueError: no page")]
+
+
+def test_models_are_asked_with_instructions(spark):
+    chunks = spark.createDataFrame([("c1", "text of it", "a.pdf", 1)], "id string, text string, source_file string, source_page int")
+    echo = lambda c: F.to_json(F.struct(F.array(F.struct(c.alias("id"))).alias("entities")))
+    told = extract.reply_entities(extract.replies(chunks, echo, prompted=True)).first().id
+    assert told.endswith("[Source: a.pdf]\n\ntext of it") and "RELATED_TO" in told and "Procedure" in told
+    assert extract.reply_entities(extract.replies(chunks, echo)).first().id == "text of it"
+    pictures = spark.createDataFrame([("file:/x/p.png", "image/png", "QQ=="), ("file:/x/q.png", "image/png", None)], "path string, mime string, data string")
+    see = lambda told, mime, data: F.when(data.isNotNull(), F.to_json(F.struct(F.array(F.struct(F.concat(mime, F.lit(" "), data).alias("id"))).alias("entities"))))
+    got = extract.reply_entities(extract.image_replies(pictures, see)).collect()
+    assert [(r.chunk_id, r.source, r.id) for r in got] == [("file:/x/p.png", "p.png", "image/png QQ==")]
