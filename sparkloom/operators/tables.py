@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from .. import rules
@@ -137,6 +138,7 @@ class Counted:
     saw them."""
 
     def __init__(self, triples: DataFrame, nodes: DataFrame, least: float = rules.CONFIDENCE):
+        self._again = lambda: by_endpoint_count(triples, nodes, least)
         self._came, self._kept = Observation(), Observation()
         low = ~F.coalesce(F.col("confidence") >= least, F.lit(False))
         seen = triples.observe(self._came, F.count(F.lit(1)).alias("n"), F.count_if(low).alias("low"))
@@ -144,14 +146,17 @@ class Counted:
         self.rows = good.observe(self._kept, F.count(F.lit(1)).alias("kept"))
 
     def counts(self) -> dict[str, int]:
-        came = self._came.get
-        return {"n": came["n"], "low": came["low"], "dangling": came["n"] - came["low"] - self._kept.get["kept"]}
+        try:
+            came, kept = self._came.get, self._kept.get["kept"]
+        except Py4JJavaError:  # Spark drops the counters of a plan that turns out to be empty while it runs
+            return self._again().first().asDict()
+        return {"n": came["n"], "low": came["low"], "dangling": came["n"] - came["low"] - kept}
 
 
-def by_endpoint_count(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+def by_endpoint_count(triples: DataFrame, nodes: DataFrame, least: float = rules.CONFIDENCE) -> DataFrame:
     """One row: triples, those below the confidence threshold, those that dangle."""
-    good, _ = split_review(triples)
+    good, _ = split_review(triples, least)
     kept = existing_ends(good, nodes, ["subject_id", "object_id"]).agg(F.count("*").alias("kept"))
-    counts = triples.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("confidence") >= rules.CONFIDENCE, F.lit(False))).alias("low"))
+    counts = triples.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("confidence") >= least, F.lit(False))).alias("low"))
     # two one-row tables side by side
     return counts.join(kept, F.lit(True)).select("n", "low", (F.col("n") - F.col("low") - F.col("kept")).alias("dangling"))

@@ -67,8 +67,9 @@ def test_overlap_from_hashes_equals_that_from_texts(spark, sf):
     chunks = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.lit("2024.01").alias("doc_version"))
     q = spark.createDataFrame([(1, "The the tion of An", ["tion", "An "]), (2, "", []), (3, "is it and", ["ée"])], "qid int, question string, anchors array<string>")
     pairs = chunks.select("id").join(q.select("qid"), F.lit(True))
-    plan = postings.measured(pairs, postings.question_terms(q), materialise(postings.postings(chunks, anchors)), F.lit("2024-07-01").cast("date"))
-    got = {(r.qid, r.id): round(r.overlap, 9) for r in plan.collect()}
+    table, as_of = materialise(postings.postings(chunks, anchors)), F.lit("2024-07-01").cast("date")
+    got, other = ({(r.qid, r.id): round(r.overlap, 9) for r in postings.measured(pairs, postings.question_terms(q), table, as_of, most).collect()} for most in (postings.ASKED_BYTES, 0))
+    assert got == other
     plain = chunks.join(q, F.lit(True)).select("qid", "id", keyword_overlap(F.coalesce("text", F.lit("")), F.col("question"), F.col("anchors")).alias("o"))
     assert got == {(r.qid, r.id): round(r.o, 9) for r in plain.collect()}
 

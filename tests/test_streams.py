@@ -119,3 +119,5 @@ def test_counts_come_from_the_write(spark):
     plan = counted.rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ExistingRDD[subject_id") == 1  # one scan of the triples
     assert tables.materialise(counted.rows).count() == 1 and counted.counts() == {"n": 4, "low": 2, "dangling": 1}
+    none = tables.Counted(triples, spark.createDataFrame([("z",)], "id string"))
+    assert tables.materialise(none.rows).count() == 0 and none.counts() == {"n": 4, "low": 2, "dangling": 2}
