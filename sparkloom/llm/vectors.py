@@ -21,6 +21,8 @@ MARGIN = 1e-4
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 65_536, 256, 16_384
 #: The most cells that the first splits cut all rows into; a cell has one shard or more. Scores held at once.
 CELLS, SCORES = 256, 1 << 22
+#: Rows with a vector that a task hands on at once.
+SENT_ROWS = 4096
 #: A subtree is skipped if its least distance times a factor exceeds the distance of the k-th found; 1 is exact.
 #: Unless it is given, the factor is the largest of FACTORS with which about TRIALS sampled queries find WANTED of
 #: their neighbours in the index.
@@ -495,7 +497,10 @@ class Index:
                     wanted = (cells.least(lifted, low, high) * relax <= reach[:, None]) & (np.arange(cells.count)[None, :] != own[:, None])
                 i, c = np.nonzero(wanted)
                 i, c, deal = np.repeat(i, shards[c]), np.repeat(c, shards[c]), np.concatenate([np.arange(0), *(np.arange(shards[x]) for x in c)])
-                yield pd.DataFrame({"id": rows["id"].to_numpy()[i], "v": rows["v"].to_numpy()[i], "shard": c << 32 | deal})
+                ids, vectors, shard = rows["id"].to_numpy(), rows["v"].to_numpy(), c << 32 | deal
+                for lo in range(0, max(1, len(i)), SENT_ROWS):  # a query goes to as many shards as it must
+                    part = slice(lo, lo + SENT_ROWS)
+                    yield pd.DataFrame({"id": ids[i[part]], "v": vectors[i[part]], "shard": shard[part]})
 
         def visit(routed: DataFrame) -> DataFrame:
             # a task holds one tree and one block of its queries
