@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import rules
-from .catalogue import ANCHOR_SQL, ANCHORS, AS_OF, ASKED, COS_SQL, INTENT_SQL, INTENTS, ORACLES, RECENCY_SQL, SQUEEZE_SQL, TERMS_SQL, VERSION_SQL, WEB_SQL, asked, order_triples, query, table, vector_questions
+from .catalogue import ANCHOR_SQL, ANCHORS, AS_OF, ASKED, COS_SQL, HOSTS, INTENT_SQL, INTENTS, ORACLES, RECENCY_SQL, SQUEEZE_SQL, TERMS_SQL, VERSION_SQL, WEB_SQL, asked, order_triples, query, table, vector_questions
 from .catalogue_more import folder, quoted
 from .functions.markup import html_document
 from .operators import extract, graph, postings, route, tables, vector
@@ -281,3 +281,13 @@ def entity_link_others(spark, sf_dir):
     near = vector.nearest(vector_questions(spark, sf_dir), entities, 4).where("qid <> id and cosine >= 0.3")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     return near.withColumn("rank", rank).where("rank <= 3").select("qid", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(ORACLES["web_context"].replace(WEB_SQL, f"replace(replace({WEB_SQL}, '&copy;', '©'), '&middot;', '·')"))
+def web_context_parsed(spark, sf_dir):
+    """What the web gives the questions that want it, pages read by a parser."""
+    p = table(spark, sf_dir, "pages")
+    leads = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://example.org/"), "page_id"))
+    hits = p.select((F.col("page_id") % 10).alias("qid"), F.col("page_id").alias("ord"), "url", "html")
+    web = ask.Web(hits, p.where("page_id % 3 < 2").select("url", leads.alias("final_url")), ",".join(HOSTS), html_document)
+    return ask.web_lines(web, spark.range(0, 10, 2).select(F.col("id").alias("qid")))
