@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.markup import html_document, page_text
 from sparkloom.functions.text import keyword_overlap
-from sparkloom.operators import extract, graph, link, postings, route
+from sparkloom.operators import extract, graph, link, postings, rank, route
 from sparkloom.operators.tables import materialise
 from sparkloom.plans import ask
 from sparkloom.sources import readers
@@ -87,6 +87,28 @@ def test_overlap_from_hashes_equals_that_from_texts(spark, sf):
     assert got == {(r.qid, r.id): round(r.o, 9) for r in plain.collect()}
 
 
+@pytest.mark.parametrize("parts, table", [(None, 1 << 25), ((2, 3), 40), ((1, 1), 4000)])
+def test_best_linked_chunks_without_their_pairs(spark, sf, monkeypatch, parts, table):
+    monkeypatch.setattr(postings, "TABLE_BYTES", table)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 90")
+    known, as_of = {"x": ["tion", "An "], "y": ["ée"]}, F.lit("2024-07-01").cast("date")
+    chunks = docs.select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("2024.0"), F.col("doc_id") % 3 + 4).alias("doc_version"))
+    chunks = chunks.unionByName(chunks.where("id < 30").withColumn("id", F.col("id") + 1000))  # texts that tie
+    links = chunks.select(F.concat(F.lit("n"), F.col("id") % 5).alias("node_id"), F.col("id").alias("chunk_id"))
+    links = links.unionByName(links.where("chunk_id % 2 = 0").withColumn("node_id", F.lit("n0"))).unionByName(links.limit(1).withColumn("chunk_id", F.lit(-1).cast("long")))
+    q = chunks.where("id % 9 = 0").select(F.col("id").alias("qid"), F.substring("text", 1, 90).alias("question"), F.when(F.col("id") % 2 == 0, F.array(F.lit("tion"), F.lit("An "))).otherwise(F.array().cast("array<string>")).alias("anchors"))
+    q = q.unionByName(spark.createDataFrame([(5000, "", [])], q.schema))
+    visited = q.select("qid", F.explode(F.array(F.concat(F.lit("n"), F.col("qid") % 5), F.concat(F.lit("n"), F.col("qid") % 2), F.lit("none"))).alias("node")).where("qid <> 9")
+    kept, asked = materialise(postings.postings(chunks, known)), postings.question_terms(q)
+    pairs = materialise(postings.measured(graph.chunk_ids(visited, links), asked, kept, as_of))
+    best, counts = postings.best_linked(visited, links, asked, kept, as_of, parts=parts)
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in pairs.groupBy("qid").count().collect()}
+    none = materialise(pairs.limit(0).withColumn("score", F.lit(0.0)))
+    top = lambda rows: {(r.qid, r.id, r["rank"], r.score) for r in rank.top_candidates(postings.merged(rows, none)).collect()}
+    assert top(postings.measured(best, asked, kept, as_of)) == top(pairs)
+    assert best.count() < pairs.count()
+
+
 def test_no_text_is_shuffled_to_rank(spark, sf):
     chunks = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.lit("2024.01").alias("doc_version"))
     q = postings.question_terms(spark.createDataFrame([(1, "of it", ["tion"])], "qid int, question string, anchors array<string>"))
