@@ -41,6 +41,18 @@ def test_paths_around_a_hub(spark, hops, cap):
     assert sorted(tuple(r) for r in got.select("start", "rel_type", "end", "hop").collect()) == plain_paths(edges, ["a", "b", "leaf03"], hops, cap)
 
 
+def test_edges_of_hubs_that_cannot_be_ranked_are_not_emitted(spark, monkeypatch):
+    edges = [(f"s{i}", "HANDLES", f"n{i % 2}") for i in range(40)] + [("n0", "BLOCKS", f"r{i}") for i in range(5)] + [("n1", "BELONGS_TO", "r0"), ("n1", "BELONGS_TO", "n1")]
+    df = spark.createDataFrame(edges, "src_id string, rel_type string, dst_id string")
+    seeds = spark.createDataFrame([(i, f"s{i}") for i in range(6)] + [(9, "r0"), (9, "s1")], "qid int, node string")
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda x: written.append(materialise(x)) or written[-1])
+    whole, few = (graph.traverse(df, seeds, 2, None, k)[0] for k in (None, 3))
+    ranked = lambda x: sorted(tuple(r) for r in graph.ranked_edges(x, 3).select("qid", "src_id", "rel_type", "dst_id", "score", "forced", "rank").collect())
+    assert ranked(whole) == ranked(few) and few.count() < whole.count() / 2
+    assert all(x.where("hop = 2").isEmpty() for x in written if "hop" in x.columns)  # nobody reads where the walk ends
+
+
 def test_redirects_of_all_lengths_and_circles(spark):
     rows = [(f"{n}-{i}", f"{n}-{i + 1}") for n in range(1, 21) for i in range(n)]  # chains of 1 to 20
     rows += [(f"o{n}-{i}", f"o{n}-{(i + 1) % n}") for n in range(2, 8) for i in range(n)] + [("into", "o5-2"), ("x", "into")]  # circles, and ways into one
