@@ -87,6 +87,33 @@ def test_terms_are_looked_up_by_their_rarest_gram(spark):
     assert n[1] == 1 and n[2] <= 20 and n[4] == 0 and n[8] == 2  # by their first four characters 1 and 2 would meet all texts
 
 
+def test_long_terms_are_not_repeated_for_their_grams(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(link, "materialise", lambda df: (kept.append(materialise(df)), kept[-1])[1])
+    long = "".join(chr(0x4E00 + i) for i in range(3000))
+    t = spark.createDataFrame([(1, "the zebra"), (2, "quagga")], "t_id long, t string")
+    m = spark.createDataFrame([("z", "zebra"), ("long", long)], "m_id string, m string")
+    assert {tuple(r) for r in link.contained(t, m).collect()} == {(1, "z")}
+    assert sum(df.count() for df in kept) < 100  # a term longer than all texts is not cut up
+    del kept[:]
+    t = t.unionByName(spark.createDataFrame([(3, long + "!")], "t_id long, t string"))
+    assert {tuple(r) for r in link.contained(t, m).collect()} == {(1, "z"), (3, "long")}
+    cut = [df for df in kept if "g" in df.columns]
+    assert cut and not any("m" in df.columns or "t" in df.columns for df in cut)
+
+
+def test_sets_of_ids_are_joined_as_words(spark):
+    phrases = [(q, f"w{w}") for q in range(5) for w in range(q, 9)] + [(None, "w1"), (9, None), (8, "none")]
+    terms = [(f"i{i}", f"w{i % 9}" if i % 2 else "W") for i in range(200)] + [(None, "w8"), ("i1", "of w3 and w4"), ("x", None)]
+    q, t = spark.createDataFrame(phrases, "qid int, phrase string"), spark.createDataFrame(terms, "id string, term string")
+    found = link.match_terms(q, t)
+    low = [(i, m.lower()) for i, m in terms if m]
+    want = {(a, i) for a, p in phrases if p for i, m in low if p in m or m in p}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "bit_or" in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each id of each phrase of a question
+
+
 def test_overlap_from_hashes_equals_that_from_texts(spark, sf):
     anchors = {"x": ["tion", "An "], "y": ["ée"]}
     chunks = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.lit("2024.01").alias("doc_version"))
