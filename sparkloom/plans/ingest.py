@@ -73,14 +73,17 @@ def store(spark, folder: str, new: dict[str, DataFrame], parts: int = 64, files:
     kept["chunks"].upsert(new["chunks"], columns=buckets.keep_first())
     kept["entities"].upsert(new["entities"], buckets.gate())
     _, queued = tables.split_review(new["triples"])
-    nodes, chunks = kept["entities"].rows().select("id"), kept["chunks"].rows().select("id")
-    counted = tables.Counted(tables.with_properties(new["triples"]), nodes)
+    # ids alone and out of their buckets: joins with them have tasks by their number, and not as many as there are buckets
+    nodes, chunks = (tables.materialise(kept[k].rows().select("id")) for k in ("entities", "chunks"))
+    of_nodes, of_chunks = tables.end_tasks(nodes), tables.end_tasks(chunks)
+    counted = tables.Counted(tables.with_properties(new["triples"]), nodes, tasks=of_nodes)
     edges = counted.rows.withColumnsRenamed({"subject_id": "src_id", "predicate": "rel_type", "object_id": "dst_id"})
     rest = [c for c in edges.columns if c not in LAYOUT["edges"][0]]
     edges = tables.materialise(tables.pick(edges, LAYOUT["edges"][0], [F.desc("confidence"), *[F.asc(c) for c in rest]]))
     kept["edges"].upsert(edges, columns=buckets.keep_known(["confidence"]))
-    links = tables.existing_ends(tables.existing_ends(new["links"], nodes, ["node_id"]), chunks, ["chunk_id"])
-    kept["links"].upsert(tables.pick(links, LAYOUT["links"][0], [F.desc("confidence")]))
+    links = tables.existing_ends(new["links"], nodes, ["node_id"], tasks=of_nodes)
+    links = tables.existing_ends(links, chunks, ["chunk_id"], tasks=of_chunks)
+    kept["links"].upsert(tables.materialise(tables.pick(links, LAYOUT["links"][0], [F.desc("confidence")])))
     kept["queue"].upsert(tables.pick(queued, LAYOUT["queue"][0], [F.desc("confidence")]))
     counts = spark.createDataFrame([tuple(counted.counts().values())], "n long, low long, dangling long")
     return {k: t.rows() for k, t in kept.items()} | {"counts": counts}
