@@ -113,6 +113,25 @@ def test_walk_scores(spark):
     assert got == {("A", "B"): 0.75, ("B", "A"): 0.375, ("B", "C"): 0.375}
 
 
+def test_walks_take_all_edges_of_a_hub(spark):
+    """What lies beyond the first 300 edges of a node is reached too, and its chunks count."""
+    from sparkloom.plans import ask
+
+    edges = spark.createDataFrame([("hub", "R", f"n{i:04}") for i in range(400)], "src_id string, rel_type string, dst_id string")
+    seeds = spark.createDataFrame([(1, "hub")], "qid int, node string")
+    scored, visited = graph.traverse(edges, seeds)
+    assert visited.count() == 401 and scored.where("src_id = 'hub'").count() == 400
+    assert graph.traverse(edges, seeds, cap=300)[1].count() == 301
+    nodes = [f"n{i:04}" for i in range(400)]
+    vector = F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>")
+    chunks = spark.createDataFrame([(f"c{n}", f"text {n}", "a", 1, "", "2024.01") for n in nodes], "id string, text string, source_file string, source_page int, section string, doc_version string").withColumn("embedding", vector)
+    entities = spark.createDataFrame([("hub", "hub", [])], "id string, name string, aliases array<string>").withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"))
+    store = ask.Store(entities, edges, spark.createDataFrame([(n, f"c{n}") for n in nodes], "node_id string, chunk_id string"), chunks, spark.createDataFrame([("hub", "hub")], "id string, term string"))
+    asked = spark.createDataFrame([(1, "the hub and text n0399")], "qid int, question string")
+    out = ask.retrieve(asked, store, F.lit("2024-07-01").cast("date"), encode=lambda c: vector, keywords={"x": ["zz"]}, anchors={"x": ["zz"]})
+    assert out.questions.first().graph_n == 400 and out.chunks.orderBy("rank").first().id == "cn0399"
+
+
 def test_paths_use_an_edge_once(spark):
     edges = spark.createDataFrame([("A", "X", "B"), ("B", "Y", "C")], "src_id string, rel_type string, dst_id string")
     got = graph.neighbours(edges, spark.createDataFrame([("A",)], "start string"), 2)
